@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..session import stage
 from .ordered import running_totals
@@ -43,35 +42,36 @@ def confusion_columns(tp: Column, alerts: Column, positives: Column, rows: Colum
 
 def evaluate(scored: DataFrame, keys: Sequence[str], label: str = "y", alert: str = "alert") -> DataFrame:
     """Confusion metrics per group (H17) from one aggregation."""
-    counts = scored.groupBy(*keys).agg(
-        F.count("*").alias("row_count"),
-        F.sum(F.col(label).cast("long")).alias("positive_rows"),
-        F.sum(F.col(alert).cast("long")).alias("predicted_positive_rows"),
-        F.sum((F.col(label) * F.col(alert)).cast("long")).alias("tp"),
-    )
-    return with_confusion(counts)
+    return evaluate_sets(scored, [list(keys)], label, alert).drop("level")
 
 
-def with_confusion(counts: DataFrame) -> DataFrame:
-    return counts.withColumns(
-        confusion_columns(F.col("tp"), F.col("predicted_positive_rows"), F.col("positive_rows"), F.col("row_count"))
-    )
+def evaluate_sets(scored: DataFrame, sets: Sequence[Sequence[str]], label: str = "y", alert: str = "alert") -> DataFrame:
+    """H17 for several groupings in one pass."""
+    weighted = scored.withColumns({"n": F.lit(1).cast("long"), "pos": F.col(label).cast("long"), "alert": F.col(alert)})
+    return evaluate_weighted(weighted, sets)
 
 
-def evaluate_sets(scored: DataFrame, sets: Sequence[Sequence[str]], label: str = "y", alert: str = "alert") -> DataFrame:
-    """H17 for several groupings in one pass."""
+def evaluate_weighted(counted: DataFrame, sets: Sequence[Sequence[str]]) -> DataFrame:
+    """Metrics from rows that stand for `n` observations with `pos` positives sharing one `alert` value."""
     cols = sorted({c for s in sets for c in s})
     level = F.concat_ws("+", *[F.when(F.grouping(c) == 0, F.lit(c)) for c in cols])
-    counts = scored.groupingSets([[F.col(c) for c in s] for s in sets], *cols).agg(
+    hit = F.col("alert") == 1
+    counts = counted.groupingSets([[F.col(c) for c in s] for s in sets], *cols).agg(
         level.alias("level"),
-        F.count("*").alias("row_count"),
-        F.sum(F.col(label).cast("long")).alias("positive_rows"),
-        F.sum(F.col(alert).cast("long")).alias("predicted_positive_rows"),
-        F.sum((F.col(label) * F.col(alert)).cast("long")).alias("tp"),
+        F.sum("n").alias("row_count"),
+        F.sum("pos").alias("positive_rows"),
+        F.sum(F.when(hit, F.col("n")).otherwise(0)).alias("predicted_positive_rows"),
+        F.sum(F.when(hit, F.col("pos")).otherwise(0)).alias("tp"),
     )
     return with_confusion(counts)
 
 
+def with_confusion(counts: DataFrame) -> DataFrame:
+    return counts.withColumns(
+        confusion_columns(F.col("tp"), F.col("predicted_positive_rows"), F.col("positive_rows"), F.col("row_count"))
+    )
+
+
 def score_histogram(scored: DataFrame, keys: Sequence[str], score: str = "score", label: str = "y") -> DataFrame:
     """Rows and positives per distinct score: everything ranking metrics and thresholds need."""
     return (
@@ -128,44 +128,37 @@ def lift_at(
     base = scored.where(F.col(score).isNotNull()).select(*keys, *[u for u in unique if u not in keys], F.col(score).alias("score"), F.col(label).cast("long").alias("y"))
     base = stage(base.withColumn("_one", F.lit(1).cast("long")))
     ranked = running_totals(base, keys, "score", {"_one": "_rank"}, descending=True, then=unique)
-    totals = base.groupBy(*keys).agg(F.count("*").alias("total_rows"), F.sum("y").alias("total_positives"))
-    sized = totals.withColumn(
-        "_f",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(float(f)).alias("fraction"), F.greatest(F.lit(1), F.ceil(F.col("total_rows") * F.lit(float(f)))).cast("long").alias("top"))
-                    for f in fractions
-                ]
-            )
-        ),
-    ).select(*keys, "total_rows", "total_positives", "_f.fraction", "_f.top")
-    hits = _hits_above(ranked, sized, keys)
-    base_rate = F.col("total_positives") / F.col("total_rows")
-    precision = F.col("tp") / F.col("top")
-    return hits.select(
+    totals = base.groupBy(*keys).agg(F.count("*").alias("_total"), F.sum("y").alias("_positives"))
+    top = lambda f: F.greatest(F.lit(1), F.ceil(F.col("_total") * F.lit(float(f)))).cast("long")
+    if keys:
+        sized = ranked.join(totals, keys, "inner")
+    else:
+        sized = ranked.withColumns({c: totals.select(c).scalar() for c in ("_total", "_positives")})
+    hits = sized.groupBy(*keys, "_total", "_positives").agg(
+        *[F.sum(F.when(F.col("_rank") <= top(f), F.col("y")).otherwise(0)).alias(f"_tp{i}") for i, f in enumerate(fractions)]
+    )
+    rows = F.explode(
+        F.array(
+            *[
+                F.struct(F.lit(float(f)).alias("fraction"), top(f).alias("rows_or_alerts"), F.col(f"_tp{i}").alias("tp"))
+                for i, f in enumerate(fractions)
+            ]
+        )
+    )
+    base_rate = F.col("_positives") / F.col("_total")
+    precision = F.col("tp") / F.col("rows_or_alerts")
+    return hits.select(*keys, "_total", "_positives", rows.alias("_r")).select(*keys, "_total", "_positives", "_r.*").select(
         *keys,
         "fraction",
-        F.col("top").alias("rows_or_alerts"),
+        "rows_or_alerts",
         "tp",
         precision.alias("precision"),
-        (F.col("tp") / F.nullif(F.col("total_positives"), F.lit(0))).alias("recall"),
+        (F.col("tp") / F.nullif(F.col("_positives"), F.lit(0))).alias("recall"),
         (precision / F.nullif(base_rate, F.lit(0.0))).alias("lift"),
         base_rate.alias("base_rate"),
     )
 
 
-def _hits_above(ranked: DataFrame, sized: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Positives with rank <= top. The size table holds a few rows per group and joins on the group."""
-    if keys:
-        joined = ranked.join(sized, list(keys), "inner")
-    else:
-        tops = sized.agg(F.collect_list(F.struct("fraction", "top", "total_rows", "total_positives")).alias("a")).scalar()
-        joined = ranked.withColumn("_s", F.explode(tops)).select("_rank", "y", "_s.*")
-    cols = [*keys, "fraction", "top", "total_rows", "total_positives"]
-    return joined.groupBy(*cols).agg(F.sum(F.when(F.col("_rank") <= F.col("top"), F.col("y")).otherwise(0)).alias("tp"))
-
-
 def alert_row(evaluated: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The row for all alerts in the shape of the lift table."""
     return evaluated.select(
@@ -179,6 +172,3 @@ def alert_row(evaluated: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.col("positive_share").alias("base_rate"),
     )
 
-
-def share_of(column: str, keys: Sequence[str]) -> Column:
-    return F.col(column) / F.sum(column).over(Window.partitionBy(*keys))

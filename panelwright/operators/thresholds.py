@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from ..functions import fixed_values as fv
 from ..session import stage
-from .metrics import coarsen, confusion_columns, evaluate_sets, rank_metrics, score_histogram
+from .metrics import coarsen, confusion_columns, evaluate_sets, evaluate_weighted, rank_metrics, score_histogram
 from .ordered import quantiles_of_histogram, range_cuts, running_totals
 
 
@@ -174,32 +174,31 @@ def long_scores(scored: DataFrame, ids: Sequence[str], scores: Sequence[str], la
     return scored.select(*ids, F.col(label).cast("int").alias("y"), *scores).unpivot([*ids, "y"], list(scores), "score_col", "score")
 
 
-def with_alerts(long: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Alerts of the global and the per-category method for every score (H24 input)."""
-    t = thresholds.select("score_col", "category", "threshold", "global_threshold")
-    per_score = t.groupBy("score_col").agg(F.max("global_threshold").alias("_fallback"))
-    joined = long.join(t.drop("global_threshold"), ["score_col", "category"], "left").join(per_score, "score_col", "left")
+def with_alerts(hist: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """Alert flag of the global and the per-category method for every distinct score (H24 input)."""
+    t = thresholds.select("score_col", "category", "threshold")
+    overall = thresholds.groupBy("score_col").agg(F.max("global_threshold").alias("_overall"))
+    joined = hist.join(t, ["score_col", "category"], "left").join(overall, "score_col", "left")
     modes = F.array(
-        F.struct(F.lit("global").alias("threshold_mode"), F.col("_fallback").alias("used")),
-        F.struct(F.lit("per_category").alias("threshold_mode"), F.coalesce("threshold", "_fallback").alias("used")),
+        F.struct(F.lit("global").alias("threshold_mode"), F.col("_overall").alias("used")),
+        F.struct(F.lit("per_category").alias("threshold_mode"), F.coalesce("threshold", "_overall").alias("used")),
     )
     return (
         joined.withColumn("_m", F.explode(modes))
-        .withColumns({"threshold_mode": F.col("_m.threshold_mode"), "used_threshold": F.col("_m.used")})
-        .withColumn("alert", (F.col("score") >= F.col("used_threshold")).cast("int"))
-        .drop("_m", "threshold", "_fallback")
+        .withColumns({"threshold_mode": F.col("_m.threshold_mode"), "alert": (F.col("score") >= F.col("_m.used")).cast("int")})
+        .drop("_m", "threshold", "_overall")
     )
 
 
 def evaluate_methods(long: DataFrame, thresholds: DataFrame) -> DataFrame:
     """Every score and threshold mode on every split, overall and by category.
 
-    Confusion counts of both levels come from grouping sets; ranking metrics do not depend on the mode
-    and are joined from the score histogram.
+    The rows are reduced to a staged score histogram first; confusion counts of both levels come from
+    grouping sets over it, and ranking metrics, which do not depend on the mode, from the same histogram.
     """
     method = ["score_col", "threshold_mode", "split"]
-    confusion = evaluate_sets(with_alerts(long, thresholds), [method, [*method, "category"]])
     hist = stage(score_histogram(long, ["score_col", "split", "category"]))
+    confusion = evaluate_weighted(with_alerts(hist, thresholds), [method, [*method, "category"]])
     cuts = range_cuts(hist, "score")
     fine = rank_metrics(hist, ["score_col", "split", "category"], cuts)
     whole = rank_metrics(coarsen(hist, ["score_col", "split"]), ["score_col", "split"], cuts).withColumn("category", F.lit(None).cast("string"))
@@ -220,8 +219,3 @@ def metrics_by(scored: DataFrame, threshold: float, columns: Sequence[str], scor
     alerts = scored.withColumn("alert", (F.col(score) >= threshold).cast("int"))
     return evaluate_sets(alerts, [[c] for c in columns], label)
 
-
-def compare_default(grid: DataFrame, keys: Sequence[str], named: Mapping[str, float]) -> DataFrame:
-    """Grid rows at named thresholds."""
-    wanted = F.array(*[F.lit(float(v)) for v in named.values()])
-    return grid.where(F.array_contains(wanted, F.col("threshold"))).select(*keys, "threshold", "precision", "recall", "f1")
