@@ -78,16 +78,21 @@ def add_densities(df: DataFrame, columns: Sequence[str], area: str = "area_km2",
 
 
 def diversity(counts: Sequence[Column]) -> dict[str, Column]:
-    """Shannon entropy, its share of ln k, HHI, and richness of a composition (E24); all 0 for no rows."""
-    t = total(counts)
-    shares = [ratio_or_zero(c.cast("double"), t) for c in counts]
-    entropy = total([F.when(s > 0, -s * F.log(s)).otherwise(0.0) for s in shares])
+    """Shannon entropy, its share of ln k, HHI, and richness of a composition (E24); all 0 for no rows.
+
+    Written over one array of counts, as ln t - sum(c ln c) / t and sum(c * c) / t^2: repeating every
+    share as its own expression would exceed the size limit of generated code.
+    """
+    arr = F.array(*[c.cast("double") for c in counts])
+    fold = lambda f: F.aggregate(arr, F.lit(0.0), lambda s, c: s + f(c))
+    t = fold(lambda c: c)
+    entropy = F.when(t > 0, F.log(t) - fold(lambda c: F.when(c > 0, c * F.log(c)).otherwise(0.0)) / t).otherwise(0.0)
     top = math.log(len(counts)) if len(counts) > 1 else 1.0
     return {
         "entropy": entropy,
         "entropy_norm": entropy / top,
-        "hhi": total([s * s for s in shares]),
-        "richness": total([(c > 0).cast("int") for c in counts]),
+        "hhi": F.when(t > 0, fold(lambda c: c * c) / (t * t)).otherwise(0.0),
+        "richness": F.size(F.filter(arr, lambda c: c > 0)),
     }
 
 
@@ -133,15 +138,15 @@ def poi_features(
     out = add_group_sums(out, groups, pattern, "poi_group_{}_count")
     out = out.withColumns(
         {
+            "poi_entropy": d["entropy"],
+            "poi_hhi": d["hhi"],
             **{f"poi_{c}_share": ratio_or_zero(F.col(pattern.format(c)).cast("double"), all_rows) for c in domain},
             **{f"poi_group_{g}_share": ratio_or_zero(F.col(f"poi_group_{g}_count").cast("double"), all_rows) for g in groups},
             "poi_named_share": ratio_or_zero(F.col("poi_named_count").cast("double"), all_rows),
             "poi_tagged_share": ratio_or_zero(F.col("poi_tagged_count").cast("double"), all_rows),
             "poi_log1p_total_count": F.log1p(all_rows),
             "poi_density_per_km2": ratio_or_zero(all_rows, F.col("area_km2")),
-            "poi_entropy": d["entropy"],
             "poi_entropy_norm": d["entropy_norm"],
-            "poi_hhi": d["hhi"],
             "poi_richness": d["richness"],
             "poi_mixed_use_index": mixed_use(d["hhi"], all_rows, 0.0),
             "poi_dominant_category": best,

@@ -135,7 +135,7 @@ def _join_totals(df: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataF
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Exact quantiles of a column per group (long form)."""
-    return quantiles_of_histogram(histogram(df, keys, value), keys, value, probs)
+    return quantiles_of_histogram(histogram(df, keys, value, out="_cnt"), keys, value, probs, "_cnt")
 
 
 def quantiles_wide(df: DataFrame, keys: Sequence[str], value: str, named: Mapping[str, float]) -> DataFrame:

@@ -20,7 +20,7 @@ SETTINGS = {
 def build_session(master: str | None = None, shuffle_partitions: int | None = None, app: str = "panelwright") -> SparkSession:
     builder = SparkSession.builder.appName(app)
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.driver.memory", "20g")
+        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "20g")
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     if shuffle_partitions:
