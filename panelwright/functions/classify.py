@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +40,16 @@ def request_category(
 
     The name lists become hashed IN sets, so the usual row costs a few hash probes and no regex.
     """
-    text = normal_text(request_type)
+    return category_of_text(normal_text(request_type), names, patterns, default)
+
+
+def category_of_text(
+    text: Column,
+    names: Mapping[str, Sequence[str]] = fv.TYPE_NAMES,
+    patterns: Sequence[tuple[str, str]] = tuple(fv.TYPE_PATTERNS),
+    default: str = "other",
+) -> Column:
+    """C01 on text that is normal already."""
     out = F.when(text == "", F.lit(default))
     for cat, group in exact_names(names).items():
         out = out.when(text.isin(group), F.lit(cat))
@@ -56,16 +66,34 @@ def request_category_wordwise(
     return first_match(text, patterns, "other")
 
 
-def classify_types(df: DataFrame, type_col: str, out: str = "category", max_types: int = 100_000) -> DataFrame:
-    """C01 for long tables: classify each distinct type once and join the answer back.
+def with_request_category(df: DataFrame, type_col: str, out: str = "category") -> DataFrame:
+    """C01 per row, normalising once: the rules refer to the text many times, which a single expression would repeat."""
+    return df.withColumn("_text", normal_text(F.col(type_col))).withColumn(out, category_of_text(F.col("_text"))).drop("_text")
+
 
-    The broadcast table is only used when its size was counted; otherwise the rules run per row.
+def on_distinct(
+    df: DataFrame, columns: Sequence[str], derive: Callable[[DataFrame], DataFrame], max_rows: int = 100_000
+) -> DataFrame:
+    """Apply `derive` to the distinct combinations of some columns and join the new columns back.
+
+    The broadcast table is only used when its size was counted; beyond that `derive` runs per row.
     """
-    types = df.select(type_col).distinct()
-    if types.limit(max_types + 1).count() > max_types:
-        return df.withColumn(out, request_category(F.col(type_col)))
-    known = types.select(F.col(type_col).alias("_type"), request_category(F.col(type_col)).alias(out))
-    return df.join(F.broadcast(known), df[type_col].eqNullSafe(known["_type"]), "left").drop("_type")
+    combos = df.select(*columns).distinct()
+    if combos.limit(max_rows + 1).count() > max_rows:
+        return derive(df)
+    known = derive(combos).withColumnsRenamed({c: f"_d_{c}" for c in columns})
+    same = reduce(lambda x, y: x & y, [df[c].eqNullSafe(known[f"_d_{c}"]) for c in columns])
+    return df.join(F.broadcast(known), same, "left").drop(*[f"_d_{c}" for c in columns])
+
+
+def classify_types(df: DataFrame, type_col: str, out: str = "category", max_types: int = 100_000) -> DataFrame:
+    """C01 for long tables: each distinct type is classified once."""
+    return on_distinct(df, [type_col], lambda d: with_request_category(d, type_col, out), max_types)
+
+
+def classify_poi(df: DataFrame, tags: Sequence[str], category: str = "poi_category", raw_type: str | None = "raw_type") -> DataFrame:
+    """C03 and C04 for long tables: each distinct combination of tags is classified once."""
+    return on_distinct(df, tags, lambda d: with_poi_category(d, tags, category, raw_type))
 
 
 def tag_text(columns: Sequence[Column]) -> Column:
@@ -77,6 +105,16 @@ def poi_category(columns: Sequence[Column], rules: Sequence[tuple[str, str]] = t
     return first_match(tag_text(columns), rules, "other")
 
 
+def with_poi_category(df: DataFrame, tags: Sequence[str], category: str = "poi_category", raw_type: str | None = "raw_type") -> DataFrame:
+    """C03 and C04 for a table, each tag normalised once."""
+    normal = {f"_tag_{c}": token(F.col(c)) for c in tags}
+    step = df.withColumns(normal).withColumn("_tags", F.concat_ws(" ", *normal))
+    made = {category: first_match(F.col("_tags"), fv.POI_PATTERNS, "other")}
+    if raw_type:
+        made[raw_type] = F.coalesce(*[F.col(c) for c in normal])
+    return step.withColumns(made).drop("_tags", *normal)
+
+
 def first_tag(columns: Sequence[Column]) -> Column:
     """First non-null normalised tag in column order."""
     return F.coalesce(*[token(c) for c in columns])

@@ -115,10 +115,9 @@ def missing_key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def landuse_code(c: Column) -> Column:
     """'1', '01', '1.0', '01 Family' -> '01'; null and blank -> 'unknown' (B14)."""
     s = F.trim(c.cast("string"))
-    digits = F.regexp_replace(F.regexp_extract(s, r"^(\d+(?:\.0)?)", 1), r"\.0", "")
-    n = digits.try_cast("long")
-    code = F.when(digits == "", s).when(n < 10, F.lpad(n.cast("string"), 2, "0")).otherwise(digits)
-    return F.when(s.isNull() | (s == ""), F.lit("unknown")).otherwise(code)
+    single = F.regexp_replace(s, r"(?s)^0*(\d)(?!\d).*$", "0$1")
+    code = F.regexp_replace(single, r"(?s)^(\d+).*$", "$1")
+    return F.coalesce(F.nullif(code, F.lit("")), F.lit("unknown"))
 
 
 def plain_landuse_code(c: Column) -> Column:

@@ -14,7 +14,7 @@ from ..functions import fixed_values as fv
 from ..functions.classify import display_label
 from ..functions.cleaning import ratio, ratio_or_zero, to_number
 from .joins import align_to_universe
-from .ordered import melt, quantiles, top_rows
+from .ordered import distribution, melt, profile_of, top_rows
 
 
 def total(columns: Sequence[Column]) -> Column:
@@ -35,10 +35,13 @@ def poi_totals(poi: DataFrame, key: str, named: Column, tagged: Column, located:
 
 
 def category_counts(df: DataFrame, key: str, category: str, domain: Sequence[str], pattern: str) -> DataFrame:
-    """One count column per category of a fixed domain (E14), one aggregation without a pivot pass."""
-    return df.groupBy(key).agg(
-        *[F.count_if(F.col(category) == c).alias(pattern.format(c)) for c in domain]
-    )
+    """One count column per category of a fixed domain (E14), spread from (key, category) counts."""
+    cells = df.groupBy(key, F.col(category).alias("_c")).agg(F.count("*").alias("_n"))
+    return cells.groupBy(key).agg(*[_spread("_n", c).alias(pattern.format(c)) for c in domain])
+
+
+def _spread(measure: str, category: str) -> Column:
+    return F.coalesce(F.sum(F.when(F.col("_c") == category, F.col(measure))), F.lit(0))
 
 
 def tag_family_counts(poi: DataFrame, key: str, families: Sequence[str]) -> DataFrame:
@@ -119,15 +122,19 @@ def poi_features(
 ) -> DataFrame:
     """All point-of-interest features per area of the reference universe.
 
-    `areas` brings the key and area_km2. Totals and category counts come from one aggregation.
+    `areas` brings the key and area_km2. Rows are first counted per area, category and raw type, which
+    is all the features need; distinct types and category columns then come from that small table.
     """
     pattern = "poi_{}_count"
-    base = poi.groupBy(key).agg(
-        F.count("*").alias("poi_total_count"),
-        F.count("name").alias("poi_named_count"),
-        F.count("raw_type").alias("poi_tagged_count"),
+    cells = poi.groupBy(key, F.col(category).alias("_c"), "raw_type").agg(F.count("*").alias("_n"), F.count("name").alias("_named"))
+    n = F.col("_n")
+    count_where = lambda cond: F.coalesce(F.sum(F.when(cond, n)), F.lit(0))
+    base = cells.groupBy(key).agg(
+        F.sum(n).alias("poi_total_count"),
+        F.sum("_named").alias("poi_named_count"),
+        count_where(F.col("raw_type").isNotNull()).alias("poi_tagged_count"),
         F.count_distinct("raw_type").alias("poi_unique_raw_type_count"),
-        *[F.count_if(F.col(category) == c).alias(pattern.format(c)) for c in domain],
+        *[count_where(F.col("_c") == c).alias(pattern.format(c)) for c in domain],
     )
     counts = [c for c in base.columns if c != key]
     out = align_to_universe(areas, base, key, counts)
@@ -166,13 +173,20 @@ def valid_year(c: Column, latest: int) -> Column:
 ERAS = [("built_pre_1940", 0, 1939), ("built_1940_1979", 1940, 1979), ("built_1980_1999", 1980, 1999), ("built_2000_plus", 2000, 9999)]
 
 
-def parcel_base(parcels: DataFrame, key: str, sums: Mapping[str, str] = fv.PARCEL_SUMS) -> list[Column]:
-    """Parcels, distinct ids and sums which stay null when nothing was recorded."""
-    return [
-        F.count("*").alias("parcel_count"),
-        F.count_distinct("bbl").alias("unique_bbl_count"),
-        *[F.sum(to_number(F.col(c))).alias(n) for c, n in sums.items() if c in parcels.columns],
-    ]
+def sum_columns(parcels: DataFrame, sums: Mapping[str, str] = fv.PARCEL_SUMS) -> list[Column]:
+    """Sums which stay null when nothing was recorded."""
+    return [F.sum(to_number(F.col(c))).alias(n) for c, n in sums.items() if c in parcels.columns]
+
+
+def unique_ids(df: DataFrame, key: str, ids: str, out: str) -> DataFrame:
+    """Distinct ids per key. Kept apart from other aggregates: together they would shuffle every row with all its sums."""
+    return df.select(key, ids).distinct().groupBy(key).agg(F.count(ids).alias(out))
+
+
+def parcel_sums(parcels: DataFrame, key: str, sums: Mapping[str, str] = fv.PARCEL_SUMS) -> DataFrame:
+    """Parcels, distinct ids and sums per area."""
+    base = parcels.groupBy(key).agg(F.count("*").alias("parcel_count"), *sum_columns(parcels, sums))
+    return base.join(unique_ids(parcels, key, "bbl", "unique_bbl_count"), key, "left")
 
 
 def parcel_statistics(parcels: DataFrame, key: str, measures: Mapping[str, str] = fv.PARCEL_STATS) -> DataFrame:
@@ -183,31 +197,41 @@ def parcel_statistics(parcels: DataFrame, key: str, measures: Mapping[str, str]
     """
     used = {c: n for c, n in measures.items() if c in parcels.columns}
     long = melt(parcels.select(key, *[to_number(F.col(c)).alias(n) for c, n in used.items()]), [key], list(used.values()), "measure")
-    med = quantiles(long, [key, "measure"], "value", [0.5]).select(key, "measure", F.col("quantile").alias("median"))
-    stat = long.groupBy(key, "measure").agg(F.avg("value").alias("mean"), F.max("value").alias("max"))
-    joined = stat.join(med, [key, "measure"], "left")
+    joined = profile_of(distribution(long, [key, "measure"], "value"), [key, "measure"], "value", {"median": 0.5})
     pick = lambda n, s: F.max(F.when(F.col("measure") == n, F.col(s))).alias(f"{n}_{s}")
     return joined.groupBy(key).agg(*[pick(n, s) for n in used.values() for s in ("mean", "median", "max")])
 
 
-def building_age(key: str, year: str, reference_year: int) -> list[Column]:
-    """Age, valid-year counts and construction-era counts."""
+def age_columns(year: str, reference_year: int) -> list[Column]:
+    """Summed age, valid-year count and construction-era counts, all of which add up over parts."""
     y = to_number(F.col(year))
     ok = valid_year(y, reference_year)
     return [
-        F.avg(F.when(ok, reference_year - y)).alias("building_age_mean"),
+        F.sum(F.when(ok, reference_year - y)).alias("building_age_sum"),
         F.count_if(ok).alias("yearbuilt_valid_count"),
         *[F.count_if(ok & y.between(lo, hi)).alias(f"{name}_count") for name, lo, hi in ERAS],
     ]
 
 
-def landuse_pivot(category: str, domain: Sequence[str] = tuple(fv.LANDUSE_CATEGORIES)) -> list[Column]:
+def building_age(parcels: DataFrame, key: str, year: str, reference_year: int) -> DataFrame:
+    """Mean age, valid years and eras per area."""
+    base = parcels.groupBy(key).agg(*age_columns(year, reference_year))
+    return base.withColumn("building_age_mean", ratio(F.col("building_age_sum"), F.col("yearbuilt_valid_count").cast("double")))
+
+
+def landuse_pivot(parcels: DataFrame, key: str, category: str, domain: Sequence[str] = tuple(fv.LANDUSE_CATEGORIES)) -> DataFrame:
     """Parcel counts and lot-area sums per land-use category (E20); sums are 0 where nothing matches."""
+    cells = parcels.groupBy(key, F.col(category).alias("_c")).agg(
+        F.count("*").alias("parcel_count"), F.sum(to_number(F.col("lotarea"))).alias("lot_area_sqft_sum")
+    )
+    return cells.groupBy(key).agg(*_landuse_columns(domain))
+
+
+def _landuse_columns(domain: Sequence[str]) -> list[Column]:
     out = []
     for c in domain:
-        hit = F.col(category) == c
-        out.append(F.count_if(hit).alias(f"landuse_{c}_parcel_count"))
-        out.append(F.coalesce(F.sum(F.when(hit, to_number(F.col("lotarea")))), F.lit(0.0)).alias(f"landuse_{c}_lot_area"))
+        out.append(_spread("parcel_count", c).alias(f"landuse_{c}_parcel_count"))
+        out.append(_spread("lot_area_sqft_sum", c).cast("double").alias(f"landuse_{c}_lot_area"))
     return out
 
 
@@ -220,10 +244,17 @@ def parcel_features(
     domain: Sequence[str] = tuple(fv.LANDUSE_CATEGORIES),
     groups: Mapping[str, Sequence[str]] = fv.LANDUSE_GROUPS,
 ) -> DataFrame:
-    """All land-use features per area (E17-E25, D07): one wide aggregation plus the exact medians."""
-    base = parcels.groupBy(key).agg(
-        *parcel_base(parcels, key), *building_age(key, "yearbuilt", reference_year), *landuse_pivot(category, domain)
+    """All land-use features per area.
+
+    Parcels are summed per area and category once; area totals and category columns come from that
+    small table, medians from value histograms, distinct ids from a narrow pass of their own.
+    """
+    cells = parcels.groupBy(key, F.col(category).alias("_c")).agg(
+        F.count("*").alias("parcel_count"), *sum_columns(parcels), *age_columns("yearbuilt", reference_year)
     )
+    added = [c for c in cells.columns if c not in (key, "_c")]
+    base = cells.groupBy(key).agg(*_landuse_columns(domain), *[F.sum(c).alias(c) for c in added])
+    base = base.join(unique_ids(parcels, key, "bbl", "unique_bbl_count"), key, "left")
     stats = parcel_statistics(parcels, key)
     wide = base.join(stats, key, "left")
     wide = add_group_sums(wide, groups, "landuse_{}_parcel_count", "group_{}_parcel_count")
@@ -233,6 +264,7 @@ def parcel_features(
     d = diversity(cat)
     best, best_share = dominant(cat, domain)
     made: dict[str, Column] = {
+        "building_age_mean": ratio(F.col("building_age_sum"), F.col("yearbuilt_valid_count").cast("double")),
         "yearbuilt_invalid_share": 1 - ratio(F.col("yearbuilt_valid_count").cast("double"), n),
         "landuse_entropy": d["entropy"],
         "landuse_entropy_norm": d["entropy_norm"],
@@ -279,16 +311,20 @@ def simple_landuse(
     totals: Mapping[str, str] = fv.PARCEL_TOTALS,
 ) -> DataFrame:
     """Totals, mean floors, ratios and group pivots of counts and lot areas (E26); an empty sum is 0."""
-    zero_sum = lambda c: F.coalesce(F.sum(to_number(c)), F.lit(0.0))
     used = {c: n for c, n in totals.items() if c in parcels.columns}
-    aggs = [F.count("bbl").alias("lot_count"), *[zero_sum(F.col(c)).alias(n) for c, n in used.items()]]
-    if "numfloors" in parcels.columns:
-        aggs.append(F.avg(to_number(F.col("numfloors"))).alias("avg_num_floors"))
+    floors = "numfloors" in parcels.columns
+    cells = parcels.groupBy(key, F.col(group).alias("_c")).agg(
+        F.count("bbl").alias("lot_count"),
+        *[F.sum(to_number(F.col(c))).alias(n) for c, n in used.items()],
+        *([F.sum(to_number(F.col("numfloors"))).alias("_floors"), F.count(to_number(F.col("numfloors"))).alias("_floor_rows")] if floors else []),
+    )
+    aggs = [F.sum("lot_count").alias("lot_count"), *[F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in used.values()]]
+    if floors:
+        aggs.append(ratio(F.sum("_floors"), F.sum("_floor_rows").cast("double")).alias("avg_num_floors"))
     for g in domain:
-        hit = F.col(group) == g
-        aggs.append(F.count(F.when(hit, F.col("bbl"))).alias(f"lot_count_{g}"))
-        aggs.append(zero_sum(F.when(hit, F.col("lotarea"))).alias(f"lot_area_{g}"))
-    out = parcels.groupBy(key).agg(*aggs)
+        aggs.append(_spread("lot_count", g).alias(f"lot_count_{g}"))
+        aggs.append(_spread("total_lot_area", g).cast("double").alias(f"lot_area_{g}"))
+    out = cells.groupBy(key).agg(*aggs)
     pairs = {
         "residential_area_ratio": ("total_residential_area", "total_building_area"),
         "commercial_area_ratio": ("total_commercial_area", "total_building_area"),

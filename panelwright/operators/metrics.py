@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .ordered import running_totals
+from .ordered import attach, running_totals
 
 
 def confusion_columns(tp: Column, alerts: Column, positives: Column, rows: Column) -> dict[str, Column]:
@@ -130,10 +130,7 @@ def lift_at(
     ranked = running_totals(base, keys, "score", {"_one": "_rank"}, descending=True, then=unique)
     totals = base.groupBy(*keys).agg(F.count("*").alias("_total"), F.sum("y").alias("_positives"))
     top = lambda f: F.greatest(F.lit(1), F.ceil(F.col("_total") * F.lit(float(f)))).cast("long")
-    if keys:
-        sized = ranked.join(totals, keys, "inner")
-    else:
-        sized = ranked.withColumns({c: totals.select(c).scalar() for c in ("_total", "_positives")})
+    sized = attach(ranked, totals, keys)
     hits = sized.groupBy(*keys, "_total", "_positives").agg(
         *[F.sum(F.when(F.col("_rank") <= top(f), F.col("y")).otherwise(0)).alias(f"_tp{i}") for i, f in enumerate(fractions)]
     )

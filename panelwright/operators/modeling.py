@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.cleaning import to_number
 from ..session import stage
 from .metrics import evaluate_weighted, rank_metrics, score_histogram
-from .ordered import melt, quantiles, running_totals
+from .ordered import attach, melt, quantiles, running_totals
 from .report import validation_rank
 from .thresholds import Grid, tune
 
@@ -35,14 +35,11 @@ def stratified_sample(df: DataFrame, strata: Sequence[str], n: int, order: Colum
     if n >= total:
         return base.drop("_o", "_one")
     take = base.groupBy(*strata).agg(F.count("*").alias("_size")).select(
-        *[F.col(s).alias(f"_s_{s}") for s in strata],
+        *strata,
         F.least(F.col("_size"), F.greatest(F.lit(1), F.bround(F.lit(float(n)) * F.col("_size") / F.lit(total)).cast("long"))).alias("_take"),
     )
     ranked = running_totals(base, strata, "_o", {"_one": "_rank"}, then=unique)
-    same = F.lit(True)
-    for s in strata:
-        same = same & ranked[s].eqNullSafe(take[f"_s_{s}"])
-    chosen = ranked.join(take, same, "inner").where("_rank <= _take").drop("_rank", "_take", *[f"_s_{s}" for s in strata])
+    chosen = attach(ranked, take, strata).where("_rank <= _take").drop("_rank", "_take")
     over = running_totals(stage(chosen), [], "_o", {"_one": "_rank"}, then=unique)
     return over.where(F.col("_rank") <= n).drop("_rank", "_o", "_one")
 

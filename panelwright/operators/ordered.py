@@ -9,12 +9,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import stage
+
 ROWS_PER_RANGE = 1_000_000
 MAX_RANGES = 2_000
 
@@ -78,10 +81,29 @@ def running_totals(
     return joined.withColumns({o: F.col(o) + F.col(f"_o_{o}") for o in measures.values()}).drop(*helper)
 
 
-def histogram(df: DataFrame, keys: Sequence[str], value: str, weight: Column | None = None, out: str = "n") -> DataFrame:
+def histogram(df: DataFrame, keys: Sequence[str], value: str, out: str = "_cnt") -> DataFrame:
     """Distinct values with their counts per group: the pre-aggregated input of all order statistics."""
-    n = F.count("*") if weight is None else F.sum(weight)
-    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(n.alias(out))
+    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias(out))
+
+
+def distribution(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Histogram written once, so that counting, cutting and ranking it never repeats what lies before."""
+    return stage(histogram(df, keys, value))
+
+
+def summary(hist: DataFrame, keys: Sequence[str], value: str, n: str = "_cnt") -> DataFrame:
+    """n, mean, sample std, min and max from a histogram; deviations are taken from the exact mean."""
+    keys = list(keys)
+    v, w = F.col(value).cast("double"), F.col(n)
+    first = hist.groupBy(*keys).agg(
+        F.sum(w).alias("n"), (F.sum(v * w) / F.sum(w)).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max")
+    )
+    centre = first.select(*keys, F.col("mean").alias("_mean"))
+    spread = attach(hist, centre, keys).groupBy(*keys).agg(F.sum((v - F.col("_mean")) * (v - F.col("_mean")) * w).alias("_ss"))
+    joined = attach(first, spread, keys)
+    return joined.select(
+        *keys, "n", "mean", F.sqrt(F.col("_ss") / F.nullif(F.col("n") - 1, F.lit(0))).alias("std"), "min", "max"
+    )
 
 
 def quantiles_of_histogram(
@@ -89,20 +111,26 @@ def quantiles_of_histogram(
     keys: Sequence[str],
     value: str,
     probs: Sequence[float],
-    n: str = "n",
+    n: str = "_cnt",
     cuts: Sequence[float] | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles: one row per group and probability (columns prob, quantile).
 
-    Every histogram row knows which ranks it holds, so it emits only the few probabilities that fall
-    on it; what is shuffled afterwards is two rows per group and probability.
+    A histogram counted to be small goes through the built-in percentile. A larger one is ranked in
+    ranges: every row knows which ranks it holds and emits only the few probabilities that fall on it,
+    so what is shuffled afterwards is two rows per group and probability.
     """
-    keys = list(keys)
+    keys, probs = list(keys), [float(p) for p in probs]
+    cuts = range_cuts(hist, value) if cuts is None else cuts
+    if not cuts:
+        listed = F.array(*[F.lit(p) for p in probs])
+        found = hist.groupBy(*keys).agg(F.percentile(F.col(value).cast("double"), probs, F.col(n)).alias("_q"))
+        pair = F.explode(F.arrays_zip(listed.alias("prob"), F.col("_q").alias("quantile"))).alias("_z")
+        return found.select(*keys, pair).select(*keys, F.col("_z.prob"), F.col("_z.quantile")).where(F.col("quantile").isNotNull())
     ranked = running_totals(hist, keys, value, {n: "_hi"}, cuts=cuts)
-    totals = hist.groupBy(*keys).agg(F.sum(n).alias("_total"))
-    ranked = _join_totals(ranked, totals, keys)
+    ranked = attach(ranked, hist.groupBy(*keys).agg(F.sum(n).alias("_total")), keys)
     wanted = F.transform(
-        F.array(*[F.lit(float(p)) for p in probs]),
+        F.array(*[F.lit(p) for p in probs]),
         lambda p: F.struct(p.alias("p"), ((F.col("_total") - 1) * p).alias("h")),
     )
     low = F.col("_hi") - F.col(n)
@@ -122,30 +150,37 @@ def quantiles_of_histogram(
     return picked.select(*keys, "prob", (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_w")).alias("quantile"))
 
 
-def _join_totals(df: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFrame:
+def attach(df: DataFrame, small: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Columns of a one-row-per-group table next to the rows of the group, null keys included.
+
+    Without keys the single row comes in as scalar subqueries.
+    """
+    extra = [c for c in small.columns if c not in keys]
     if not keys:
-        one = totals.select("_total").scalar()
-        return df.withColumn("_total", one)
-    renamed = totals.select(*[F.col(k).alias(f"_g_{k}") for k in keys], "_total")
-    same = F.lit(True)
-    for k in keys:
-        same = same & df[k].eqNullSafe(renamed[f"_g_{k}"])
+        return df.withColumns({c: small.select(c).scalar() for c in extra})
+    renamed = small.select(*[F.col(k).alias(f"_g_{k}") for k in keys], *extra)
+    same = reduce(lambda x, y: x & y, [df[k].eqNullSafe(renamed[f"_g_{k}"]) for k in keys])
     return df.join(renamed, same, "inner").drop(*[f"_g_{k}" for k in keys])
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
     """Exact quantiles of a column per group (long form)."""
-    return quantiles_of_histogram(histogram(df, keys, value, out="_cnt"), keys, value, probs, "_cnt")
+    return quantiles_of_histogram(distribution(df, keys, value), keys, value, probs)
 
 
-def quantiles_wide(df: DataFrame, keys: Sequence[str], value: str, named: Mapping[str, float]) -> DataFrame:
-    """Exact quantiles as one column per name."""
-    long = quantiles(df, keys, value, list(named.values()))
+def widen_quantiles(long: DataFrame, keys: Sequence[str], named: Mapping[str, float]) -> DataFrame:
+    """Long quantiles as one column per name."""
     return long.groupBy(*keys).agg(
         *[F.max(F.when(F.col("prob") == F.lit(float(p)), F.col("quantile"))).alias(name) for name, p in named.items()]
     )
 
 
+def profile_of(hist: DataFrame, keys: Sequence[str], value: str, named: Mapping[str, float]) -> DataFrame:
+    """Summary and named quantiles of a histogram in one row per group."""
+    wide = widen_quantiles(quantiles_of_histogram(hist, keys, value, list(named.values())), keys, named)
+    return attach(summary(hist, keys, value), wide, keys)
+
+
 def melt(df: DataFrame, ids: Sequence[str], columns: Sequence[str], name: str = "feature", value: str = "value") -> DataFrame:
     """Columns to (name, value) rows with one numeric type, so many columns share one job."""
     casted = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in columns])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.calendar import week_start
-from ..functions.classify import request_category
+from ..functions.classify import with_request_category
 from .ordered import top_rows
 
 SERIES = ["area", "category"]
@@ -26,17 +26,17 @@ def weekly_counts_by_rules(requests: DataFrame, ts: str = "ts", type_col: str =
     """E01 with rule categories: counts are reduced per raw type first, so rules see few rows."""
     raw = requests.groupBy("area", week_start(F.col(ts)).alias("week_start"), type_col).agg(F.count("*").alias("_n"))
     return (
-        raw.withColumn("category", request_category(F.col(type_col)))
+        with_request_category(raw, type_col)
         .groupBy(*CELL)
         .agg(F.sum("_n").alias("n"))
     )
 
 
-def type_category_counts(requests: DataFrame, type_col: str, category: Column, missing: str | None = None) -> DataFrame:
+def type_category_counts(requests: DataFrame, type_col: str, missing: str | None = None) -> DataFrame:
     """(type, category) counts, largest first (E02); null types are dropped or shown as `missing`."""
     t = F.col(type_col) if missing is None else F.coalesce(F.col(type_col), F.lit(missing))
     counted = requests.select(t.alias("request_type")).where(F.col("request_type").isNotNull()).groupBy("request_type").agg(F.count("*").alias("n"))
-    return counted.withColumn("category", category).orderBy(F.desc("n"), "request_type")
+    return with_request_category(counted, "request_type").orderBy(F.desc("n"), "request_type")
 
 
 def category_shares(counts: DataFrame, domain: Sequence[str], category: str = "category", n: str = "n") -> DataFrame:

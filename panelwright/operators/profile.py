@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ordered import melt, quantiles, quantiles_wide, top_per_group
+from ..session import stage
+from .ordered import attach, distribution, melt, profile_of, quantiles, quantiles_of_histogram, top_per_group
 
 PROFILE_PROBS = {"p01": 0.01, "p05": 0.05, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
 
@@ -25,7 +26,7 @@ def target_balance(df: DataFrame, label: str, target: str, sets: Sequence[Sequen
     """
     cols = sorted({c for s in sets for c in s})
     valid = df.where(F.col(label).isNotNull())
-    hist = valid.groupBy(*cols, target).agg(F.count("*").alias("_n"), F.sum(label).alias("_p"))
+    hist = stage(valid.groupBy(*cols, target).agg(F.count("*").alias("_n"), F.sum(label).alias("_p")))
     grouped = hist.groupingSets([[F.col(c) for c in s] for s in sets], *cols).agg(
         grouping_level(cols).alias("level"),
         F.sum("_n").alias("valid_rows"),
@@ -38,21 +39,12 @@ def target_balance(df: DataFrame, label: str, target: str, sets: Sequence[Sequen
             "positive_share": F.col("positive_rows") / F.col("valid_rows"),
         }
     )
-    long = hist.groupingSets([[*[F.col(c) for c in s], F.col(target)] for s in sets], *cols, F.col(target)).agg(
-        grouping_level(cols).alias("level"), F.sum("_n").alias("n")
+    fine = hist.groupingSets([[*[F.col(c) for c in s], F.col(target)] for s in sets], *cols, F.col(target)).agg(
+        grouping_level(cols).alias("level"), F.sum("_n").alias("_cnt")
     )
-    med = _quantiles_by(long.where(F.col(target).isNotNull()), [*cols, "level"], target)
-    same = out["level"] == med["_level"]
-    for c in cols:
-        same = same & out[c].eqNullSafe(med[f"_{c}"])
-    return out.join(med, same, "left").drop("_level", *[f"_{c}" for c in cols])
-
-
-def _quantiles_by(hist: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    from .ordered import quantiles_of_histogram
-
-    med = quantiles_of_histogram(hist, keys, value, [0.5])
-    return med.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("quantile").alias("median_target"))
+    keys = [*cols, "level"]
+    med = quantiles_of_histogram(stage(fine.where(F.col(target).isNotNull())), keys, target, [0.5])
+    return attach(out, med.select(*keys, F.col("quantile").alias("median_target")), keys)
 
 
 def category_profile(df: DataFrame, category: str = "category", count: str = "n", ready: str = "is_train_ready") -> DataFrame:
@@ -66,7 +58,7 @@ def category_profile(df: DataFrame, category: str = "category", count: str = "n"
         F.count_distinct("week_start").alias("weeks"),
         F.sum(ready).alias("ready_rows"),
     )
-    med = quantiles_wide(df, [category], count, {"median_count": 0.5})
+    med = quantiles(df, [category], count, [0.5]).select(category, F.col("quantile").alias("median_count"))
     whole = F.sum("total_count").over(Window.partitionBy())
     return base.join(med, category, "left").withColumn("total_share", F.col("total_count") / whole)
 
@@ -92,17 +84,8 @@ def missing_values(df: DataFrame) -> DataFrame:
 
 def numeric_profile(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = (), probs: Mapping[str, float] = PROFILE_PROBS) -> DataFrame:
     """n, mean, std, min, exact quantiles and max of many columns in one long job."""
-    keys = list(keys)
-    long = melt(df, keys, columns).where(F.col("value").isNotNull())
-    stats = long.groupBy(*keys, "feature").agg(
-        F.count("*").alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
-    )
-    spread = quantiles_wide(long, [*keys, "feature"], "value", probs)
-    return stats.join(spread, [*keys, "feature"], "left")
+    by = [*keys, "feature"]
+    return profile_of(distribution(melt(df, keys, columns), by, "value"), by, "value", probs)
 
 
 def flag_counts(df: DataFrame, flags: Sequence[str]) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from ..functions import fixed_values as fv
 from ..session import stage
 from .metrics import coarsen, confusion_columns, evaluate_sets, evaluate_weighted, rank_metrics, score_histogram
-from .ordered import quantiles_of_histogram, range_cuts, running_totals
+from .ordered import attach, quantiles_of_histogram, range_cuts, running_totals
 
 
 def linspace(low: float, high: float, n: int) -> list[float]:
@@ -53,7 +53,7 @@ def candidates(hist: DataFrame, keys: Sequence[str], grid: Grid = Grid(), cuts:
     groups = hist.select(*keys).distinct() if keys else hist.sparkSession.range(1).select()
     out = groups.select(*keys, even)
     if grid.quantiles:
-        q = quantiles_of_histogram(hist, keys, "score", grid.probs(), cuts=cuts).select(*keys, F.col("quantile").alias("threshold"))
+        q = quantiles_of_histogram(hist, keys, "score", grid.probs(), "n", cuts).select(*keys, F.col("quantile").alias("threshold"))
         out = out.unionByName(q)
     if grid.digits is not None:
         out = out.withColumn("threshold", F.round("threshold", grid.digits))
@@ -76,11 +76,7 @@ def threshold_grid(hist: DataFrame, keys: Sequence[str], cands: DataFrame, cuts:
         scores.unionByName(marks), keys, "score", {"n": "predicted_positive_rows", "pos": "tp"}, True, ["_kind"], cuts
     ).where("_kind = 1")
     totals = hist.groupBy(*keys).agg(F.sum("n").alias("row_count"), F.sum("pos").alias("positive_rows"))
-    cum = cum.select(*keys, F.col("score").alias("threshold"), "predicted_positive_rows", "tp")
-    if keys:
-        joined = cum.join(totals, keys, "inner")
-    else:
-        joined = cum.withColumns({c: totals.select(c).scalar() for c in ("row_count", "positive_rows")})
+    joined = attach(cum.select(*keys, F.col("score").alias("threshold"), "predicted_positive_rows", "tp"), totals, keys)
     return joined.withColumns(
         confusion_columns(F.col("tp"), F.col("predicted_positive_rows"), F.col("positive_rows"), F.col("row_count"))
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions.calendar import week_start
 from ..functions.cleaning import mask_sentinels
-from .ordered import quantiles_wide
+from .ordered import distribution, profile_of
 from .panel import densify_weeks
 
 COMPARE = {">=": operator.ge, ">": operator.gt, "<=": operator.le, "<": operator.lt}
@@ -46,12 +46,10 @@ def unit_decisions(long: DataFrame, requested: Mapping[str, str], family: str =
     for all families; the choice itself is an expression over those few rows.
     """
     clean = long.select(F.col(family).alias("family"), mask_sentinels(F.col(value)).alias("value")).where("value is not null")
-    spread = quantiles_wide(clean, ["family"], "value", {"p50": 0.5, "p99": 0.99})
-    stats = clean.groupBy("family").agg(
-        F.count("*").alias("n_valid"), F.min("value").alias("min_value"), F.max("value").alias("max_value")
-    )
+    stats = profile_of(distribution(clean, ["family"], "value"), ["family"], "value", {"p50": 0.5, "p99": 0.99})
+    stats = stats.withColumnsRenamed({"n": "n_valid", "min": "min_value", "max": "max_value"})
     asked = long.sparkSession.createDataFrame(sorted(requested.items()), "family string, requested_unit string")
-    r = asked.join(stats.join(spread, "family"), "family", "left").withColumn("n_valid", F.coalesce("n_valid", F.lit(0)))
+    r = asked.join(stats, "family", "left").withColumn("n_valid", F.coalesce("n_valid", F.lit(0)))
     fam, p99, top = F.col("family"), F.col("p99"), F.col("max_value")
     auto = (
         F.when(F.col("n_valid") == 0, "unknown")

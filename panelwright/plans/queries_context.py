@@ -490,8 +490,7 @@ POIS = (b.POI, POI_TYPED)
 
 
 def typed_poi(t):
-    cols = [F.col(c) for c in TAGS]
-    return b.poi(t).withColumns({"poi_category": cl.poi_category(cols), "raw_type": cl.first_tag(cols)})
+    return cl.classify_poi(b.poi(t), TAGS)
 
 
 @query(
@@ -669,8 +668,7 @@ def typed_parcels(t):
     PARS,
 )
 def _(t):
-    p = typed_parcels(t)
-    return p.groupBy("area").agg(*ctx.parcel_base(p, "area"))
+    return ctx.parcel_sums(b.parcels(t), "area")
 
 
 STATS = {c: n for c, n in fv.PARCEL_STATS.items() if c in ("lotarea", "bldgarea", "numfloors", "yearbuilt")}
@@ -683,7 +681,7 @@ STATS = {c: n for c, n in fv.PARCEL_STATS.items() if c in ("lotarea", "bldgarea"
     PARS,
 )
 def _(t):
-    return ctx.parcel_statistics(typed_parcels(t), "area")
+    return ctx.parcel_statistics(b.parcels(t), "area")
 
 
 @query(
@@ -696,7 +694,7 @@ def _(t):
     PARS,
 )
 def _(t):
-    return typed_parcels(t).groupBy("area").agg(*ctx.building_age("area", "yearbuilt", 2026))
+    return ctx.building_age(b.parcels(t), "area", "yearbuilt", 2026)
 
 
 LU = fv.LANDUSE_CATEGORIES
@@ -705,7 +703,7 @@ LU_SQL = ", ".join(f"count(*) FILTER (WHERE landuse_category = '{c}') AS landuse
 
 @query("e20_landuse_pivot", "area " + " ".join(f"landuse_{c}_parcel_count:i landuse_{c}_lot_area:f" for c in LU), f"SELECT area, {LU_SQL} FROM par GROUP BY 1", PARS)
 def _(t):
-    return typed_parcels(t).groupBy("area").agg(*ctx.landuse_pivot("landuse_category"))
+    return ctx.landuse_pivot(typed_parcels(t), "area", "landuse_category")
 
 
 PW = (

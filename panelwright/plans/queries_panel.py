@@ -63,7 +63,7 @@ def _(t):
     RULED,
 )
 def _(t):
-    return panel.type_category_counts(b.requests(t), "request_type", cl.request_category(F.col("request_type")))
+    return panel.type_category_counts(b.requests(t), "request_type")
 
 
 @query(
@@ -73,7 +73,7 @@ def _(t):
     (b.REQ,),
 )
 def _(t):
-    return panel.type_category_counts(b.requests(t), "request_type", F.lit("x"), "__MISSING__")
+    return panel.type_category_counts(b.requests(t), "request_type", "__MISSING__")
 
 
 DOMAIN = "(VALUES " + ", ".join(f"('{c}')" for c in fv.CATEGORIES) + ") d(category)"
@@ -96,7 +96,7 @@ def _(t):
     RULED,
 )
 def _(t):
-    counts = panel.type_category_counts(b.requests(t), "request_type", cl.request_category(F.col("request_type")))
+    counts = panel.type_category_counts(b.requests(t), "request_type")
     return panel.top_unclassified(counts)
 
 
@@ -763,7 +763,7 @@ def _(t):
     f"SELECT doc_id, CASE WHEN t = '' THEN 'other' {' '.join(f'''WHEN regexp_matches(t, '{p}') THEN '{c}' ''' for c, p in fv.TYPE_PATTERNS)} ELSE 'other' END AS category FROM (SELECT doc_id, {NORMAL.format('text')} AS t FROM documents) z",
 )
 def _(t):
-    return t.documents.select("doc_id", cl.request_category(F.col("text")).alias("category"))
+    return cl.with_request_category(t.documents.select("doc_id", "text"), "text")
 
 
 @query(
@@ -789,8 +789,8 @@ POI_TYPED = f"""ptyped AS (SELECT *, CASE {' '.join(f"WHEN regexp_matches(tags,
 
 @query("c03_poi_category", "osm_id:i tags poi_category", "SELECT * FROM ptyped", (b.POI, POI_TYPED))
 def _(t):
-    cols = [F.col(c) for c in TAGS]
-    return b.poi(t).select("osm_id", cl.tag_text(cols).alias("tags"), cl.poi_category(cols).alias("poi_category"))
+    tagged = lambda d: cl.with_poi_category(d, TAGS).withColumn("tags", cl.tag_text([F.col(c) for c in TAGS]))
+    return cl.on_distinct(b.poi(t), TAGS, tagged)
 
 
 @query("c04_first_tag", "osm_id:i raw_type", "SELECT * FROM ptyped", (b.POI, POI_TYPED))

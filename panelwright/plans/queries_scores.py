@@ -462,7 +462,7 @@ NUMERIC = ["n", "lag_1w_count", "lag_4w_count", "rolling_8w_mean", "rolling_8w_s
 
 
 def splits(t):
-    ready = b.table(t).where("is_train_ready = 1")
+    ready = stage(b.table(t).where("is_train_ready = 1"))
     ready = ready.withColumns({"label": F.col("is_abnormal_next_week").cast("double"), "level": F.when(F.col("n") > 0, F.col("category"))})
     return {s: ready.where(F.col("time_split") == s) for s in ("train", "validation", "test")}
 
@@ -507,9 +507,9 @@ def prepared(t):
     """Training-fitted columns x0.. of all splits, written once for the fits."""
     parts = splits(t)
     pre = modeling.fit_preprocessor(parts["train"], NUMERIC, ["category"])
-    ready = b.table(t).where("is_train_ready = 1").withColumn("label", F.col("is_abnormal_next_week").cast("double"))
     names = pre.one_hot_names
-    encoded = pre.one_hot(ready.withColumn("_cat", F.col("category")), ["area", "week_start", F.col("category").alias("_c"), "time_split", "label"])
+    ready = joins.union_parts(list(parts.values()))
+    encoded = pre.one_hot(ready, ["area", "week_start", F.col("category").alias("_c"), "time_split", "label"])
     flat = encoded.toDF("area", "week_start", "category", "time_split", "label", *[f"x{i}" for i in range(len(names))])
     data = stage(flat)
     inputs = [f"x{i}" for i in range(len(names))]
@@ -578,7 +578,7 @@ def _(t):
 
 @query("h31_feature_set_ablation", "feature_set split feature_count:i threshold:f f1:f precision:f recall:f roc_auc:f pr_auc:f")
 def _(t):
-    parts = {s: stage(d) for s, d in splits(t).items()}
+    parts = splits(t)
     sets = {"history": (["n", "lag_1w_count", "rolling_8w_mean"], []), "history_and_category": (NUMERIC, ["category"])}
     return modeling.ablation(t.spark, parts, sets, "label", lambda i: modeling.logistic(i, 1.0, 1000.0, "label", 10))
 
