@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
@@ -12,9 +14,10 @@ from ..operators import context as ctx
 from ..operators import joins, profile, quality, report, spatial
 from ..operators import weather as wx
 from ..operators.ordered import top_rows
-from ..session import stage
+from ..session import stage, staging_dir
 from ..sources import columns as src_columns
 from ..sources import files as src_files
+from ..streaming import weekly
 from . import bindings as b
 from .queries_panel import CODE, POI_TYPED, TAGS
 from .registry import query
@@ -162,6 +165,39 @@ def _(t):
     return ranges.join(per_month, "m")
 
 
+@query(
+    "a08_partitioned_sink",
+    "month n:i total:m",
+    "SELECT strftime(o_orderdate, '%Y-%m') AS month, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(18, 2))) AS total FROM orders GROUP BY 1",
+)
+def _(t):
+    orders = t.orders.withColumn("month", src_files.month_key(F.col("o_orderdate")))
+    path = src_files.land(orders, f"{staging_dir(t.spark)}/orders-{uuid.uuid4().hex}", ["month"])
+    back = t.spark.read.parquet(path)
+    return back.groupBy("month").agg(F.count("*").alias("n"), F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("total"))
+
+
+@query("a09_incremental_ingest", "event_id:i event_type", "SELECT event_id, event_type FROM events")
+def _(t):
+    here = f"{staging_dir(t.spark)}/ingest-{uuid.uuid4().hex}"
+    stream = weekly.stream_parts(t.spark, f"{t.folder}/events*.parquet", t.events.schema)
+    for _ in range(2):  # the second run finds nothing new
+        weekly.ingest_available(stream.select("event_id", "event_type"), f"{here}/data", f"{here}/state")
+    return t.spark.read.schema("event_id long, event_type string").parquet(f"{here}/data")
+
+
+@query(
+    "e01_incremental_weekly_counts",
+    "week_start:d l_returnflag n:i",
+    "SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS week_start, l_returnflag, count(*) AS n FROM lineitem GROUP BY ALL",
+)
+def _(t):
+    here = f"{staging_dir(t.spark)}/weekly-{uuid.uuid4().hex}"
+    stream = weekly.stream_parts(t.spark, f"{t.folder}/lineitem*.parquet", t.lineitem.schema)
+    weekly.weekly_totals_available(stream, "l_shipdate", ["l_returnflag"], f"{here}/data", f"{here}/state")
+    return weekly.read_weekly_totals(t.spark, f"{here}/data", ["l_returnflag"])
+
+
 # ---- space -----------------------------------------------------------------------------
 
 POINTS = """pts AS (SELECT c_custkey, CASE WHEN c_custkey % 19 <> 0 THEN (c_custkey * 37 % 1000) / 200.0 + 0.0013 END AS lon,
@@ -225,6 +261,16 @@ def _(t):
     return spatial.area_km2(polygons(t), "area", 40.7128)
 
 
+@query(
+    "d02_polygon_area_mean_latitude",
+    "area area_km2:f",
+    """SELECT n_name AS area, pow(radians(1) * 6371008.8, 2) / 1e6 * (0.81 * cos(radians(y + 0.36)) - CASE WHEN n_nationkey % 2 = 0 THEN 0.09 * cos(radians(y + 0.42)) ELSE 0 END) AS area_km2
+       FROM (SELECT *, n_nationkey // 5 AS y FROM nation) z""",
+)
+def _(t):
+    return spatial.area_km2(polygons(t), "area")
+
+
 # ---- key contracts and dimension joins -------------------------------------------------
 
 
@@ -329,6 +375,15 @@ def _(t):
     return joins.merge_coverage(b.requests(t), dim, "area", "small")
 
 
+@query(
+    "d04_duplicate_examples",
+    "l_suppkey:i l_partkey:i copies:i",
+    "SELECT l_suppkey, l_partkey, count(*) AS copies FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
+)
+def _(t):
+    return joins.duplicate_keys(t.lineitem, ["l_suppkey", "l_partkey"])
+
+
 # ---- weather ---------------------------------------------------------------------------
 
 

@@ -22,6 +22,12 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
+# Both engines round by the same arithmetic. The offset lies just above one half, so that an exact tie
+# and a tie that summation order moved by one unit in the last place round alike.
+SCALE = {"f": 1e6, "m": 1e2}
+TIE = 0.5001
+
+
 def _columns(spec: str) -> list[tuple[str, str]]:
     return [tuple(p.split(":")) if ":" in p else (p, "s") for p in spec.split()]
 
@@ -34,7 +40,7 @@ def shape(df: DataFrame, spec: str) -> DataFrame:
         if kind == "i":
             c = c.cast("bigint")
         elif kind in "fm":
-            c = F.round(c.cast("double"), 6 if kind == "f" else 2) + F.lit(0.0)
+            c = F.floor(c.cast("double") * SCALE[kind] + F.lit(TIE)) / SCALE[kind]
         elif kind == "d":
             c = c.cast("date")
         else:
@@ -49,7 +55,7 @@ def shape_sql(sql: str, spec: str) -> str:
         if kind == "i":
             out.append(f'CAST("{name}" AS BIGINT) AS "{name}"')
         elif kind in "fm":
-            out.append(f'ROUND(CAST("{name}" AS DOUBLE), {6 if kind == "f" else 2}) + 0.0 AS "{name}"')
+            out.append(f'FLOOR(CAST("{name}" AS DOUBLE) * {SCALE[kind]} + {TIE}) / {SCALE[kind]} AS "{name}"')
         elif kind == "d":
             out.append(f'CAST("{name}" AS DATE) AS "{name}"')
         else:
