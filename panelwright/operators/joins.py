@@ -119,8 +119,9 @@ def apply_thresholds(
 
 def merge_coverage(fact: DataFrame, dim: DataFrame, key: str, name: str, examples: int = 20) -> DataFrame:
     """Fact rows without a partner, their distinct keys and the first of them in order."""
-    missing = fact.join(dim.select(key).distinct(), key, "left_anti")
-    per_key = missing.groupBy(key).agg(F.count("*").alias("_n"))
+    # rows are counted per key first, so a dominating key meets the dimension as a single row
+    counts = fact.groupBy(key).agg(F.count("*").alias("_n"))
+    per_key = counts.join(dim.select(key).distinct(), key, "left_anti")
     first = top_rows(per_key.select(key), [F.col(key).asc()], examples)
     listed = first.agg(F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), ",").alias("e")).scalar()
     return per_key.agg(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stage
-from .ordered import attach, running_totals
+from .ordered import attach, range_cuts, running_totals
 
 
 def confusion_columns(tp: Column, alerts: Column, positives: Column, rows: Column) -> dict[str, Column]:
@@ -127,10 +127,11 @@ def lift_at(
     keys = list(keys)
     base = scored.where(F.col(score).isNotNull()).select(*keys, *[u for u in unique if u not in keys], F.col(score).alias("score"), F.col(label).cast("long").alias("y"))
     base = stage(base.withColumn("_one", F.lit(1).cast("long")))
-    ranked = running_totals(base, keys, "score", {"_one": "_rank"}, descending=True, then=unique)
+    cuts = range_cuts(base, "score")
+    ranked = running_totals(base, keys, "score", {"_one": "_rank"}, descending=True, then=unique, cuts=cuts)
     totals = base.groupBy(*keys).agg(F.count("*").alias("_total"), F.sum("y").alias("_positives"))
     top = lambda f: F.greatest(F.lit(1), F.ceil(F.col("_total") * F.lit(float(f)))).cast("long")
-    sized = attach(ranked, totals, keys)
+    sized = attach(ranked, stage(totals) if cuts else totals, keys)
     hits = sized.groupBy(*keys, "_total", "_positives").agg(
         *[F.sum(F.when(F.col("_rank") <= top(f), F.col("y")).otherwise(0)).alias(f"_tp{i}") for i, f in enumerate(fractions)]
     )

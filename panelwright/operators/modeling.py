@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.cleaning import to_number
 from ..session import stage
 from .metrics import evaluate_weighted, rank_metrics, score_histogram
-from .ordered import attach, melt, quantiles, running_totals
+from .ordered import attach, melt, quantiles, range_cuts, running_totals
 from .report import validation_rank
 from .thresholds import Grid, tune
 
@@ -38,7 +38,10 @@ def stratified_sample(df: DataFrame, strata: Sequence[str], n: int, order: Colum
         *strata,
         F.least(F.col("_size"), F.greatest(F.lit(1), F.bround(F.lit(float(n)) * F.col("_size") / F.lit(total)).cast("long"))).alias("_take"),
     )
-    ranked = running_totals(base, strata, "_o", {"_one": "_rank"}, then=unique)
+    cuts = range_cuts(base, "_o")
+    ranked = running_totals(base, strata, "_o", {"_one": "_rank"}, then=unique, cuts=cuts)
+    if cuts:
+        take = stage(take)  # measured, so that a small one is broadcast to the large ranking
     chosen = attach(ranked, take, strata).where("_rank <= _take").drop("_rank", "_take")
     over = running_totals(stage(chosen), [], "_o", {"_one": "_rank"}, then=unique)
     return over.where(F.col("_rank") <= n).drop("_rank", "_o", "_one")

@@ -73,6 +73,7 @@ def running_totals(
         F.col("_range").alias("_k_range"),
         *[F.coalesce(F.sum(f"_t_{out}").over(before), F.lit(0)).alias(f"_o_{out}") for out in measures.values()],
     )
+    offsets = stage(offsets)  # its size is then known, so a small one is broadcast and `local` stays where it is
     same = local["_range"] == offsets["_k_range"]
     for k in keys:
         same = same & local[k].eqNullSafe(offsets[f"_k_{k}"])
@@ -128,7 +129,7 @@ def quantiles_of_histogram(
         pair = F.explode(F.arrays_zip(listed.alias("prob"), F.col("_q").alias("quantile"))).alias("_z")
         return found.select(*keys, pair).select(*keys, F.col("_z.prob"), F.col("_z.quantile")).where(F.col("quantile").isNotNull())
     ranked = running_totals(hist, keys, value, {n: "_hi"}, cuts=cuts)
-    ranked = attach(ranked, hist.groupBy(*keys).agg(F.sum(n).alias("_total")), keys)
+    ranked = attach(ranked, stage(hist.groupBy(*keys).agg(F.sum(n).alias("_total"))), keys)
     wanted = F.transform(
         F.array(*[F.lit(p) for p in probs]),
         lambda p: F.struct(p.alias("p"), ((F.col("_total") - 1) * p).alias("h")),

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.fixed_values import EARTH_RADIUS_M
 
 RINGS = "array<array<array<struct<lon:double,lat:double>>>>"
-BROADCAST_CELLS = 2_000_000
+BROADCAST_BYTES = 128 << 20
+BYTES_PER_CELL, BYTES_PER_POINT = 64, 32
 
 
 def _edges(ring: Column) -> Column:
@@ -47,6 +48,13 @@ def polygon_cells(areas: DataFrame, key: str, step: float, polygons: str = "poly
     )
 
 
+def cell_bytes(cells: DataFrame, polygons: str = "polygons") -> int:
+    """Estimated size of the cell table from its row and vertex counts."""
+    vertices = F.size(F.flatten(F.flatten(polygons)))
+    row = cells.agg(F.count("*").alias("n"), F.coalesce(F.sum(vertices), F.lit(0)).alias("v")).first()
+    return row["n"] * BYTES_PER_CELL + row["v"] * BYTES_PER_POINT
+
+
 def assign_areas(
     points: DataFrame,
     areas: DataFrame,
@@ -60,11 +68,12 @@ def assign_areas(
 
     Points and bounding boxes meet in grid cells (an equi-join), the exact test runs on the few
     candidates. A point in no polygon keeps a null key; in overlapping polygons it appears once
-    for each. Points on an edge count for at most one of the two sides. The cell table is broadcast
-    only when its counted size allows it; a shuffle join on the cell is used beyond that.
+    for each. Points on an edge count for at most one of the two sides. The cell table, which repeats
+    a polygon for every cell it touches, is broadcast only when its measured size allows it; beyond
+    that the points meet it in a shuffle join on the cell, where Spark splits crowded cells.
     """
     cells = polygon_cells(areas, key, step, polygons)
-    if cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS:
+    if cell_bytes(cells, polygons) <= BROADCAST_BYTES:
         cells = F.broadcast(cells)
     located = points.withColumns({"_px": _cell(F.col(lon), step), "_py": _cell(F.col(lat), step)})
     hit = (

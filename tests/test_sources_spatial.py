@@ -38,7 +38,7 @@ def test_beyond_the_broadcast_limit_a_shuffle_join_gives_the_same(spark, geojson
     areas = files.read_polygons(spark, geojson, ["code"])
     df = spark.createDataFrame([(i, i % 140 / 10, i % 130 / 10) for i in range(500)], "i int, lon double, lat double")
     small = sorted(map(str, spatial.assign_areas(df, areas, "code", 0.7).collect()))
-    monkeypatch.setattr(spatial, "BROADCAST_CELLS", 3)
+    monkeypatch.setattr(spatial, "BROADCAST_BYTES", 3)
     assert sorted(map(str, spatial.assign_areas(df, areas, "code", 0.7).collect())) == small
 
 
