@@ -2,21 +2,35 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
 from . import fixed_values as fv
 from .cleaning import landuse_code, lookup, normal_text, plain_landuse_code, token
 
 
+def found(text: Column, pattern: str) -> Column:
+    """Pattern found anywhere in the text; literal alternatives become substring searches, which are far cheaper."""
+    body = pattern[3:-1] if pattern.startswith("(?:") and pattern.endswith(")") else pattern
+    if re.search(r"[(\[]", body):
+        return text.rlike(pattern)
+    parts = body.split("|")
+    plain = [p for p in parts if re.fullmatch(r"[\w \-]+", p)]
+    rest = [p for p in parts if p not in plain]
+    checks = [text.contains(p) for p in plain] + ([text.rlike("|".join(rest))] if rest else [])
+    return reduce(lambda a, b: a | b, checks)
+
+
 def first_match(text: Column, rules: Sequence[tuple[str, str]], default: str) -> Column:
     """Name of the first pattern found anywhere in the text."""
     out = F
     for name, pattern in rules:
-        out = out.when(text.rlike(pattern), F.lit(name))
+        out = out.when(found(text, pattern), F.lit(name))
     return out.otherwise(F.lit(default))
 
 
@@ -76,10 +90,12 @@ def on_distinct(
 ) -> DataFrame:
     """Apply `derive` to the distinct combinations of some columns and join the new columns back.
 
-    The broadcast table is only used when its size was counted; beyond that `derive` runs per row.
+    The combinations are written once and counted; beyond `max_rows` of them `derive` runs per row.
+    Reading them back also keeps a later filter on the derived columns from moving below the distinct
+    step, where it would be evaluated for every row after all.
     """
-    combos = df.select(*columns).distinct()
-    if combos.limit(max_rows + 1).count() > max_rows:
+    combos = stage(df.select(*columns).distinct().limit(max_rows + 1))
+    if combos.count() > max_rows:
         return derive(df)
     known = derive(combos).withColumnsRenamed({c: f"_d_{c}" for c in columns})
     same = reduce(lambda x, y: x & y, [df[c].eqNullSafe(known[f"_d_{c}"]) for c in columns])

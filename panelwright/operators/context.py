@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from ..functions import fixed_values as fv
 from ..functions.classify import display_label
 from ..functions.cleaning import ratio, ratio_or_zero, to_number
+from ..session import stage
 from .joins import align_to_universe
 from .ordered import distribution, melt, profile_of, top_rows
 
@@ -65,6 +66,7 @@ def raw_type_richness(poi: DataFrame, key: str, raw_type: str) -> DataFrame:
 def top_raw_types(poi: DataFrame, raw_type: str, k: int = 200) -> DataFrame:
     """City-wide most frequent raw types with their share of all typed rows."""
     counts = poi.where(F.col(raw_type).isNotNull()).groupBy(F.col(raw_type).alias("raw_type")).agg(F.count("*").alias("n"))
+    counts = stage(counts)
     everything = counts.agg(F.sum("n").alias("t")).scalar()
     return top_rows(counts.withColumn("share", F.col("n") / everything), [F.desc("n"), F.asc("raw_type")], k)
 

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.calendar import week_start
 from ..functions.classify import with_request_category
+from ..session import stage
 from .ordered import top_rows
 
 SERIES = ["area", "category"]
@@ -25,6 +26,8 @@ def weekly_counts(requests: DataFrame, ts: str = "ts", keys: Sequence[str] = ("a
 def weekly_counts_by_rules(requests: DataFrame, ts: str = "ts", type_col: str = "request_type") -> DataFrame:
     """E01 with rule categories: counts are reduced per raw type first, so rules see few rows."""
     raw = requests.groupBy("area", week_start(F.col(ts)).alias("week_start"), type_col).agg(F.count("*").alias("_n"))
+    # the count takes part in the type: a later filter on the category then stays above the aggregation
+    raw = raw.withColumn(type_col, F.when(F.col("_n") > 0, F.col(type_col)))
     return (
         with_request_category(raw, type_col)
         .groupBy(*CELL)
@@ -36,7 +39,7 @@ def type_category_counts(requests: DataFrame, type_col: str, missing: str | None
     """(type, category) counts, largest first (E02); null types are dropped or shown as `missing`."""
     t = F.col(type_col) if missing is None else F.coalesce(F.col(type_col), F.lit(missing))
     counted = requests.select(t.alias("request_type")).where(F.col("request_type").isNotNull()).groupBy("request_type").agg(F.count("*").alias("n"))
-    return with_request_category(counted, "request_type").orderBy(F.desc("n"), "request_type")
+    return with_request_category(stage(counted), "request_type").orderBy(F.desc("n"), "request_type")
 
 
 def category_shares(counts: DataFrame, domain: Sequence[str], category: str = "category", n: str = "n") -> DataFrame:

@@ -773,7 +773,9 @@ def _(t):
     (b.REQ,),
 )
 def _(t):
-    return b.requests(t).select("order_key", "line_no", cl.request_category_wordwise(F.col("request_type"), F.col("descriptor")).alias("category"))
+    rows = b.requests(t).select("order_key", "line_no", "request_type", "descriptor")
+    rule = cl.request_category_wordwise(F.col("request_type"), F.col("descriptor"))
+    return cl.on_distinct(rows, ["request_type", "descriptor"], lambda d: d.withColumn("category", rule))
 
 
 def tok(c: str) -> str:

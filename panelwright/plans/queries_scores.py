@@ -463,11 +463,11 @@ NUMERIC = ["n", "lag_1w_count", "lag_4w_count", "rolling_8w_mean", "rolling_8w_s
 
 def splits(t):
     ready = stage(b.table(t).where("is_train_ready = 1"))
-    ready = ready.withColumns({"label": F.col("is_abnormal_next_week").cast("double"), "level": F.when(F.col("n") > 0, F.col("category"))})
+    ready = ready.withColumns({"label": F.col("is_abnormal_next_week").cast("double"), "level": F.when(F.col("history_weeks") % 5 != 0, F.col("category"))})
     return {s: ready.where(F.col("time_split") == s) for s in ("train", "validation", "test")}
 
 
-TRAINED = """tr AS (SELECT *, CASE WHEN n > 0 THEN category END AS level FROM tab WHERE is_train_ready = 1)"""
+TRAINED = """tr AS (SELECT *, CASE WHEN history_weeks % 5 <> 0 THEN category END AS level FROM tab WHERE is_train_ready = 1)"""
 
 
 @query(
