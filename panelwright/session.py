@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -28,16 +29,20 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
     return builder.getOrCreate()
 
 
+_local_folder: dict[str, str] = {}
+
+
 def staging_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a fresh local one only where none is configured."""
+    """The cluster's shared folder in spark.checkpoint.dir; only a local session without one gets a fresh folder of its own."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    made = tempfile.mkdtemp(prefix="panelwright-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    if context.applicationId not in _local_folder:
+        _local_folder[context.applicationId] = tempfile.mkdtemp(prefix="panelwright-")
+    return _local_folder[context.applicationId]
 
 
 def stage(df: DataFrame) -> DataFrame:

@@ -15,12 +15,12 @@ SPREAD = [
     "f06_abnormal_label", "f12_lift_at_k", "h01_stratified_sample", "h18_rank_metrics", "h21_threshold_strategies",
     "h24_method_metrics", "h36_local_summary", "q03_quality_flags", "q10_leakage_audit", "t02_calendar",
 ]
-NAMES = sorted(entry.queries()) if os.environ.get("CHECK_ALL") else SPREAD
+NAMES = sorted(entry.catalog.QUERIES) if os.environ.get("CHECK_ALL") else SPREAD
 
 
 def test_keys_agree():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    rows_only = set(entry.queries()) - set(entry.oracle_sql())
+    rows_only = set(entry.catalog.QUERIES) - set(entry.oracle_sql())
     assert all(n.startswith(("h05", "h06", "h07", "h14", "h15", "h31", "h32", "h37_perm")) for n in rows_only)
 
 
