@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import base64
 import os
 import re
 from array import array
+from collections.abc import Iterator
 
 #: Pieces kept in a worker's memo; it starts anew beyond that. Longer pieces are encoded each time.
 MEMO_PIECES = 400_000
 MEMO_LENGTH = 64
 
-# A space next to other white space belongs to a longer run, which the tokenizer splits by its own rule.
-_MIXED = re.compile(r" \s|\s ")
+
+# A word of letters whose class is the same in every Unicode version is one piece before merges, and so are the marks
+# after it (no apostrophe: the tokenizer splits contractions). A line feed between two such words stands alone.
+_WORD = r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)"
+_PIECE = re.compile(rf"{_WORD}(?:\n{_WORD})?").fullmatch
+#: New words that the rank file's library encodes in one call.
+WORDS = 2_000
 
 
 def default_path() -> str:
@@ -20,46 +27,96 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def default_ranks() -> str:
+    """The same vocabulary as ranks."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+def _rank_encoder(path: str):
+    import tiktoken
+    from public_tokenizers import PATTERN
+
+    with open(path, "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    opens = {" ": {r for piece, r in ranks.items() if piece[:1] == b" "}, "\n": {ranks[b"\n"]}}
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), opens
+
+
 class ByteEncoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit bytes.
 
     The tokenizer never merges across a single space between visible characters, and the space goes with what follows.
     So a text is the sequence of its pieces, each encoded once with its space in front. Texts in which a space touches
     other white space are encoded whole.
+
+    New pieces that are a word of Latin letters, with a mark after it or not, go through the same vocabulary's rank
+    file where there is one, many in one call: that library needs a quarter of the time and gives the same ids.
     """
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, ranks: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
+        ranks = ranks or (default_ranks() if path is None else None)
+        self.fast, self.opens = _rank_encoder(ranks) if ranks else (None, {})
+        self.marks: dict[str, bytes] = {"": b""}
         self.memo: dict[str, bytes] = {}
 
+    def words(self, words: list[str], lead: str) -> list[bytes]:
+        """Ids of Latin words, each with `lead` (a space or a line feed) in front."""
+        out = []
+        for at in range(0, len(words), WORDS):
+            ids = self.fast.encode_ordinary(lead + lead.join(words[at : at + WORDS]))
+            opens, raw = self.opens[lead], array("I", ids).tobytes()
+            cuts = [4 * i for i, x in enumerate(ids) if x in opens]
+            out += [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)]
+        return out
+
+    def new_pieces(self, pieces: list[str]) -> Iterator[tuple[str, bytes]]:
+        """(piece, ids) of those that neither begin nor end with white space."""
+        plain, heads, tails, found, marks = [], [], [], [], self.marks
+        for p in pieces:
+            if self.fast and (m := _PIECE(p)):
+                head, mark, tail, last = m.groups()
+                heads.append(head)
+                found.append((p, mark, last))
+                if tail:
+                    tails.append(tail)
+            elif p and not p[0].isspace() and not p[-1].isspace():
+                plain.append(p)
+        if new := list({m for _, *two in found for m in two if m and m not in marks}):
+            marks.update(zip(new, self.direct(new), strict=True))
+        second = iter(self.words(tails, "\n"))
+        for (p, mark, last), ids in zip(found, self.words(heads, " "), strict=True):
+            yield p, ids + marks[mark] if last is None else ids + marks[mark] + next(second) + marks[last]
+        yield from zip(plain, self.direct([" " + p for p in plain]), strict=True)
+
     def direct(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > MEMO_PIECES:
-            self.memo = {}
-        memo, whole, split, seen = self.memo, [], {}, set()
-        for i, text in enumerate(texts):
-            if _MIXED.search(text):
-                whole.append(i)
-            else:
-                split[i] = parts = text.split(" ")
-                seen.update(parts)
-        new = [p for p in seen if p not in memo]
+            self.memo, self.marks = {}, {"": b""}
+        memo, split = self.memo, [t.split(" ") for t in texts]
+        seen = set()
+        for parts in split:
+            seen.update(parts[1:])
         extra = {}
-        for p, ids in zip(new, self.direct([" " + p for p in new]), strict=True):
+        for p, ids in self.new_pieces([p for p in seen if p not in memo]):
             (memo if len(p) <= MEMO_LENGTH else extra)[p] = ids
-        out: list[bytes] = [b""] * len(texts)
+        find = memo.__getitem__ if not extra else lambda p: memo[p] if p in memo else extra[p]
+        out, whole = self.direct([parts[0] for parts in split]), []
+        for i, parts in enumerate(split):
+            try:
+                del parts[0]
+                out[i] += b"".join(map(find, parts))
+            except KeyError:  # a space touches other white space here
+                whole.append(i)
         for i, ids in zip(whole, self.direct([texts[i] for i in whole]), strict=True):
             out[i] = ids
-        firsts = self.direct([parts[0] for parts in split.values()])
-        find = memo.__getitem__ if not extra else lambda p: memo[p] if p in memo else extra[p]
-        for (i, parts), first in zip(split.items(), firsts, strict=True):
-            del parts[0]
-            out[i] = first + b"".join(map(find, parts))
         return out
 
 
@@ -69,5 +126,5 @@ _encoders: dict[str | None, ByteEncoder] = {}
 def encoder(path: str | None = None) -> ByteEncoder:
     """One encoder for each worker process and path."""
     if path not in _encoders:
-        _encoders[path] = ByteEncoder(path)
+    _encoders[path] = ByteEncoder(path)
     return _encoders[path]
