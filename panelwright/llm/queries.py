@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelwright.llm.decontamination import overlaps
 from panelwright.llm.exact_dedup import exact_groups
+from panelwright.llm.language_id import identified, learned
 from panelwright.llm.packing import packed
 from panelwright.llm.simhash_dedup import near_groups
 
@@ -51,3 +53,44 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     found = near_groups(table(spark, folder, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query(
+    "op7_decontamination",
+    r"""
+    WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS t FROM documents),
+    b AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS t FROM benchmark),
+    masks AS (
+        SELECT 8 AS span, o FROM (VALUES ([0, 1, 3, 6, 7]), ([0, 2, 3, 5, 7]), ([0, 1, 4, 5, 7])) AS m(o)
+        UNION ALL
+        SELECT n, list_filter(range(n), lambda x: x <> z) FROM (SELECT unnest([5, 6, 7]) AS n), LATERAL (SELECT unnest(range(n)) AS z)
+    ),
+    dp AS (SELECT doc_id, t, unnest(range(len(t))) AS p FROM d),
+    bp AS (SELECT item_id, t, unnest(range(len(t))) AS p FROM b WHERE len(t) >= 5),
+    bk AS (
+        SELECT item_id, p, o, span, array_to_string(list_transform(o, lambda x: t[p + x + 1]), ' ') AS k FROM bp, masks
+        WHERE p + span <= len(t) AND (CASE WHEN span = 8 THEN len(t) >= 8 ELSE len(t) = span END)
+    ),
+    used AS (SELECT DISTINCT o, span FROM bk),
+    dk AS (SELECT doc_id, p, o, array_to_string(list_transform(o, lambda x: t[p + x + 1]), ' ') AS k FROM dp, used WHERE p + span <= len(t)),
+    shifts AS (SELECT DISTINCT dk.doc_id, bk.item_id, dk.p - bk.p AS shift FROM dk JOIN bk ON dk.k = bk.k AND dk.o = bk.o),
+    same AS (
+        SELECT s.doc_id, s.item_id, s.shift, least(13, len(b.t)) AS l,
+               list_transform(range(len(b.t)), lambda i: CASE WHEN i + s.shift >= 0 AND d.t[i + s.shift + 1] = b.t[i + 1] THEN 1 ELSE 0 END) AS m
+        FROM shifts s JOIN d USING (doc_id) JOIN b ON s.item_id = b.item_id
+    ),
+    w AS (SELECT doc_id, item_id, shift, l, m, unnest(range(len(m) - l + 1)) AS f FROM same),
+    c AS (SELECT doc_id, item_id, shift, l, f, list_sum(m[f + 1 : f + l]) AS matched FROM w)
+    SELECT doc_id, item_id, CAST(min(f + shift) AS BIGINT) AS first_word, CAST(max(f + shift + l - 1) AS BIGINT) AS last_word,
+           CAST(max(matched) AS BIGINT) AS matched, count(*) AS windows
+    FROM c WHERE matched >= ceil(l * 0.8 - 1e-9) GROUP BY doc_id, item_id
+    """,
+)
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return identified(docs, learned(docs))
