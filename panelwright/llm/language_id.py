@@ -22,7 +22,7 @@ from panelwright.session import stage
 #: Entries of the tables: they bound what is broadcast and what a worker holds.
 MODEL_WORDS = 150_000
 MODEL_GRAMS = 40_000
-#: Lengths of the n-grams, longest first. A word is padded with one mark on either side.
+#: Lengths of the n-grams, longest first. Unless single, they see a space on either side of the word.
 GRAMS = (4, 3, 2, 1)
 #: A prediction with a lower score is no language: words that no table knows leave all languages equal.
 LEAST_SCORE = 0.3
@@ -79,9 +79,9 @@ class Model:
     def word(self, word: str) -> tuple:
         if (v := self.tables[0].get(word) or self.memo.get(word)) is not None:
             return v
-        padded, v = f" {word} ", self.nothing
+        v = self.nothing
         for n in GRAMS:
-            table = self.tables[n]
+            table, padded = self.tables[n], f" {word} " if n > 1 else word
             known = [x for i in range(len(padded) - n + 1) if (x := table.get(padded[i : i + n]))]
             if known:
                 v = tuple(sum(x) / len(known) for x in zip(*known, strict=True))
@@ -101,6 +101,8 @@ class Model:
         for w, n in votes.items():
             for i, x in enumerate(known.get(w) or self.word(w)):
                 sums[i] += n * x
+        if not any(sums):
+            return self.languages[0], 0.0
         scale = min(1.0, EVIDENCE / len(words))
         best = max(range(len(sums)), key=sums.__getitem__)
         return self.languages[best], 1 / sum(math.exp(max(-700.0, (x - sums[best]) * scale)) for x in sums)
@@ -121,7 +123,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", mod
     padded = words.select("lang", "n", F.concat(F.lit(" "), "key", F.lit(" ")).alias("key"))
     for n in GRAMS:
         grams = F.expr(f"explode(transform(sequence(1, greatest(length(key) - {n - 1}, 1)), i -> substring(key, i, {n})))")
-        counts = stage(padded.where(F.length("key") >= n).select("lang", "n", grams.alias("key")).groupBy("lang", "key").agg(F.sum("n").alias("n")))
+        counts = stage((padded if n > 1 else words).where(F.length("key") >= n).select("lang", "n", grams.alias("key")).groupBy("lang", "key").agg(F.sum("n").alias("n")))
         take(n, counts, model_grams)
     return Model(sorted(sizes[0]), tables, sizes)
 
@@ -130,7 +132,7 @@ def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     """One row per input row: id, held-out flag (crc32 remainder 2 of 4), lang_pred, score (the prediction's share of the votes).
 
     `und` with score 0: null texts, texts without a letter, and all texts if nothing was learned. Only the text is used
-    for a prediction. Ties go to the language that sorts first. Rows that repeat an id and null ids are kept.
+    for a prediction. Where no table knows any part of the text the score is 0. Ties go to the language that sorts first. Rows that repeat an id and null ids are kept.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), (remainder(F.col(id_col), 4) == 2).alias("held_out"), F.col(text_col).alias("text"))
     kind = StructType([source.schema["doc_id"], StructField("held_out", BooleanType()), StructField("lang_pred", StringType()), StructField("score", DoubleType())])
