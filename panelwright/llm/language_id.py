@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
+from panelwright.llm.ship import map_arrow
 from panelwright.session import stage
 
 #: Entries of the tables: they bound what is broadcast and what a worker holds.
@@ -145,7 +146,7 @@ def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
             columns = [b.column(0), b.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score"])
 
-    return source.mapInArrow(run, kind).withColumnRenamed("doc_id", id_col)
+    return map_arrow(source, run, kind).withColumnRenamed("doc_id", id_col)
 
 
 def learned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
@@ -165,4 +166,4 @@ def drop_unidentified(docs: DataFrame, least: float = LEAST_SCORE, id_col: str =
             found = [predict(t) for t in b.column(at).to_pylist()]
             yield b.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

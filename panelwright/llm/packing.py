@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.llm.ship import map_arrow
 from panelwright.session import stage
 
 LENGTH = 1024
@@ -178,7 +179,7 @@ def packed(
 
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     out = StructType([source.schema["doc_id"], *StructType.fromDDL(PIECE), *StructType.fromDDL("open boolean, part long")])
-    pieces = stage(source.mapInArrow(_pieces(to_arrow_schema(out), tokenizer, length, windows, cut_from), out))
+    pieces = stage(map_arrow(source, _pieces(to_arrow_schema(out), tokenizer, length, windows, cut_from), out))
     names = ["doc_id", *StructType.fromDDL(PIECE).names]
     merged_type = StructType([out[n] for n in names])
     rest = pieces.where("open").select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.floor(F.col("part") / MERGED).alias("near"))

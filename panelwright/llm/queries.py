@@ -11,6 +11,8 @@ from panelwright.llm.decontamination import overlaps
 from panelwright.llm.exact_dedup import exact_groups
 from panelwright.llm.language_id import identified, learned
 from panelwright.llm.packing import packed
+from panelwright.llm.personal_data import fit as fit_personal_data
+from panelwright.llm.personal_data import personal_data
 from panelwright.llm.simhash_dedup import near_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +96,9 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return identified(docs, learned(docs))
+
+
+@query("op3_personal_data")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return personal_data(docs, fit_personal_data(docs))

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from panelwright.llm.components import components
+from panelwright.llm.ship import map_arrow
 from panelwright.session import stage
 
 SHINGLE = 3
@@ -62,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             prints = pa.array([_fingerprint(t, shingle) for t in b.column(1).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), prints], names=["doc_id", "fingerprint"])
 
-    return source.mapInArrow(run, kind)
+    return map_arrow(source, run, kind)
 
 
 def linked_fingerprints(different: DataFrame, segments: int = SEGMENTS) -> DataFrame:
