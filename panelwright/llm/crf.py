@@ -68,7 +68,7 @@ def viterbi(chain: Chain, scores: np.ndarray, lengths: list[int]) -> list[np.nda
     return out
 
 
-def fit_chain(nodes: list[list[int]], labels: list[int], lengths: list[int], kinds: int, rounds: int = 60, rate: float = 0.3, penalty: float = 1e-4, barred: np.ndarray | None = None) -> Chain:
+def fit_chain(nodes: list[list[int]], labels: list[int], lengths: list[int], kinds: int, rounds: int = 100, rate: float = 0.1, penalty: float = 1e-4, barred: np.ndarray | None = None) -> Chain:
     """Maximum likelihood by full gradients (AdaGrad) with forward and backward passes. `barred` transitions stay impossible."""
     chain = Chain(np.zeros((BUCKETS, kinds)), np.zeros((kinds, kinds)), np.zeros(kinds))
     if barred is not None:

@@ -13,6 +13,8 @@ from panelwright.llm.language_id import identified, learned
 from panelwright.llm.packing import packed
 from panelwright.llm.personal_data import fit as fit_personal_data
 from panelwright.llm.personal_data import personal_data
+from panelwright.llm.secrets import fit as fit_secrets
+from panelwright.llm.secrets import secrets
 from panelwright.llm.simhash_dedup import near_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -102,3 +104,9 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return personal_data(docs, fit_personal_data(docs))
+
+
+@query("op4_secrets")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return secrets(docs, fit_secrets(docs))

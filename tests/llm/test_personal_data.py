@@ -81,7 +81,7 @@ def test_field_keeps_base_and_carries_labels_to_other_mentions(spark):
         (903, None), (904, ""), (None, "x@y.zz"), (900, "x@y.zz"), (905, "word " * 100_000 + "a@b.cc"),
     ]
     df = spark.createDataFrame([(*d, "k") for d in docs], "doc_id long, text string, spans string").repartition(4)
-    rows = personal_data(df, fit(df)).collect()
+    rows = personal_data(df, fit(spark.createDataFrame(corpus(), "doc_id long, text string"))).collect()
     assert len(rows) == len(docs)
     texts = {}
     for i, t in docs:
