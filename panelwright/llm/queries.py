@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelwright.llm.decontamination import overlaps
 from panelwright.llm.exact_dedup import exact_groups
 from panelwright.llm.language_id import identified, learned
+from panelwright.llm.line_dedup import without_repeated_lines
 from panelwright.llm.packing import packed
 from panelwright.llm.personal_data import fit as fit_personal_data
 from panelwright.llm.personal_data import personal_data
@@ -110,3 +111,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     return secrets(docs, fit_secrets(docs))
+
+
+@query("op1_line_dedup")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return without_repeated_lines(table(spark, folder, "documents")).select("doc_id", "text", F.col("_n_removed").alias("n_removed"))
