@@ -30,21 +30,19 @@ BROADCAST_BYTES = 64 << 20
 
 def words(text: Column) -> Column:
     """Lower-case runs of letters and digits; null gives an empty array."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def _seeds(tokens: DataFrame, column: str, span: int, masks: tuple) -> DataFrame:
-    """The rows with `seed`, one for each mask and each position `pos` at which a window of `span` words begins."""
-    array, count = F.col(column), F.col("_windows")
+    """The rows with `seed`, one for each mask and each position `pos` at which a window of `span` words begins.
 
-    def at(k: int, mask: tuple) -> Column:
-        lead, *rest = mask
-        hashed = lambda first, i: F.xxhash64(F.lit(k), first, *[F.get(array, i + o) for o in rest])
-        return F.transform(F.slice(array, lead + 1, count), hashed)
-
-    counted = tokens.withColumn("_windows", F.greatest(F.size(array) - span + 1, F.lit(0)))
-    found = counted.select("*", F.posexplode(F.flatten(F.array(*[at(k, m) for k, m in enumerate(masks)]))).alias("_at", "seed"))
-    return found.withColumn("pos", F.col("_at") % count).drop("_at", "_windows")
+    Positions are unfolded before they are hashed, so that hashing, and the join above it, run in compiled code and the
+    words are copied for hits only. The outer form keeps Spark from splitting the text once more to test for emptiness.
+    """
+    array = F.col(column)
+    placed = tokens.select("*", F.posexplode_outer(array).alias("pos", "_word")).where(F.col("pos") <= F.size(array) - span)
+    hashes = [F.xxhash64(F.lit(k), *[F.get(array, F.col("pos") + o) for o in mask]) for k, mask in enumerate(masks)]
+    return placed.select("*", F.explode(F.array(*hashes)).alias("seed")).drop("_word")
 
 
 def _masks(span: int) -> tuple:
@@ -86,14 +84,18 @@ def overlaps(
         return texts.where("false").select(F.col("doc_id").alias(id_col), *[F.lit(None).cast(t).alias(c) for c, t in [("item_id", benchmark.schema[item_col].dataType), *((n, "long") for n in ("first_word", "last_word", "matched", "windows"))]])
     found = reduce(DataFrame.unionByName, met)
     aligned = found.withColumn("shift", F.col("pos") - F.col("item_pos"))
-    # 1 where the document has the item's word at the item's position.
-    same = F.expr("transform(item, (w, i) -> if(i + shift >= 0 and get(doc, cast(i + shift as int)) = w, 1, 0))")
+    # The words beside the item's, and 1 where they agree in place.
+    beside = F.slice("doc", F.greatest(F.col("shift"), F.lit(0)) + 1, F.col("item_words"))
+    aligned = aligned.select("doc_id", "item_id", "shift", "item", "item_words", beside.alias("beside"))
+    same = F.expr("transform(item, (w, i) -> if(i + least(shift, 0) >= 0 and get(beside, i + least(shift, 0)) = w, 1, 0))")
     length = F.least(F.lit(window), F.col("item_words"))
     need = F.ceil(length * F.lit(similarity) - 1e-9)
     ones = F.aggregate("same", F.lit(0), lambda s, x: s + x)
-    counted = aligned.select("doc_id", "item_id", "shift", same.alias("same"), length.alias("length"), need.alias("need")).where(ones >= F.col("need"))
+    counted = aligned.select("doc_id", "item_id", "shift", same.alias("same"), length.alias("length"), need.alias("need"))
+    # Random hits end at the first test. It is no filter of its own: as one it would be drawn into the join and stop its compilation.
     counts = F.expr("transform(sequence(1, size(same) - length + 1), s -> struct(s - 1 as first, aggregate(slice(same, s, length), 0, (n, x) -> n + x) as matched))")
-    good = counted.select("doc_id", "item_id", "shift", "length", F.explode(F.filter(counts, lambda c: c["matched"] >= F.col("need"))).alias("w")).distinct()
+    overlapping = F.when(ones >= F.col("need"), F.filter(counts, lambda c: c["matched"] >= F.col("need")))
+    good = counted.select("doc_id", "item_id", "shift", "length", F.explode(overlapping).alias("w")).distinct()
     return good.groupBy(F.col("doc_id").alias(id_col), "item_id").agg(
         F.min(F.col("w.first") + F.col("shift")).cast("long").alias("first_word"),
         F.max(F.col("w.first") + F.col("shift") + F.col("length") - 1).cast("long").alias("last_word"),
