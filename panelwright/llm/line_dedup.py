@@ -6,9 +6,10 @@ blocks meet in a bucket, by the pigeonhole principle all pairs within DISTANCE b
 whose edit similarity reaches SIMILARITY are links. Of each connected group of lines one occurrence stays, the first by
 document id and line number.
 
-A bucket is never paired off with itself. Each member meets the bucket's least line first; what these links do not
-already connect is looked up in a second step, in which only members outside a bucket's largest group seek partners in
-other groups. The links found so connect the same groups as all links do.
+In a bucket each line is compared with the NEAR lines before it and with the least one; that is all pairs of a bucket
+of up to NEAR lines. A larger bucket is never paired off with itself: what these links do not already connect is looked
+up in a second step, in which only members outside the bucket's largest group seek partners in other groups. The links
+found so connect the same groups as all links do.
 """
 
 from __future__ import annotations
@@ -30,50 +31,79 @@ from panelwright.session import stage
 DISTANCE = 3
 BLOCKS = 5
 SIMILARITY = 0.8
-#: Words whose bits are counted at a time, and hashes that a worker keeps.
-WORDS = 300_000
-MEMO = 500_000
+#: Lines before it that a bucket's line is compared with.
+NEAR = 32
+#: Short words are in most lines and would draw all fingerprints together. They count only where fewer than
+#: LEAST_FEATURES others are there.
+SHORT = 3
+LEAST_FEATURES = 5
+#: Words whose hashes a worker keeps, 64 bytes and the word each.
+MEMO = 300_000
 #: Bytes of line numbers or line ids that may be broadcast.
 BROADCAST_BYTES = 64 << 20
 
-_OTHER = re.compile(r"[\W_]+")
-_DIGITS = str.maketrans(dict.fromkeys("123456789", "0"))
+# For UTF-8 bytes: ASCII marks become spaces, digits 0; what other marks there are is looked for afterwards.
+_ASCII = bytes(c if c == 10 or c > 127 or chr(c).isalpha() else 48 if chr(c).isdigit() else 32 for c in range(256))
+_MARK = re.compile(r"[^\w\s]")
 
 
-def normal_line(line: str) -> str:
-    return _OTHER.sub(" ", line.lower()).translate(_DIGITS).strip()
+def normal_lines(text: str) -> list[str]:
+    text = text.lower().encode("utf-8", "surrogatepass").translate(_ASCII).decode("utf-8", "surrogatepass")
+    if _MARK.search(text):
+        text = _MARK.sub(" ", text)
+    return [" ".join(line.split()) for line in text.split("\n")]
 
 
-class _Hashes(dict):
-    """xxh64 of words as they are asked for."""
+def line_features(line: str) -> set[str]:
+    words = set(line.split(" "))
+    long = {w for w in words if len(w) > SHORT}
+    return long if len(long) >= LEAST_FEATURES else words
 
-    def __missing__(self, word: str) -> int:
-        from xxhash import xxh64_intdigest
 
-        if len(self) >= MEMO:
-            self.clear()
-        value = self[word] = xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        return value
+class _Bits:
+    """The 64 hash bits of words as 64 counters of one byte, so that eight additions count a word."""
 
+    def __init__(self):
+        self.rows: dict[str, int] = {}
+        self.table = np.zeros((MEMO, 8), "<u8")
+        #: For each byte its bits, one in each byte of a word of eight.
+        self.spread = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8")[:, 0].copy()
 
-_hashes = _Hashes()
+    def of(self, words: list[str]) -> np.ndarray:
+        new = [w for w in set(words) if w not in self.rows]
+        if len(self.rows) + len(new) > MEMO:
+            self.rows, new = {}, list(set(words))
+            if len(new) > MEMO:
+                self.table = np.zeros((len(new), 8), "<u8")
+        if new:
+            from xxhash import xxh64_intdigest
+
+            hashes = np.array([xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in new], "<u8")
+            first = len(self.rows)
+            self.table[first : first + len(new)] = self.spread[hashes.view(np.uint8).reshape(-1, 8)]
+            self.rows.update(zip(new, range(first, first + len(new)), strict=True))
+        return self.table[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))]
+
+
+_bits: list[_Bits] = []
 
 
 def simhashes(lines: list[str]) -> np.ndarray:
-    """Signed 64-bit SimHash over the words of normalised, non-empty lines."""
-    out, first, size, words = [], 0, 0, []
-    for i, line in enumerate(lines):
-        words.append(line.split(" "))
-        size += len(words[-1])
-        if size >= WORDS or i + 1 == len(lines):
-            counts = np.fromiter(map(len, words), np.int64, len(words))
-            flat = np.fromiter(map(_hashes.__getitem__, itertools.chain.from_iterable(words)), np.uint64, size)
-            starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
-            bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-            out.append(np.packbits(ones * 2 > counts[:, None], axis=1, bitorder="little").view("<i8")[:, 0])
-            first, size, words = i + 1, 0, []
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+    """Signed 64-bit SimHash over the features of normalised, non-empty lines."""
+    if not lines:
+        return np.zeros(0, np.int64)
+    if not _bits:
+        _bits.append(_Bits())
+    features = [line_features(line) for line in lines]
+    counts = np.fromiter(map(len, features), np.int64, len(features))
+    spread = _bits[0].of(list(itertools.chain.from_iterable(features)))
+    ends = np.cumsum(counts)
+    # A byte counts to 255, so longer lines are counted in several parts.
+    starts = np.concatenate([np.arange(a, b, 255) for a, b in zip(ends - counts, ends, strict=True)]) if counts.max() > 255 else ends - counts
+    ones = np.add.reduceat(spread, starts, axis=0).view(np.uint8).reshape(-1, 64)
+    if len(starts) > len(lines):
+        ones = np.add.reduceat(ones, np.searchsorted(starts, ends - counts), axis=0, dtype=np.int64)
+    return np.packbits(ones > (counts // 2)[:, None], axis=1, bitorder="little").view("<i8")[:, 0]
 
 
 def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -89,11 +119,11 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 b = batch.slice(at, 500)
                 owner, numbers, lines = [], [], []
                 for i, text in enumerate(b.column(1).to_pylist()):
-                    for k, line in enumerate(text.split("\n")):
-                        if norm := normal_line(line):
+                    for k, line in enumerate(normal_lines(text)):
+                        if line:
                             owner.append(i)
                             numbers.append(k)
-                            lines.append(norm)
+                            lines.append(line)
                 ids = np.array([xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines], np.uint64).view(np.int64)
                 columns = [b.column(0).take(pa.array(owner, pa.int64())), pa.array(numbers, pa.int32()), pa.array(ids, pa.int64()), pa.array(simhashes(lines), pa.int64()), pa.array(lines, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=kind.names)
@@ -173,23 +203,28 @@ def _small(df: DataFrame, row_bytes: int) -> bool:
     return df.count() * row_bytes <= BROADCAST_BYTES
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, blocks: int = BLOCKS, similarity: float = SIMILARITY) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, blocks: int = BLOCKS, similarity: float = SIMILARITY, near: int = NEAR) -> DataFrame:
     """(id, lines array<int>): the line numbers of each document, from 0, that repeat a line kept elsewhere or before."""
     lines = stage(lines_of(docs, id_col, text_col))
     every = stage(lines.groupBy("line_id", "simhash").agg(F.min(_order()).alias("first"), F.count("*").alias("n")))
 
     keyed = every.select("line_id", "simhash", F.explode(_bucket_keys(F.col("simhash"), blocks, distance)).alias("key"))
-    in_bucket = "over (partition by key)"
-    met = keyed.select("*", F.expr(f"min(struct(line_id, simhash)) {in_bucket}").alias("least"), F.expr(f"count(*) {in_bucket}").alias("size")).where("size > 1")
-    buckets = stage(met.select("key", "line_id", "simhash", "least"))
-    stars = buckets.where((F.col("line_id") != F.col("least.line_id")) & _near(F.col("simhash"), F.col("least.simhash"), distance))
-    first_pairs = stage(stars.select(F.col("line_id").alias("u"), F.col("least.line_id").alias("v")).distinct())
+    met = keyed.select("*", F.expr("min(struct(line_id, simhash)) over (partition by key)").alias("least"), F.expr("count(*) over (partition by key)").alias("size")).where("size > 1")
+    before = F.expr(f"collect_list(struct(line_id, simhash)) over (partition by key order by line_id rows between {near} preceding and 1 preceding)")
+    close = F.filter(F.array_union("before", F.array("least")), lambda x: (x["line_id"] != F.col("line_id")) & _near(F.col("simhash"), x["simhash"], distance))
+    # Written in one go: the candidate pairs (u, v), and the rows of large buckets (key, u, s).
+    pair = F.transform(close, lambda x: F.struct(F.lit(None).cast("long").alias("key"), F.col("line_id").alias("u"), x["line_id"].alias("v"), F.col("simhash").alias("s")))
+    large = F.when(F.col("size") > near, F.array(F.struct(F.col("key"), F.col("line_id").alias("u"), F.lit(None).cast("long").alias("v"), F.col("simhash").alias("s"))))
+    both = met.withColumn("before", before).select(F.explode(F.concat(pair, F.coalesce(large, F.array()))).alias("x")).select("x.*")
+    both = stage(both)
+    first_pairs = stage(both.where("v is not null").select("u", "v").distinct())
+    buckets = both.where("key is not null").select("key", F.col("u").alias("line_id"), F.col("s").alias("simhash"))
     # The text of one occurrence of each line that has a candidate.
     texts = lines.join(first_pairs.select(F.col("u").alias("line_id")).union(first_pairs.select("v")).distinct(), "line_id", "left_semi")
     links = stage(_verified(first_pairs, texts.groupBy("line_id").agg(F.min("line").alias("line")), similarity))
     found = stage(components(links))
 
-    # Buckets that hold several groups: members outside the largest one look for partners in the others.
+    # Large buckets that hold several groups: members outside the largest one look for partners in the others.
     grouped = buckets.join(found, buckets["line_id"] == found["node"], "left").select("key", "line_id", "simhash", F.coalesce("root", "line_id").alias("group"))
     sizes = grouped.groupBy("key", "group").agg(F.count("*").alias("members"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("members", "group")).alias("most"), F.count("*").alias("groups")).where("groups > 1")
