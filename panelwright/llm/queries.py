@@ -116,3 +116,10 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_line_dedup")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return without_repeated_lines(table(spark, folder, "documents")).select("doc_id", "text", F.col("_n_removed").alias("n_removed"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
