@@ -11,6 +11,7 @@ from panelwright.llm.decontamination import overlaps
 from panelwright.llm.exact_dedup import exact_groups
 from panelwright.llm.language_id import identified, learned
 from panelwright.llm.line_dedup import without_repeated_lines
+from panelwright.llm.lm_scoring import lm_scores
 from panelwright.llm.packing import packed
 from panelwright.llm.personal_data import fit as fit_personal_data
 from panelwright.llm.personal_data import personal_data
@@ -123,3 +124,8 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, folder)
+
+
+@query("op2_lm_scoring")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scores(table(spark, folder, "documents"))
