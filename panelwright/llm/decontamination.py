@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.llm.decided import without_ids
 from panelwright.session import stage
 
 #: Masks as offsets of the words that count: five words each, among eight.
@@ -106,5 +107,5 @@ def overlaps(
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without any overlap, with all their columns."""
-    hit = stage(overlaps(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_hit_id")).distinct())
-    return docs.join(hit, docs[id_col].eqNullSafe(hit["_hit_id"]), "left_anti")
+    hit = overlaps(docs, benchmark, id_col, text_col)
+    return without_ids(docs, id_col, hit.select(F.col(id_col).alias("_id"), F.lit(False).alias("_stays")))

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.llm.decided import without_ids
 from panelwright.session import stage
 
 #: A digest with at least one in HEAVY_SHARE of the rows is heavy: at most HEAVY_SHARE digests can be.
@@ -60,5 +61,5 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns. Ids are expected to be unique; rows with a null id that stay are returned too."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    found = exact_groups(docs, id_col, text_col)
+    return without_ids(docs, id_col, found.select(F.col(id_col).alias("_id"), F.col("kept").alias("_stays")))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from panelwright.llm.decontamination import overlaps
 from panelwright.llm.exact_dedup import exact_groups
 from panelwright.llm.language_id import identified, learned
+from panelwright.llm.licences import licences
 from panelwright.llm.line_dedup import without_repeated_lines
 from panelwright.llm.lm_scoring import lm_scores
 from panelwright.llm.packing import packed
@@ -129,3 +130,8 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 @query("op2_lm_scoring")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     return lm_scores(table(spark, folder, "documents"))
+
+
+@query("op10_licences")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return licences(table(spark, folder, "documents"))

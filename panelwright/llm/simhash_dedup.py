@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from panelwright.llm.components import components
+from panelwright.llm.decided import without_ids
 from panelwright.llm.ship import map_arrow
 from panelwright.session import stage
 
@@ -99,5 +100,5 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with the least id of each group, with all their columns; rows with a null id alone in their group stay."""
-    kept = near_groups(docs, id_col, text_col).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_kept_id")).distinct()
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["_kept_id"]), "left_semi")
+    found = near_groups(docs, id_col, text_col)
+    return without_ids(docs, id_col, found.select(F.col(id_col).alias("_id"), F.col(id_col).eqNullSafe(F.col("component_id")).alias("_stays")))
