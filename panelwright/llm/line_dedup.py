@@ -32,7 +32,7 @@ DISTANCE = 3
 BLOCKS = 5
 SIMILARITY = 0.8
 #: Lines before it that a bucket's line is compared with.
-NEAR = 32
+NEAR = 8
 #: Short words are in most lines and would draw all fingerprints together. They count only where fewer than
 #: LEAST_FEATURES others are there.
 SHORT = 3
@@ -54,9 +54,9 @@ def normal_lines(text: str) -> list[str]:
     return [" ".join(line.split()) for line in text.split("\n")]
 
 
-def line_features(line: str) -> set[str]:
-    words = set(line.split(" "))
-    long = {w for w in words if len(w) > SHORT}
+def line_features(line: str) -> list[str]:
+    words = line.split(" ")
+    long = [w for w in words if len(w) > SHORT]
     return long if len(long) >= LEAST_FEATURES else words
 
 
@@ -70,19 +70,21 @@ class _Bits:
         self.spread = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8")[:, 0].copy()
 
     def of(self, words: list[str]) -> np.ndarray:
-        new = [w for w in set(words) if w not in self.rows]
-        if len(self.rows) + len(new) > MEMO:
-            self.rows, new = {}, list(set(words))
-            if len(new) > MEMO:
-                self.table = np.zeros((len(new), 8), "<u8")
-        if new:
+        at = np.fromiter(map(self.rows.get, words, itertools.repeat(-1)), np.int64, len(words))
+        if len(missing := np.flatnonzero(at < 0)):
             from xxhash import xxh64_intdigest
 
+            new = list(dict.fromkeys([words[i] for i in missing.tolist()]))
+            if len(self.rows) + len(new) > MEMO:
+                self.rows, missing, new = {}, np.arange(len(words)), list(dict.fromkeys(words))
+                if len(new) > len(self.table):
+                    self.table = np.zeros((len(new), 8), "<u8")
             hashes = np.array([xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in new], "<u8")
             first = len(self.rows)
             self.table[first : first + len(new)] = self.spread[hashes.view(np.uint8).reshape(-1, 8)]
             self.rows.update(zip(new, range(first, first + len(new)), strict=True))
-        return self.table[np.fromiter(map(self.rows.__getitem__, words), np.int64, len(words))]
+            at[missing] = [self.rows[words[i]] for i in missing.tolist()]
+        return self.table[at]
 
 
 _bits: list[_Bits] = []
@@ -182,8 +184,16 @@ def _bucket_keys(simhash: Column, blocks: int, distance: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(k), simhash.bitwiseAND(F.lit(m - (m >> 63 << 64)).cast("long"))) for k, m in enumerate(masks)])
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose lines are similar."""
+def _small(df: DataFrame, row_bytes: int) -> bool:
+    return df.count() * row_bytes <= BROADCAST_BYTES
+
+
+def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose lines are similar. Texts of lines without a candidate are left where they are if the ids are few."""
+    ids = stage(pairs.select(F.col("u").alias("line_id")).union(pairs.select("v")).distinct())
+    wanted = lines.select("line_id", "line").join(F.broadcast(ids) if _small(ids, 16) else ids, "line_id", "left_semi")
+    # One text of each line: a copy of a frequent line is as good as another.
+    texts = wanted.groupBy("line_id").agg(F.max("line").alias("line"))
     both = pairs.join(texts.select(F.col("line_id").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("line_id").alias("v"), F.col("line").alias("b")), "v").select("u", "v", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,10 +209,6 @@ def _order(id_col: str = "doc_id") -> Column:
     return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("doc_id"), F.col("line_no"))
 
 
-def _small(df: DataFrame, row_bytes: int) -> bool:
-    return df.count() * row_bytes <= BROADCAST_BYTES
-
-
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, blocks: int = BLOCKS, similarity: float = SIMILARITY, near: int = NEAR) -> DataFrame:
     """(id, lines array<int>): the line numbers of each document, from 0, that repeat a line kept elsewhere or before."""
     lines = stage(lines_of(docs, id_col, text_col))
@@ -219,9 +225,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     both = stage(both)
     first_pairs = stage(both.where("v is not null").select("u", "v").distinct())
     buckets = both.where("key is not null").select("key", F.col("u").alias("line_id"), F.col("s").alias("simhash"))
-    # The text of one occurrence of each line that has a candidate.
-    texts = lines.join(first_pairs.select(F.col("u").alias("line_id")).union(first_pairs.select("v")).distinct(), "line_id", "left_semi")
-    links = stage(_verified(first_pairs, texts.groupBy("line_id").agg(F.min("line").alias("line")), similarity))
+    links = stage(_verified(first_pairs, lines, similarity))
     found = stage(components(links))
 
     # Large buckets that hold several groups: members outside the largest one look for partners in the others.
@@ -234,8 +238,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     across = seekers.join(partners, "key").where((F.col("g") != F.col("h")) & _near(F.col("s"), F.col("t"), distance) & ((F.col("h") == F.col("largest")) | (F.col("u") < F.col("v"))))
     second_pairs = stage(across.select("u", "v").distinct())
     if not second_pairs.isEmpty():
-        texts = lines.join(second_pairs.select(F.col("u").alias("line_id")).union(second_pairs.select("v")).distinct(), "line_id", "left_semi")
-        links = links.unionByName(_verified(second_pairs, texts.groupBy("line_id").agg(F.min("line").alias("line")), similarity))
+        links = links.unionByName(_verified(second_pairs, lines, similarity))
         found = stage(components(links))
 
     marked = every.join(found, every["line_id"] == found["node"], "left").where("n > 1 or root is not null").select("line_id", "simhash", "first", F.coalesce("root", "line_id").alias("group"))
