@@ -91,7 +91,7 @@ def on_distinct(
     """Apply `derive` to the distinct combinations of some columns and join the new columns back.
 
     The combinations are written once and counted; beyond `max_rows` of them `derive` runs per row.
-    Reading them back also keeps a later filter on the derived columns from moving below the distinct
+    Spark knows the size of the written table and chooses the join by it. Reading them back also keeps a later filter on the derived columns from moving below the distinct
     step, where it would be evaluated for every row after all.
     """
     combos = stage(df.select(*columns).distinct().limit(max_rows + 1))
@@ -99,7 +99,7 @@ def on_distinct(
         return derive(df)
     known = derive(combos).withColumnsRenamed({c: f"_d_{c}" for c in columns})
     same = reduce(lambda x, y: x & y, [df[c].eqNullSafe(known[f"_d_{c}"]) for c in columns])
-    return df.join(F.broadcast(known), same, "left").drop(*[f"_d_{c}" for c in columns])
+    return df.join(known, same, "left").drop(*[f"_d_{c}" for c in columns])
 
 
 def classify_types(df: DataFrame, type_col: str, out: str = "category", max_types: int = 100_000) -> DataFrame:

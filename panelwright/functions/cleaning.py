@@ -121,10 +121,10 @@ def landuse_code(c: Column) -> Column:
 
 
 def plain_landuse_code(c: Column) -> Column:
-    """Whole number text of a land-use code, unparsable values unchanged."""
+    """Whole number text of a land-use code; texts without one (words, 'nan', infinite or huge numbers) unchanged."""
     s = F.trim(c.cast("string"))
-    n = s.try_cast("double")
-    return F.when(s.isNull(), None).otherwise(F.coalesce(n.cast("long").cast("string"), s))
+    n = s.try_cast("double").try_cast("long")
+    return F.when(s.isNull(), None).otherwise(F.coalesce(n.cast("string"), s))
 
 
 def borough_name(c: Column) -> Column:

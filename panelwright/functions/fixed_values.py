@@ -358,3 +358,8 @@ DEFAULT_SPLIT = {
 }
 MIN_CATEGORY_POSITIVES = 30
 NO_SCORE = -1e9
+
+# Parts of column names that decide how a missing parcel figure is filled (Q01), tested in this order.
+AVERAGE_WORDS = ["avg_", "mean", "median", "num_floors", "floor", "far", "building_area_to_lot_area_ratio"]
+RATIO_WORDS = ["_ratio", "_share", "_hhi", "entropy", "mixed_use_index"]
+VOLUME_WORDS = ["_count", "_sum", "_density", "total_", "lot_area_", "building_area", "parcel_density", "buildings", "units", "area"]

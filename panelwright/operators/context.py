@@ -353,10 +353,14 @@ def standardise_preaggregated(df: DataFrame, areas: DataFrame, key: str, prefix:
     return joined.withColumn(f"{prefix}{count}_density_per_km2", ratio(n, F.col("area_km2")))
 
 
-def dominant_of_long(long: DataFrame, key: str, category: str, n: str, domain: Sequence[str]) -> DataFrame:
-    """E25 over a long table of counts, for domains too wide for columns."""
+def dominant_of_long(long: DataFrame, key: str, category: str, n: str, domain: Sequence[str] = ()) -> DataFrame:
+    """E25 over a long table of counts, for domains too wide for columns.
+
+    Ties go to the level that `domain` lists first, then to other levels in their own order, a null level last.
+    """
     w = Window.partitionBy(key)
-    order = F.array_position(F.array(*[F.lit(d) for d in domain]), F.col(category))
+    listed = F.array_position(F.array(*[F.lit(d) for d in domain]).cast("array<string>"), F.col(category)) if domain else F.lit(0)
+    order = F.struct(F.col(category).isNull(), F.coalesce(listed, F.lit(0)) == 0, listed, F.col(category))
     ranked = long.withColumn("_t", F.sum(n).over(w))
     return ranked.where(F.col(n) > 0).groupBy(key).agg(
         F.min_by(category, F.struct(-F.col(n), order)).alias("dominant"),

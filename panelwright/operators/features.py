@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,11 +36,19 @@ def rolling(count: str, w, weeks: Sequence[int] = tuple(fv.ROLLING_WEEKS), full_
     return out
 
 
-def abnormal_next_week(count: str, w, weeks: int, multiplier_halves: int, n_expr: Column | None = None) -> Column:
+def exact_multiplier(multiplier: float) -> Fraction:
+    """The multiplier as the fraction its decimal notation says; squares of larger denominators would not fit the comparison."""
+    exact = Fraction(str(multiplier))
+    if exact < 0 or exact.denominator > 100 or exact.numerator > 10_000:
+        raise ValueError("label multiplier must be a non-negative decimal with two places at most")
+    return exact
+
+
+def abnormal_next_week(count: str, w, weeks: int, multiplier: float, n_expr: Column | None = None) -> Column:
     """next > mean + m*std over the n weeks before t, in whole numbers.
 
-    With S = sum x, Q = sum x*x, d = n*next - S and m = multiplier_halves / 2 the comparison equals
-    d > 0 and 4(n-1)d^2 > (2m)^2 n (nQ - S^2): no rounding, so exact ties are decided correctly.
+    With S = sum x, Q = sum x*x, d = n*next - S and m = p / q the comparison equals
+    d > 0 and (n-1) q^2 d^2 > p^2 n (nQ - S^2): no rounding, so exact ties are decided correctly.
     Null unless the window is full and a next week exists.
     """
     frame = w.rowsBetween(-weeks, -1)
@@ -50,8 +59,9 @@ def abnormal_next_week(count: str, w, weeks: int, multiplier_halves: int, n_expr
     # decimals keep the squares exact for weekly counts up to about 10^11
     wide = lambda c: c.cast("decimal(19,0)")
     d = wide(nxt * weeks - s)
-    left = d * d * F.lit(4 * (weeks - 1))
-    right = (wide(q) * F.lit(weeks) - wide(s) * wide(s)) * F.lit(multiplier_halves * multiplier_halves * weeks)
+    m = exact_multiplier(multiplier)
+    left = d * d * F.lit(m.denominator**2 * (weeks - 1))
+    right = (wide(q) * F.lit(weeks) - wide(s) * wide(s)) * F.lit(m.numerator**2 * weeks)
     return F.when(full & nxt.isNotNull(), ((d > 0) & (left > right)).cast("int"))
 
 
@@ -77,16 +87,13 @@ def add_temporal_features(
 ) -> DataFrame:
     """All temporal features, the label and the readiness flags (F01-F06, F08) over one exchange."""
     w = series_window(series)
-    halves = round(multiplier * 2)
-    if halves != multiplier * 2:
-        raise ValueError("label multiplier must be a multiple of one half")
     base = panel.withColumns(
         {
             "history_weeks": F.row_number().over(w) - 1,
             **lags("n", w),
             **rolling("n", w, full_window=full_window),
             "next_week_count": F.lead("n", 1).over(w).cast("double"),
-            "is_abnormal_next_week": abnormal_next_week("n", w, fv.LABEL_WEEKS, halves),
+            "is_abnormal_next_week": abnormal_next_week("n", w, fv.LABEL_WEEKS, multiplier),
         }
     )
     return add_readiness(base.withColumns(momentum()), multiplier, min_history)
@@ -112,7 +119,7 @@ def label_variants(panel: DataFrame, definitions: Sequence[tuple[int, float]], s
     """One 0/1 column per (window, multiplier) definition (F07); an undefined label counts as 0."""
     w = series_window(series)
     made = {
-        f"label_{n}w_{str(m).replace('.', '_')}": F.coalesce(abnormal_next_week("n", w, n, round(2 * m)), F.lit(0))
+        f"label_{n}w_{str(m).replace('.', '_')}": F.coalesce(abnormal_next_week("n", w, n, m), F.lit(0))
         for n, m in definitions
     }
     return panel.withColumns({**made, "has_target_next_week": F.lead("n", 1).over(w).isNotNull().cast("int")})

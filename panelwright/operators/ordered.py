@@ -19,26 +19,32 @@ from pyspark.sql.window import Window
 from ..session import stage
 
 ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 2_000
+
+
+def ordered_value(df: DataFrame, value: str) -> Column:
+    """The column with NaN as null: neither has a place in an order."""
+    return F.nanvl(F.col(value), F.lit(None)) if dict(df.dtypes)[value] in ("double", "float") else F.col(value)
 
 
 def range_cuts(df: DataFrame, value: str, rows_per_range: int = ROWS_PER_RANGE) -> list[float]:
     """Cut points for about `rows_per_range` rows each; empty when one range is enough.
 
-    The list that reaches the driver has at most MAX_RANGES numbers whatever the data size.
+    The list that reaches the driver has one number for each range of rows.
     """
-    ranges = min(MAX_RANGES, math.ceil(df.count() / rows_per_range))
+    ranges = math.ceil(df.count() / rows_per_range)
     if ranges <= 1:
         return []
     probs = [i / ranges for i in range(1, ranges)]
-    return sorted(set(df.approxQuantile(value, probs, 0.25 / ranges)))
+    return sorted({c for c in df.approxQuantile(value, probs, 0.25 / ranges) if math.isfinite(c)})
 
 
 def with_range(df: DataFrame, value: str, cuts: Sequence[float], out: str = "_range") -> DataFrame:
+    """Number of the range that holds the value; nulls (and NaN) have a range of their own after all others."""
     if not cuts:
-        return df.withColumn(out, F.lit(0.0))
+        return df.withColumn(out, F.when(ordered_value(df, value).isNull(), F.lit(1.0)).otherwise(F.lit(0.0)))
     edges = [float("-inf"), *cuts, float("inf")]
-    return Bucketizer(splits=edges, inputCol=value, outputCol=out).transform(df)
+    ranged = Bucketizer(splits=edges, inputCol=value, outputCol=out, handleInvalid="keep").transform(df)
+    return ranged.withColumn(out, F.coalesce(out, F.lit(len(cuts) + 1.0)))
 
 
 def running_totals(
@@ -52,11 +58,13 @@ def running_totals(
 ) -> DataFrame:
     """Inclusive running sums of `measures` (input -> output) per group in the order of `value`.
 
-    `value` must be numeric; `then` breaks ties. Groups are `keys`, possibly none.
+    `value` must be numeric; `then` breaks ties. Groups are `keys`, possibly none. NaN becomes null; nulls come last in
+    either direction and are counted like any row. Data of one range takes the plain window with the same result.
     """
+    df = df.withColumn(value, ordered_value(df, value))
     cuts = range_cuts(df, value) if cuts is None else cuts
     keys = list(keys)
-    order = [F.col(value).desc() if descending else F.col(value).asc(), *[F.col(t).asc() for t in then]]
+    order = [F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last(), *[F.col(t).asc() for t in then]]
     if not cuts:
         whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({out: F.sum(m).over(whole) for m, out in measures.items()})
@@ -65,8 +73,9 @@ def running_totals(
     inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumns({out: F.sum(m).over(inside) for m, out in measures.items()})
 
-    first = F.col("_range").desc() if descending else F.col("_range").asc()
-    before = Window.partitionBy(*keys).orderBy(first).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.lit(len(cuts) + 1.0)
+    first = F.when(F.col("_range") == last, F.lit(1)).otherwise(F.lit(0)), F.col("_range").desc() if descending else F.col("_range").asc()
+    before = Window.partitionBy(*keys).orderBy(*first).rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy(*keys, "_range").agg(*[F.sum(m).alias(f"_t_{out}") for m, out in measures.items()])
     offsets = totals.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
@@ -84,7 +93,7 @@ def running_totals(
 
 def histogram(df: DataFrame, keys: Sequence[str], value: str, out: str = "_cnt") -> DataFrame:
     """Distinct values with their counts per group: the pre-aggregated input of all order statistics."""
-    return df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias(out))
+    return df.withColumn(value, ordered_value(df, value)).where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias(out))
 
 
 def distribution(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:

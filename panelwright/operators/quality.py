@@ -8,13 +8,11 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import fixed_values as fv
 from ..functions.cleaning import flag_or_zero
 from .ordered import melt, quantiles
 
 NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
-AVERAGE_WORDS = r"avg_|mean|median|num_floors|floor|far"
-RATIO_WORDS = r"_ratio|_share|_hhi|entropy|mixed_use_index"
-VOLUME_WORDS = r"_count|_sum|_density|total_|lot_area_|building_area|parcel_density|buildings|units|area"
 
 
 def numeric_columns(df: DataFrame, skip: Sequence[str] = ()) -> list[str]:
@@ -33,9 +31,9 @@ def strategy(source: str, column: str) -> str:
         return "median"
     if source == "poi":
         return "zero"
-    if re.search(AVERAGE_WORDS, column):
+    if any(word in column for word in fv.AVERAGE_WORDS):
         return "median"
-    if re.search(RATIO_WORDS, column) or re.search(VOLUME_WORDS, column):
+    if any(word in column for word in (*fv.RATIO_WORDS, *fv.VOLUME_WORDS)):
         return "zero"
     return "median"
 
@@ -66,6 +64,28 @@ def imputation_defaults(dimensions: Mapping[str, tuple[DataFrame, Sequence[str]]
     return out
 
 
+def text_defaults(dimensions: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+    """One row per text column of a dimension: source, column_name and the word for a missing value (Q01).
+
+    Points of interest have "none", all other sources "unknown". Other sources than parcels and points may be named
+    freely; their keys are left out.
+    """
+    rows = [
+        (source, c, "none" if source == "poi" else "unknown")
+        for source, (df, keys) in dimensions.items()
+        for c, kind in df.dtypes
+        if kind == "string" and c not in keys
+    ]
+    spark = next(iter(dimensions.values()))[0].sparkSession
+    return spark.createDataFrame(rows, "source string, column_name string, value string")
+
+
+def apply_text_defaults(df: DataFrame, defaults: DataFrame) -> DataFrame:
+    """Fill null texts from the table of `text_defaults`, which holds one short row per column (Q02)."""
+    rows = {r["column_name"]: r["value"] for r in defaults.collect() if r["column_name"] in df.columns}
+    return df.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in rows.items()})
+
+
 def apply_defaults(df: DataFrame, defaults: DataFrame) -> DataFrame:
     """Fill nulls from the defaults table (Q02), which holds one short row per column."""
     have = dict(df.dtypes)

@@ -128,8 +128,13 @@ def tune(hist: DataFrame, keys: Sequence[str], grid: Grid = Grid(), strategy: st
 
 
 def rule_threshold(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Best-F1 threshold of unbounded rule scores."""
-    return tune(hist, keys, RULE_GRID)
+    """Best-F1 threshold of unbounded rule scores (H13); 0.0 where all rows are of one class."""
+    keys = list(keys)
+    chosen = tune(hist, keys, RULE_GRID)
+    one_class = (F.col("positive_rows") == 0) | (F.col("positive_rows") == F.col("row_count"))
+    at_zero = threshold_grid(hist, keys, candidates(hist, keys, Grid(step=0, quantiles=0, fixed=(0.0,), bounded=False, digits=None)))
+    at_zero = at_zero.where(one_class).withColumn("strategy", F.lit("best_f1")).select(chosen.columns)
+    return chosen.where(~one_class).unionByName(at_zero)
 
 
 def category_thresholds(

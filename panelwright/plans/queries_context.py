@@ -688,8 +688,7 @@ def _(t):
 )
 def _(t):
     counts = t.documents.groupBy("source", "lang").agg(F.count("*").alias("n"))
-    langs = [r["lang"] for r in top_rows(t.documents.select("lang").distinct(), [F.asc("lang")], 100).collect()]
-    return ctx.dominant_of_long(counts, "source", "lang", "n", langs)
+    return ctx.dominant_of_long(counts, "source", "lang", "n")
 
 
 @query(

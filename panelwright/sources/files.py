@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,17 +37,35 @@ def scan_parts(
 ) -> DataFrame:
     """Read all part files of a glob as one table, all text unless a schema is given.
 
-    Summary files in the same folder are left out by path and each row knows its file. Compressed CSV
+    Parts may differ in the order and number of their columns: each is read by its own header, and what a part lacks is
+    null. Summary files are left out before anything is read (any case) and each row knows its file. Compressed CSV
     parts are one task each, so land them once as Parquet with `land` before heavy use.
     """
+    listed = [paths] if isinstance(paths, str) else list(paths)
+    found = [r["path"] for p in listed for r in list_files(spark, p).select("path").collect()]
+    kept = sorted(p for p in found if exclude.lower() not in p.rsplit("/", 1)[-1].lower())
+    if not kept:
+        raise FileNotFoundError(f"no part files in {paths}")
     reader = spark.read.format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", schema is None)
+        reader = reader.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False)
     if schema is not None:
         reader = reader.schema(schema)
-    df = reader.load(paths)
-    kept = df.where(~F.col("_metadata.file_name").contains(exclude)).withColumn("source_file", F.col("_metadata.file_name"))
-    return project(normalise_headers(kept), [*required, "source_file"], optional, str(paths))
+    groups = by_header(spark, kept) if fmt == "csv" and schema is None else [kept]
+    parts = [normalise_headers(reader.load(g).withColumn("source_file", F.col("_metadata.file_name"))) for g in groups]
+    df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return project(df, [*required, "source_file"], optional, str(paths))
+
+
+def by_header(spark: SparkSession, paths: Sequence[str]) -> list[list[str]]:
+    """Text files with the same first line together: columns are bound by name within a group. One short read per file."""
+    with ThreadPoolExecutor(16) as pool:
+        heads = list(pool.map(lambda p: (spark.read.text(p).head(1) or [("",)])[0][0], paths))
+    groups: dict[str, list[str]] = {}
+    for path, head in zip(paths, heads, strict=True):
+        if head:
+            groups.setdefault(head, []).append(path)
+    return list(groups.values())
 
 
 def land(df: DataFrame, path: str, partition: Sequence[str] = (), overwrite: bool = False) -> str:
@@ -139,8 +159,10 @@ def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 
 def unseen_files(available: DataFrame, processed: DataFrame) -> DataFrame:
-    """Files that no earlier run has recorded."""
-    return available.join(processed.select("path").distinct(), "path", "left_anti")
+    """Files that no earlier run has recorded (A09); `file:/x` and `file:///x` are the same path."""
+    same = lambda c: F.regexp_replace(c, "^file:/*", "/")
+    known = processed.select(same(F.col("path")).alias("_known")).distinct()
+    return available.join(known, same(F.col("path")) == F.col("_known"), "left_anti")
 
 
 def file_report(df: DataFrame, file: str, bad_date: Column, missing_key: Column, matched: Column) -> DataFrame:

@@ -29,6 +29,7 @@ def test_landuse_codes(spark):
     raw = ["1", "01", "1.0", "10", "01 Family", None, "", "007", "11 x", "abc"]
     assert one(spark, raw, cln.landuse_code) == ["01", "01", "01", "10", "01", "unknown", "unknown", "07", "11", "abc"]
     assert one(spark, ["1.0", "01", "x", None], cln.plain_landuse_code) == ["1", "1", "x", None]
+    assert one(spark, ["nan", "Infinity", "1e30"], cln.plain_landuse_code) == ["nan", "Infinity", "1e30"]
     assert one(spark, ["mn", "5", "new york", None], cln.borough_name) == ["Manhattan", "Staten Island", "New York", "unknown"]
 
 
@@ -92,4 +93,14 @@ def test_bad_label_multiplier_is_refused(spark):
 
     df = spark.createDataFrame([("a", date(2020, 1, 6), "c", 1)], "area string, week_start date, category string, n long")
     with pytest.raises(ValueError):
-        add_temporal_features(df, multiplier=1.3)
+        add_temporal_features(df, multiplier=1.333)
+
+
+def test_label_multipliers_are_exact():
+    from fractions import Fraction
+
+    from panelwright.operators.features import exact_multiplier
+
+    assert exact_multiplier(1.25) == Fraction(5, 4) and exact_multiplier(1.3) == Fraction(13, 10) and exact_multiplier(2) == 2
+    with pytest.raises(ValueError):
+        exact_multiplier(-1.0)

@@ -70,3 +70,23 @@ def test_keep_first_and_top_per_group(spark):
     assert first.count() == df.select("k").distinct().count()
     plan = ordered.top_per_group(df, ["k"], [F.desc("v"), F.asc("i")], 3)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
+
+
+@pytest.mark.parametrize("descending", [False, True])
+@pytest.mark.parametrize("ranged", [False, True])
+def test_nulls_nan_and_ties_are_counted_and_come_last(spark, request, ranged, descending):
+    if ranged:
+        request.getfixturevalue("many_ranges")
+    rnd = random.Random(4)
+    values = [None, float("nan"), -1e9, 3.0, 2.5, float("inf")]
+    rows = [(rnd.choice(["a", None]), rnd.choice([-1e9, -1e9, *values]), i) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, v double, i long").withColumn("one", F.lit(1).cast("long"))
+    got = ordered.running_totals(df, ["k"], "v", {"one": "rank"}, descending, ["i"]).collect()
+    assert len(got) == len(rows)
+    sign = -1 if descending else 1
+    for k in ("a", None):
+        mine = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is None or r[1] != r[1], sign * (r[1] if r[1] is not None and r[1] == r[1] else 0), r[2]))
+        assert [r["i"] for r in sorted((g for g in got if g["k"] == k), key=lambda g: g["rank"])] == [r[2] for r in mine]
+    clean = sorted(r[1] for r in rows if r[1] is not None and r[1] == r[1] and r[0] == "a")
+    found = {r["prob"]: r["quantile"] for r in ordered.quantiles(df.where("k = 'a'"), ["k"], "v", [0.0, 0.3, 1.0]).collect()}
+    assert found[0.0] == clean[0] and found[1.0] == clean[-1]

@@ -143,3 +143,17 @@ def test_diversity_and_dominance(spark):
     assert rows[0]["e"] == pytest.approx(0.6931471805599453) and rows[0]["h"] == 0.5 and rows[0]["n"] == "a"
     assert (rows[1]["e"], rows[1]["h"], rows[1]["n"], rows[1]["s"]) == (0.0, 0.0, None, None)
     assert rows[2]["r"] == 1 and rows[2]["e"] == pytest.approx(0.0, abs=1e-12)
+
+
+def test_csv_parts_are_bound_by_name(spark, tmp_path):
+    part = tmp_path / "parts"
+    part.mkdir()
+    (part / "A_Summary.csv").write_text("rows,file\n2,x\n")
+    (part / "b.csv").write_text("unique_key,borough,latitude\n1,X,40.5\n")
+    (part / "c.csv").write_text("borough,unique_key\nY,2\n")
+    (part / "d.csv").write_text("unique_key,latitude\n3,41.5\n")
+    (part / "e.csv").write_text("")
+    got = files.scan_parts(spark, str(part), ["unique_key"], ["borough", "latitude"])
+    assert sorted((r["unique_key"], r["borough"] or "", r["latitude"] or "") for r in got.collect()) == [("1", "X", "40.5"), ("2", "Y", ""), ("3", "", "41.5")]
+    with pytest.raises(FileNotFoundError):
+        files.scan_parts(spark, str(part / "A_Summary.csv"), ["rows"])
