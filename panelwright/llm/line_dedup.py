@@ -176,12 +176,26 @@ def _near(a: Column, b: Column, distance: int) -> Column:
     return F.bit_count(a.bitwiseXOR(b)) <= distance
 
 
+def _choices(blocks: int, distance: int) -> list[int]:
+    """Bit masks (as signed longs) of all choices of blocks that stay intact within the distance."""
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    masks = [sum(((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in c) for c in itertools.combinations(range(blocks), blocks - distance)]
+    return [m - (m >> 63 << 64) for m in masks]
+
+
+def _key(k: int, mask: int, simhash: Column) -> Column:
+    return F.xxhash64(F.lit(k), simhash.bitwiseAND(F.lit(mask).cast("long")))
+
+
 def _bucket_keys(simhash: Column, blocks: int, distance: int) -> Column:
     """One key for each choice of blocks that may all be intact: its number mixed with the blocks' bits."""
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    choices = itertools.combinations(range(blocks), blocks - distance)
-    masks = [sum(((1 << edges[i + 1]) - 1) ^ ((1 << edges[i]) - 1) for i in c) for c in choices]
-    return F.array(*[F.xxhash64(F.lit(k), simhash.bitwiseAND(F.lit(m - (m >> 63 << 64)).cast("long"))) for k, m in enumerate(masks)])
+    return F.array(*[_key(k, m, simhash) for k, m in enumerate(_choices(blocks, distance))])
+
+
+def _first_key(s: Column, t: Column, blocks: int, distance: int) -> Column:
+    """The first key that two lines share: a pair is taken in that bucket only."""
+    apart = s.bitwiseXOR(t)
+    return F.coalesce(*[F.when(apart.bitwiseAND(F.lit(m).cast("long")) == 0, _key(k, m, s)) for k, m in enumerate(_choices(blocks, distance))])
 
 
 def _small(df: DataFrame, row_bytes: int) -> bool:
@@ -235,7 +249,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     mixed = stage(grouped.join(largest, "key").select("key", "line_id", "simhash", "group", F.col("most.group").alias("largest")))
     seekers = mixed.where("group <> largest").select("key", F.col("line_id").alias("u"), F.col("simhash").alias("s"), F.col("group").alias("g"), "largest")
     partners = mixed.select("key", F.col("line_id").alias("v"), F.col("simhash").alias("t"), F.col("group").alias("h"))
-    across = seekers.join(partners, "key").where((F.col("g") != F.col("h")) & _near(F.col("s"), F.col("t"), distance) & ((F.col("h") == F.col("largest")) | (F.col("u") < F.col("v"))))
+    once = (F.col("h") == F.col("largest")) | (F.col("u") < F.col("v"))
+    once = once & (F.col("key") == _first_key(F.col("s"), F.col("t"), blocks, distance))
+    across = seekers.join(partners, "key").where((F.col("g") != F.col("h")) & _near(F.col("s"), F.col("t"), distance) & once)
     second_pairs = stage(across.select("u", "v").distinct())
     if not second_pairs.isEmpty():
         links = links.unionByName(_verified(second_pairs, lines, similarity))
