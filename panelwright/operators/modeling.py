@@ -178,7 +178,7 @@ def score(model: Model, df: DataFrame, name: str) -> DataFrame:
 @dataclass(frozen=True)
 class Candidate:
     name: str
-    build: Callable[[Sequence[str]], Pipeline]
+    build: Callable[[Sequence[str], float], Pipeline]  # of the inputs and the sum of the training weights
     weight_mode: str = "none"
 
 
@@ -200,13 +200,13 @@ def search(
     for c in candidates:
         try:
             weight = positive_weight(c.weight_mode, counts["positives"], counts["negatives"])
-            model = c.build(inputs).fit(with_class_weight(train, label, weight))
+            model = c.build(inputs, weight * counts["positives"] + counts["negatives"]).fit(with_class_weight(train, label, weight))
             hist = stage(score_histogram(score(model, validation, "_score"), [], "_score", label))
             ranks = rank_metrics(hist, []).first()
             best = tune(hist, [], grid).first()
             rows.append((c.name, c.weight_mode, best["threshold"], best["f1"], ranks["pr_auc"], ranks["roc_auc"], best["balanced_accuracy"], None))
         except Exception as error:  # a candidate may not stop the others
-            rows.append((c.name, c.weight_mode, None, None, None, None, None, f"{type(error).__name__}: {error}"[:500]))
+            rows.append((c.name, c.weight_mode, None, None, None, None, None, f"{type(error).__name__}: {error}"))
     schema = "candidate string, weight_mode string, threshold double, val_f1 double, val_pr_auc double, val_roc_auc double, val_balanced_accuracy double, error string"
     return validation_rank(spark.createDataFrame(rows, schema), ["val_f1", "val_pr_auc", "val_balanced_accuracy"], ["candidate", "weight_mode"])
 
@@ -216,7 +216,7 @@ def ablation(
     splits: Mapping[str, DataFrame],
     feature_sets: Mapping[str, tuple[Sequence[str], Sequence[str]]],
     label: str,
-    build: Callable[[Sequence[str]], Pipeline],
+    build: Callable[[Sequence[str], float], Pipeline],
     weight_mode: str = "sqrt",
 ) -> DataFrame:
     """Same protocol per feature list (H31): preprocess on train, threshold on validation, report both."""
@@ -228,7 +228,7 @@ def ablation(
         inputs = [c for c in table["train"].columns if c != label]
         counts = class_counts(table["train"], label).first()
         weight = positive_weight(weight_mode, counts["positives"], counts["negatives"])
-        model = build(inputs).fit(with_class_weight(table["train"], label, weight))
+        model = build(inputs, weight * counts["positives"] + counts["negatives"]).fit(with_class_weight(table["train"], label, weight))
         hists = {s: stage(score_histogram(score(model, table[s], "_score"), [], "_score", label)) for s in ("validation", "test")}
         threshold = tune(hists["validation"], []).first()["threshold"]
         for s, h in hists.items():

@@ -526,7 +526,7 @@ def fitted(t, build):
 
 
 def logit(inputs, total):
-    return modeling.logistic(inputs, 1.0, total, "label", 25)
+    return modeling.logistic(inputs, 1.0, total, "label")
 
 
 def trees(inputs, total):
@@ -563,9 +563,9 @@ def _(t):
 def _(t):
     parts, inputs, _ = prepared(t)
     tries = [
-        modeling.Candidate("logistic", lambda i: modeling.logistic(i, 1.0, 1000.0, "label", 10), "balanced"),
-        modeling.Candidate("trees_small", lambda i: modeling.boosted_trees(i, "label", maxIter=2, maxDepth=2), "sqrt"),
-        modeling.Candidate("broken", lambda i: modeling.boosted_trees(["no_such_column"], "label", maxIter=2), "none"),
+        modeling.Candidate("logistic", lambda i, w: modeling.logistic(i, 1.0, w, "label"), "balanced"),
+        modeling.Candidate("trees_small", lambda i, w: modeling.boosted_trees(i, "label", maxIter=2, maxDepth=2), "sqrt"),
+        modeling.Candidate("broken", lambda i, w: modeling.boosted_trees(["no_such_column"], "label", maxIter=2), "none"),
     ]
     return modeling.search(t.spark, parts["train"], parts["validation"], inputs, "label", tries)
 
@@ -580,7 +580,7 @@ def _(t):
 def _(t):
     parts = splits(t)
     sets = {"history": (["n", "lag_1w_count", "rolling_8w_mean"], []), "history_and_category": (NUMERIC, ["category"])}
-    return modeling.ablation(t.spark, parts, sets, "label", lambda i: modeling.logistic(i, 1.0, 1000.0, "label", 10))
+    return modeling.ablation(t.spark, parts, sets, "label", lambda i, w: modeling.logistic(i, 1.0, w, "label"))
 
 
 @query("h32_feature_importance", "importance_rank:i feature importance:f")
