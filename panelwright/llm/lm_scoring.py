@@ -5,7 +5,7 @@ their beginnings, within which they are told apart by smoothed counts. Symbols a
 over classes, one over the symbols of the class. The features of a position are the word before it, the words two and
 three before it (skips) and the pair before it, hashed into rows of two weight tables; zero weights are the unigram
 model. Training goes in rounds: each task updates a copy of the weights on its documents of the round, Spark averages
-the changed rows, and the next round starts from there.
+the changed rows, and the next round starts from there. Together the rounds read every training document.
 
 Counts are taken over all training documents. Only the most frequent words are broadcast, up to a fixed number; the
 counts of the others meet their occurrences in a join.
@@ -16,7 +16,7 @@ from __future__ import annotations
 import itertools
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,12 +41,14 @@ START = SYMBOLS
 HEAD = 100_000
 CLASS_ROWS = 1 << 14
 WORD_ROWS = 1 << 16
-#: Each round trains on the training documents of one of SLICES hash slices.
+#: Each round trains on the training documents of one of SLICES hash slices. There are as many rounds as slices at least,
+#: so that every training document is read.
 ROUNDS = 3
-SLICES = 48
+SLICES = 3
 RATE = 0.3
-#: Tokens of an update, and words of a partial count that a worker holds.
+#: Tokens of an update, tokens that are encoded at once, and words of a partial count that a worker holds.
 BATCH = 8_192
+ENCODED = 32 * BATCH
 HELD = 300_000
 #: Groups in which changed rows are averaged.
 GROUPS = 64
@@ -164,6 +166,19 @@ def _logits(table: np.ndarray, rows: np.ndarray, bias: np.ndarray) -> np.ndarray
     return out
 
 
+def _held(texts: Iterable[list[bytes]]) -> Iterator[list[list[bytes]]]:
+    """The texts in lists of ENCODED tokens or little more: a task's documents are not held together."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= ENCODED:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 @dataclass
 class Model:
     words: Words
@@ -197,23 +212,24 @@ class Model:
             out[a : a + BATCH] = total
         return out / np.log(10)
 
-    def trained_on(self, texts: list[list[bytes]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    def trained_on(self, texts: Iterable[list[bytes]]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
         """(table, rows, changes, uses) of AdaGrad updates on these texts; the model itself stays."""
         tables = [self.class_table.copy(), self.word_table.copy()]
         squares, uses = [np.ones_like(t) for t in tables], [np.zeros(len(t)) for t in tables]
-        padded, places, _, _ = self.encode(texts)
-        for a in range(0, len(places), BATCH):
-            by_class, classed, here = _rows(padded, places[a : a + BATCH])
-            for k, (rows, bias, gold) in enumerate(((by_class, self.words.class_bias, here // CLASS), (classed, self.words.word_bias[here // CLASS], here % CLASS))):
-                p = _softmax(_logits(tables[k], rows, bias))
-                p[np.arange(len(gold)), gold] -= 1
-                flat = rows.ravel()
-                order = np.argsort(flat, kind="stable")
-                changed, first, n = np.unique(flat[order], return_index=True, return_counts=True)
-                grad = np.add.reduceat(p[order % len(gold)], first, axis=0)
-                squares[k][changed] += grad * grad
-                tables[k][changed] -= RATE * grad / np.sqrt(squares[k][changed])
-                uses[k][changed] += n
+        for held in _held(texts):
+            padded, places, _, _ = self.encode(held)
+            for a in range(0, len(places), BATCH):
+                by_class, classed, here = _rows(padded, places[a : a + BATCH])
+                for k, (rows, bias, gold) in enumerate(((by_class, self.words.class_bias, here // CLASS), (classed, self.words.word_bias[here // CLASS], here % CLASS))):
+                    p = _softmax(_logits(tables[k], rows, bias))
+                    p[np.arange(len(gold)), gold] -= 1
+                    flat = rows.ravel()
+                    order = np.argsort(flat, kind="stable")
+                    changed, first, n = np.unique(flat[order], return_index=True, return_counts=True)
+                    grad = np.add.reduceat(p[order % len(gold)], first, axis=0)
+                    squares[k][changed] += grad * grad
+                    tables[k][changed] -= RATE * grad / np.sqrt(squares[k][changed])
+                    uses[k][changed] += n
         for k, base in enumerate((self.class_table, self.word_table)):
             rows = np.flatnonzero(uses[k])
             yield k, rows, (tables[k][rows] - base[rows]).astype(np.float16), uses[k][rows]
@@ -231,18 +247,16 @@ def _average(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def train(docs: DataFrame, words: Words, rounds: int = ROUNDS, slices: int = SLICES) -> Model:
-    """docs: the training documents as (slice hash, text)."""
+    """docs: the training documents as (slice hash, text). Rounds go on until each slice has been read once at least."""
     model = Model(words, np.zeros((CLASS_ROWS, CLASSES), np.float32), np.zeros((WORD_ROWS, CLASS), np.float32))
     kind = StructType.fromDDL("row long, uses double, change binary")
     context = docs.sparkSession.sparkContext
     ship(docs.sparkSession)
-    for k in range(rounds):
+    for k in range(max(rounds, slices)):
         shared = context.broadcast(model)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            texts = [tokens_of(t) for b in batches for t in b.column(0).to_pylist()]
-            if not texts:
-                return
+            texts = (tokens_of(t) for b in batches for t in b.column(0).to_pylist())
             for table, rows, change, uses in shared.value.trained_on(texts):
                 yield pa.RecordBatch.from_arrays([pa.array(rows + table * CLASS_ROWS, pa.int64()), pa.array(uses, pa.float64()), pa.array([x.tobytes() for x in change], pa.binary())], names=kind.names)
 

@@ -105,3 +105,18 @@ def test_empty_tables(spark):
     held = next(i for i in range(100) if not learns(i))
     row = lm_scores(spark.createDataFrame([(held, "a b")], "doc_id long, text string")).first()
     assert (row.n_tokens, row.n_known, row.train_tokens) == (3, 0, 0) and math.isclose(row.base_score, 0.0, abs_tol=1e-9)
+
+
+def test_training_reads_every_document(spark):
+    """Each document has words of its own, so its contexts have weights only if the rounds have read it."""
+    docs = [(i, " ".join(f"d{i}w{j}" for j in range(5))) for i in range(200)]
+    df = spark.createDataFrame(docs, "slice long, text string").repartition(4)
+    words = frequent_words(count_tokens(df.select("text")))
+    model = lm_scoring.train(df, words)
+    unread = []
+    for i, text in docs:
+        padded, places, _, _ = model.encode([lm_scoring.tokens_of(text)])
+        by_class, classed, _ = lm_scoring._rows(padded, places[1:4])
+        if not (model.class_table[by_class[3]].any(axis=1).all() and model.word_table[classed[1]].any(axis=1).all()):
+            unread.append(i)
+    assert unread == []
