@@ -21,6 +21,8 @@ from panelwright.session import stage
 #: Masks as offsets of the words that count: five words each, among eight.
 MASKS = ((0, 1, 3, 6, 7), (0, 2, 3, 5, 7), (0, 1, 4, 5, 7))
 SPAN = 8
+#: The three masks leave some substitutions unseen where an item has few windows (8 and 10 words); seven words in a row see them.
+RUN = tuple(range(7))
 WINDOW = 13
 SIMILARITY = 0.8
 #: Items with fewer words are no passage.
@@ -46,9 +48,16 @@ def _seeds(tokens: DataFrame, column: str, span: int, masks: tuple) -> DataFrame
     return placed.select("*", F.explode(F.array(*hashes)).alias("seed")).drop("_word")
 
 
-def _masks(span: int) -> tuple:
-    """The fixed masks, or for items shorter than them all ways to leave one word out."""
-    return MASKS if span == SPAN else tuple(tuple(o for o in range(span) if o != left) for left in range(span))
+def _masks(words: int) -> tuple:
+    """The masks for items of so many words (WINDOW: or more), each from the first word that counts.
+
+    With them every overlap by WINDOW and SIMILARITY shares a seed, also where the document begins or ends within the
+    item. Items of 5 to 7 words take all ways to leave one word out.
+    """
+    if words >= SPAN:
+        return MASKS if words >= WINDOW else (*MASKS, RUN)
+    kept = [[o for o in range(words) if o != left] for left in range(words)]
+    return tuple(sorted({tuple(o - k[0] for o in k) for k in kept}))
 
 
 def overlaps(
@@ -72,15 +81,23 @@ def overlaps(
         .select("item_id", F.transform("item", lambda w: F.xxhash64(w)).alias("item"), F.size("item").alias("item_words"))
         .where(F.col("item_words") >= LEAST_WORDS)
     )
-    spans = [r[0] for r in items.select(F.least("item_words", F.lit(SPAN))).distinct().collect()]
+    # Items that take the same masks go together: each number of words under SPAN, from SPAN to WINDOW, the others.
+    kind = F.when(F.col("item_words") < SPAN, F.col("item_words")).when(F.col("item_words") < WINDOW, SPAN).otherwise(WINDOW)
+    kinds = [r[0] for r in items.select(kind).distinct().collect()]
     texts = docs.select(F.col(id_col).alias("doc_id"), F.transform(words(F.col(text_col)), lambda w: F.xxhash64(w)).alias("doc"))
     met = []
-    for span in sorted(spans):
-        own = items.where(F.col("item_words") >= SPAN if span == SPAN else F.col("item_words") == span)
-        seeds = stage(_seeds(own, "item", span, _masks(span)).select("seed", "item_id", "item", "item_words", F.col("pos").alias("item_pos")))
+    spans: dict[tuple, list] = {}
+    for k in kinds:
+        for mask in _masks(k):
+            spans.setdefault((mask[-1] + 1, mask), []).append(k)
+    groups: dict[tuple, list] = {}
+    for (span, mask), of in spans.items():
+        groups.setdefault((span, tuple(sorted(of))), []).append(mask)
+    for (span, of), masks in sorted(groups.items()):
+        seeds = stage(_seeds(items.where(kind.isin(*of)), "item", span, tuple(masks)).select("seed", "item_id", "item", "item_words", F.col("pos").alias("item_pos")))
         size = seeds.agg(F.coalesce(F.sum(F.size("item") + 8) * 8, F.lit(0))).first()[0]
         table = F.broadcast(seeds) if size <= broadcast_bytes else seeds
-        met.append(_seeds(texts, "doc", span, _masks(span)).join(table, "seed"))
+        met.append(_seeds(texts, "doc", span, tuple(masks)).join(table, "seed"))
     if not met:
         return texts.where("false").select(F.col("doc_id").alias(id_col), *[F.lit(None).cast(t).alias(c) for c, t in [("item_id", benchmark.schema[item_col].dataType), *((n, "long") for n in ("first_word", "last_word", "matched", "windows"))]])
     found = reduce(DataFrame.unionByName, met)

@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -98,3 +99,22 @@ def test_main_path_has_no_python(spark):
     docs, items = corpus()
     plan = overlaps(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Cartesian", "NestedLoop"))
+
+
+def test_every_allowed_substitution_of_a_short_item_is_found(spark):
+    """By the rule itself, without seeds: items of 5 to 14 words, all patterns, within a document and as a whole one that may be cut at an end."""
+    items, docs, want = [], [], set()
+    for n in range(5, 15):
+        item = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        length = min(13, n)
+        for f in range(n - length + 1):
+            for m in range(length - -(-length * 8 // 10) + 1):
+                for gone in itertools.combinations(range(f, f + length), m):
+                    text = [w if k not in gone and f <= k < f + length else "other" for k, w in enumerate(item)]
+                    first, last = (min(k for k in range(n) if text[k] != "other"), max(k for k in range(n) if text[k] != "other"))
+                    for x in (["own", *text, "own"], text[first : last + 1]):
+                        want.add((len(docs), n))
+                        docs.append((len(docs), " ".join(x)))
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string")
+    assert set(found(overlaps(d, b))) == want
