@@ -25,8 +25,8 @@ MODEL_WORDS = 150_000
 MODEL_GRAMS = 40_000
 #: Lengths of the n-grams, longest first. Unless single, they see a space on either side of the word.
 GRAMS = (4, 3, 2, 1)
-#: A prediction with a lower score is no language: words that no table knows leave all languages equal.
-LEAST_SCORE = 0.3
+#: Score that a document needs, beyond 0, to stay. An absolute share would depend on the number of languages.
+LEAST_SCORE = 0.0
 #: Added to each count.
 SMOOTHING = 0.5
 #: Words whose evidence counts in full; longer texts are weighed as if they had so many.
@@ -155,7 +155,7 @@ def learned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def drop_unidentified(docs: DataFrame, least: float = LEAST_SCORE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents with a language and a score of at least `least`, with all their columns as they were."""
+    """The documents with a language, a score above 0 (some evidence) and of at least `least`, with all their columns as they were."""
     model = learned(docs, id_col, text_col, lang_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
@@ -164,6 +164,6 @@ def drop_unidentified(docs: DataFrame, least: float = LEAST_SCORE, id_col: str =
         predict = shared.value.predict
         for b in batches:
             found = [predict(t) for t in b.column(at).to_pylist()]
-            yield b.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
+            yield b.filter(pa.array([lang != "und" and score > 0 and score >= least for lang, score in found], pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)

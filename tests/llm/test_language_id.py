@@ -74,3 +74,15 @@ def test_tables_are_bounded(spark, docs, monkeypatch):
     every = language_id._frequent(counts, 10_000).collect()
     assert len(taken) <= 7 and len(every) == 18
     assert min(r.total for r in taken) >= max(r.total for r in every if r.key not in {t.key for t in taken}) if taken else True
+
+
+HELD, HELD_TOO = [i for i in range(900, 1000) if zlib.crc32(str(i).encode()) % 4 == 2][:2]
+
+
+def test_filter_keeps_words_that_many_languages_share(spark):
+    """Six languages know the word equally well, so its best share is 1/6; words without any evidence still go."""
+    rows = [(i, f"shared {lang * 3}", lang * 2) for i, lang in enumerate("abcdef" * 10)]
+    rows += [(HELD, "shared", "aa"), (HELD_TOO, "漢字", "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert 0 < learned(docs).predict("shared")[1] < 0.3
+    assert {r.doc_id for r in drop_unidentified(docs).collect()} == set(range(60)) | {HELD}
