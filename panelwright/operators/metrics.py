@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..session import stage
-from .ordered import attach, range_cuts, running_totals
+from .ordered import attach, finite, ordered_value, running_sums, running_totals, step_of
 
 
 def confusion_columns(tp: Column, alerts: Column, positives: Column, rows: Column) -> dict[str, Column]:
@@ -72,13 +73,14 @@ def with_confusion(counts: DataFrame) -> DataFrame:
     )
 
 
-def score_histogram(scored: DataFrame, keys: Sequence[str], score: str = "score", label: str = "y") -> DataFrame:
-    """Rows and positives per distinct score: everything ranking metrics and thresholds need."""
-    return (
-        scored.where(F.col(score).isNotNull())
-        .groupBy(*keys, F.col(score).alias("score"))
-        .agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    )
+def score_histogram(scored: DataFrame, keys: Sequence[str], score: str = "score", label: str = "y", unscored: bool = False) -> DataFrame:
+    """Rows and positives per distinct score: everything ranking metrics and thresholds need.
+
+    NaN is no score. Rows without one are left out, or kept as one row with a null score per group.
+    """
+    value = ordered_value(scored, score)
+    rows = scored if unscored else scored.where(value.isNotNull())
+    return rows.groupBy(*keys, value.alias("score")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
 
 
 def coarsen(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -86,20 +88,24 @@ def coarsen(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
     return hist.groupBy(*keys, "score").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
 
 
-def rank_metrics(hist: DataFrame, keys: Sequence[str], cuts: Sequence[float] | None = None) -> DataFrame:
+def rank_metrics(hist: DataFrame, keys: Sequence[str], ranges: int | None = None) -> DataFrame:
     """ROC-AUC with mid-ranks for ties and average precision by steps per group.
 
-    Both come from cumulative counts over distinct scores; null when a group has one class only.
+    Both come from cumulative counts over distinct scores; null when a group has one class only. Rows of a null score
+    are counted as `unscored_rows` and by no other column.
     """
     keys = list(keys)
-    cum = running_totals(hist, keys, "score", {"n": "seen", "pos": "hits"}, descending=True, cuts=cuts)
+    cum = running_totals(hist, keys, "score", {"n": "seen", "pos": "hits"}, descending=True, ranges=ranges)
     seen, hits = F.col("seen").cast("double"), F.col("hits").cast("double")
     n, pos = F.col("n").cast("double"), F.col("pos").cast("double")
+    has = F.col("score").isNotNull()
+    total = lambda c: F.coalesce(F.sum(F.when(has, c)), F.lit(0))
     parts = cum.groupBy(*keys).agg(
-        F.sum("n").alias("row_count"),
-        F.sum("pos").alias("positive_rows"),
-        F.sum(pos * hits / seen).alias("_ap"),
-        F.sum((n - pos) * (hits - pos / 2)).alias("_auc"),
+        total(F.col("n")).alias("row_count"),
+        total(F.col("pos")).alias("positive_rows"),
+        F.sum(F.when(has, pos * hits / seen)).alias("_ap"),
+        F.sum(F.when(has, (n - pos) * (hits - pos / 2))).alias("_auc"),
+        F.coalesce(F.sum(F.when(~has, F.col("n"))), F.lit(0)).alias("unscored_rows"),
     )
     p, q = F.col("positive_rows").cast("double"), (F.col("row_count") - F.col("positive_rows")).cast("double")
     both = (p > 0) & (q > 0)
@@ -109,6 +115,7 @@ def rank_metrics(hist: DataFrame, keys: Sequence[str], cuts: Sequence[float] | N
         "positive_rows",
         F.when(both, F.col("_auc") / (p * q)).alias("roc_auc"),
         F.when(both, F.col("_ap") / p).alias("pr_auc"),
+        "unscored_rows",
     )
 
 
@@ -120,38 +127,49 @@ def lift_at(
     score: str = "score",
     label: str = "y",
 ) -> DataFrame:
-    """Precision, recall and lift among the highest scores (F12); ties are ordered by `unique`.
+    """Precision, recall and lift among the highest scores (F12); ties are ordered by `unique`. NaN is no score.
 
-    Ranks come from the two-level running count, so the global ranking is not one sorted task.
+    A selection, not a ranking: counts by even steps of the score decide all steps but the one that the cut-off of a
+    fraction falls into, and only the rows of that step are put in order.
     """
     keys = list(keys)
-    base = scored.where(F.col(score).isNotNull()).select(*keys, *[u for u in unique if u not in keys], F.col(score).alias("score"), F.col(label).cast("long").alias("y"))
-    base = stage(base.withColumn("_one", F.lit(1).cast("long")))
-    cuts = range_cuts(base, "score")
-    ranked = running_totals(base, keys, "score", {"_one": "_rank"}, descending=True, then=unique, cuts=cuts)
-    totals = base.groupBy(*keys).agg(F.count("*").alias("_total"), F.sum("y").alias("_positives"))
-    top = lambda f: F.greatest(F.lit(1), F.ceil(F.col("_total") * F.lit(float(f)))).cast("long")
-    sized = attach(ranked, stage(totals) if cuts else totals, keys)
-    hits = sized.groupBy(*keys, "_total", "_positives").agg(
-        *[F.sum(F.when(F.col("_rank") <= top(f), F.col("y")).otherwise(0)).alias(f"_tp{i}") for i, f in enumerate(fractions)]
+    value = ordered_value(scored, score)
+    others = [u for u in unique if u not in keys]
+    base = stage(scored.where(value.isNotNull()).select(*keys, *others, value.cast("double").alias("_score"), F.col(label).cast("long").alias("y")))
+    sizes = stage(
+        base.groupBy(*keys).agg(
+            F.count("*").alias("_total"), F.sum("y").alias("_positives"),
+            F.min(finite(F.col("_score"))).alias("_low"), F.max(finite(F.col("_score"))).alias("_high"),
+        )
     )
-    rows = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(float(f)).alias("fraction"), top(f).alias("rows_or_alerts"), F.col(f"_tp{i}").alias("tp"))
-                for i, f in enumerate(fractions)
-            ]
+    stepped = attach(base, sizes.select(*keys, "_low", "_high"), keys).withColumn("_step", step_of(F.col("_score"), F.col("_low"), F.col("_high"))).drop("_low", "_high")
+    top = lambda f: F.greatest(F.lit(1), F.ceil(F.col("_total") * F.lit(float(f)))).cast("long")
+    wanted = F.explode(F.array(*[F.struct(F.lit(float(f)).alias("fraction"), top(f).alias("rows_or_alerts")) for f in fractions])).alias("_f")
+    down = Window.partitionBy(*keys).orderBy(F.col("_step").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    counts = stepped.groupBy(*keys, "_step").agg(F.count("*").alias("_n"), F.sum("y").alias("_y"))
+    counts = counts.withColumns({"_seen": F.sum("_n").over(down), "_hits": F.sum("_y").over(down)})
+    cut = attach(counts, sizes.select(*keys, "_total", "_positives"), keys).select("*", wanted).select("*", "_f.*")
+    cut = cut.where((F.col("_seen") >= F.col("rows_or_alerts")) & (F.col("_seen") - F.col("_n") < F.col("rows_or_alerts")))
+    cut = stage(
+        cut.select(
+            *keys, "_step", "fraction", "rows_or_alerts", "_total", "_positives",
+            (F.col("_seen") - F.col("_n")).alias("_above"), (F.col("_hits") - F.col("_y")).alias("_hits_above"),
         )
     )
-    base_rate = F.col("_positives") / F.col("_total")
-    precision = F.col("tp") / F.col("rows_or_alerts")
-    return hits.select(*keys, "_total", "_positives", rows.alias("_r")).select(*keys, "_total", "_positives", "_r.*").select(
+    inside = attach(stepped, cut.select(*keys, "_step").distinct(), [*keys, "_step"])
+    inside = stage(inside.withColumn("_one", F.lit(1).cast("long")))
+    order = [F.col("_score").desc(), *[F.col(u).asc() for u in others]]
+    ranked = running_sums(inside, [*keys, "_step"], order, {"_one": "_rank", "y": "_in"}).select(*keys, "_step", "_rank", "_in")
+    hits = attach(ranked, cut, [*keys, "_step"]).where(F.col("_above") + F.col("_rank") == F.col("rows_or_alerts"))
+    tp, base_rate = F.col("_hits_above") + F.col("_in"), F.col("_positives") / F.col("_total")
+    precision = tp / F.col("rows_or_alerts")
+    return hits.select(
         *keys,
         "fraction",
         "rows_or_alerts",
-        "tp",
+        tp.alias("tp"),
         precision.alias("precision"),
-        (F.col("tp") / F.nullif(F.col("_positives"), F.lit(0))).alias("recall"),
+        (tp / F.nullif(F.col("_positives"), F.lit(0))).alias("recall"),
         (precision / F.nullif(base_rate, F.lit(0.0))).alias("lift"),
         base_rate.alias("base_rate"),
     )

@@ -12,39 +12,44 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.cleaning import to_number
 from ..session import stage
 from .metrics import evaluate_weighted, rank_metrics, score_histogram
-from .ordered import attach, melt, quantiles, range_cuts, running_totals
+from .ordered import attach, melt, positions, quantiles, step_of
 from .report import validation_rank
 from .thresholds import Grid, tune
 
 MISSING = "__MISSING__"
 
 
-def stratified_sample(df: DataFrame, strata: Sequence[str], n: int, order: Column, unique: Sequence[str]) -> DataFrame:
+def stratified_sample(
+    df: DataFrame, strata: Sequence[str], n: int, order: Column, unique: Sequence[str], span: tuple[int, int] | None = None
+) -> DataFrame:
     """Exact stratified sample (H01): max(1, round(n * share)) rows per stratum, n rows at most.
 
-    `order` is a hash-like number that fixes the draw and `unique` breaks its ties, so repeated runs
-    agree. Ranks come from the two-level running count; a stratum with a third of all rows is spread.
+    `order` is a hash-like number that fixes the draw and `unique` breaks its ties, so repeated runs agree. `span` is
+    the least and greatest number it can be; without it one more pass finds them. Counts by even steps of the number
+    give each stratum its cut-off step; rows beyond it are never written nor ranked.
     """
     strata = list(strata)
-    base = stage(df.withColumns({"_o": order.cast("long"), "_one": F.lit(1).cast("long")}))
-    total = base.count()
+    drawn = df.withColumn("_o", order.cast("long"))
+    low, high = span or drawn.agg(F.min("_o"), F.max("_o")).first()
+    stepped = drawn.withColumn("_step", step_of(F.col("_o"), F.lit(low).cast("long"), F.lit(high).cast("long")))
+    counts = stage(stepped.groupBy(*strata, "_step").agg(F.count("*").alias("_n")))
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     if n >= total:
-        return base.drop("_o", "_one")
-    take = base.groupBy(*strata).agg(F.count("*").alias("_size")).select(
-        *strata,
-        F.least(F.col("_size"), F.greatest(F.lit(1), F.bround(F.lit(float(n)) * F.col("_size") / F.lit(total)).cast("long"))).alias("_take"),
-    )
-    cuts = range_cuts(base, "_o")
-    ranked = running_totals(base, strata, "_o", {"_one": "_rank"}, then=unique, cuts=cuts)
-    if cuts:
-        take = stage(take)  # measured, so that a small one is broadcast to the large ranking
-    chosen = attach(ranked, take, strata).where("_rank <= _take").drop("_rank", "_take")
-    over = running_totals(stage(chosen), [], "_o", {"_one": "_rank"}, then=unique)
-    return over.where(F.col("_rank") <= n).drop("_rank", "_o", "_one")
+        return df
+    up = Window.partitionBy(*strata).orderBy(F.col("_step").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    size = F.sum("_n").over(Window.partitionBy(*strata))
+    take = F.least(F.col("_size"), F.greatest(F.lit(1), F.bround(F.lit(float(n)) * F.col("_size") / F.lit(total)).cast("long")))
+    cut = counts.select("*", F.sum("_n").over(up).alias("_seen"), size.alias("_size")).withColumn("_take", take)
+    cut = stage(cut.where((F.col("_seen") >= F.col("_take")) & (F.col("_seen") - F.col("_n") < F.col("_take"))).select(*strata, F.col("_step").alias("_last"), "_take"))
+    near = attach(stepped, cut, strata).where(F.col("_last").isNull() | (F.col("_step") <= F.col("_last")))
+    by = [F.col("_o").asc_nulls_last(), *[F.col(u).asc() for u in unique]]
+    chosen = positions(stage(near.drop("_last", "_step")), strata, by, "_place").where("_place < _take").drop("_place", "_take")
+    return positions(stage(chosen), [], by, "_place").where(F.col("_place") < n).drop("_place", "_o")
 
 
 def class_counts(df: DataFrame, label: str) -> DataFrame:

@@ -1,8 +1,9 @@
 """Order statistics that never put a whole group into one task.
 
-Running totals are taken in two levels: rows are spread over value ranges, totals per
-(group, range) give every range its offset, and only the inside of a range is windowed.
-A group of any size is therefore handled by as many tasks as there are ranges.
+Rows are laid out in ranges of a total order: group, value, tie-breakers, and last a hash of the row. A range may cut
+through a group, through tied values and through nulls, so no group, no tie and no crowd of nulls decides how large a
+range becomes. Totals of the ranges give every range its offset, and only the inside of a range is windowed. The cuts
+are Spark's own (`repartitionByRange`, from a bounded sample); no list of them is held here.
 """
 
 from __future__ import annotations
@@ -11,7 +12,6 @@ import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,6 +19,8 @@ from pyspark.sql.window import Window
 from ..session import stage
 
 ROWS_PER_RANGE = 1_000_000
+#: monotonically_increasing_id holds the partition above this bit and the row within it below.
+ROW_BITS = 33
 
 
 def ordered_value(df: DataFrame, value: str) -> Column:
@@ -26,25 +28,25 @@ def ordered_value(df: DataFrame, value: str) -> Column:
     return F.nanvl(F.col(value), F.lit(None)) if dict(df.dtypes)[value] in ("double", "float") else F.col(value)
 
 
-def range_cuts(df: DataFrame, value: str, rows_per_range: int = ROWS_PER_RANGE) -> list[float]:
-    """Cut points for about `rows_per_range` rows each; empty when one range is enough.
+def range_count(df: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> int:
+    """Ranges of about `rows_per_range` rows that hold the table: the only number that reaches the driver."""
+    return max(1, math.ceil(df.count() / rows_per_range))
 
-    The list that reaches the driver has one number for each range of rows.
-    """
-    ranges = math.ceil(df.count() / rows_per_range)
-    if ranges <= 1:
-        return []
-    probs = [i / ranges for i in range(1, ranges)]
-    return sorted({c for c in df.approxQuantile(value, probs, 0.25 / ranges) if math.isfinite(c)})
 
+def laid_out(df: DataFrame, keys: Sequence[str], order: Sequence[Column], ranges: int) -> DataFrame:
+    """Rows written in `ranges` ranges of the order (keys, order, hash of the row), with `_range` and `_row` in it.
 
-def with_range(df: DataFrame, value: str, cuts: Sequence[float], out: str = "_range") -> DataFrame:
-    """Number of the range that holds the value; nulls (and NaN) have a range of their own after all others."""
-    if not cuts:
-        return df.withColumn(out, F.when(ordered_value(df, value).isNull(), F.lit(1.0)).otherwise(F.lit(0.0)))
-    edges = [float("-inf"), *cuts, float("inf")]
-    ranged = Bucketizer(splits=edges, inputCol=value, outputCol=out, handleInvalid="keep").transform(df)
-    return ranged.withColumn(out, F.coalesce(out, F.lit(len(cuts) + 1.0)))
+    Only rows that agree in every column cannot be told apart and stay in one range; count such rows beforehand.
+    """
+    kinds = dict(df.dtypes)
+    spread = F.xxhash64(*[c for c in df.columns if "map<" not in kinds[c] and kinds[c] != "variant"])
+    total = [*[F.col(k).asc_nulls_first() for k in keys], *order, spread]
+    sorted_rows = df.repartitionByRange(ranges, *total).sortWithinPartitions(*total)
+    return stage(sorted_rows.withColumn("_at", F.monotonically_increasing_id())).select(
+        *df.columns,
+        F.shiftright("_at", ROW_BITS).cast("int").alias("_range"),
+        F.col("_at").bitwiseAND((1 << ROW_BITS) - 1).alias("_row"),
+    )
 
 
 def running_totals(
@@ -54,41 +56,74 @@ def running_totals(
     measures: Mapping[str, str],
     descending: bool = False,
     then: Sequence[str] = (),
-    cuts: Sequence[float] | None = None,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Inclusive running sums of `measures` (input -> output) per group in the order of `value`.
 
-    `value` must be numeric; `then` breaks ties. Groups are `keys`, possibly none. NaN becomes null; nulls come last in
-    either direction and are counted like any row. Data of one range takes the plain window with the same result.
+    `then` breaks ties. Groups are `keys`, possibly none. NaN becomes null; nulls come last in either direction and are
+    counted like any row. Data of one range takes the plain window with the same result.
     """
     df = df.withColumn(value, ordered_value(df, value))
-    cuts = range_cuts(df, value) if cuts is None else cuts
-    keys = list(keys)
     order = [F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last(), *[F.col(t).asc() for t in then]]
-    if not cuts:
+    return running_sums(df, keys, order, measures, ranges)
+
+
+def running_sums(df: DataFrame, keys: Sequence[str], order: Sequence[Column], measures: Mapping[str, str], ranges: int | None = None) -> DataFrame:
+    """Inclusive running sums per group in any order; `running_totals` for a numeric value."""
+    keys, ranges = list(keys), range_count(df) if ranges is None else ranges
+    if ranges <= 1:
         whole = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumns({out: F.sum(m).over(whole) for m, out in measures.items()})
 
-    ranged = with_range(df, value, cuts)
-    inside = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ranged = laid_out(df, keys, order, ranges)
+    inside = Window.partitionBy("_range", *keys).orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
     local = ranged.withColumns({out: F.sum(m).over(inside) for m, out in measures.items()})
 
-    last = F.lit(len(cuts) + 1.0)
-    first = F.when(F.col("_range") == last, F.lit(1)).otherwise(F.lit(0)), F.col("_range").desc() if descending else F.col("_range").asc()
-    before = Window.partitionBy(*keys).orderBy(*first).rowsBetween(Window.unboundedPreceding, -1)
-    totals = ranged.groupBy(*keys, "_range").agg(*[F.sum(m).alias(f"_t_{out}") for m, out in measures.items()])
+    # Groups lie one after the other, so a range continues one group of the range before it at most: there is no more
+    # than one offset for each range.
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_range", *keys).agg(*[F.sum(m).alias(f"_t_{out}") for m, out in measures.items()])
     offsets = totals.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         F.col("_range").alias("_k_range"),
-        *[F.coalesce(F.sum(f"_t_{out}").over(before), F.lit(0)).alias(f"_o_{out}") for out in measures.values()],
+        *[F.sum(f"_t_{out}").over(before).alias(f"_o_{out}") for out in measures.values()],
+        F.lag("_range").over(Window.partitionBy(*keys).orderBy("_range")).alias("_k_last"),
     )
-    offsets = stage(offsets)  # its size is then known, so a small one is broadcast and `local` stays where it is
+    offsets = stage(offsets.where("_k_last is not null"))  # its size is then known, so a small one is broadcast and `local` stays where it is
     same = local["_range"] == offsets["_k_range"]
     for k in keys:
         same = same & local[k].eqNullSafe(offsets[f"_k_{k}"])
-    joined = local.join(offsets, same, "inner")
-    helper = ["_range", "_k_range", *[f"_k_{k}" for k in keys], *[f"_o_{o}" for o in measures.values()]]
-    return joined.withColumns({o: F.col(o) + F.col(f"_o_{o}") for o in measures.values()}).drop(*helper)
+    joined = local.join(offsets, same, "left")
+    helper = ["_range", "_row", "_k_range", "_k_last", *[f"_k_{k}" for k in keys], *[f"_o_{o}" for o in measures.values()]]
+    plus = lambda o: F.when(F.col(f"_o_{o}").isNull(), F.col(o)).otherwise(F.coalesce(F.col(o), F.lit(0)) + F.col(f"_o_{o}"))
+    return joined.withColumns({o: plus(o) for o in measures.values()}).drop(*helper)
+
+
+def positions(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str, ranges: int | None = None) -> DataFrame:
+    """The place of each row within its group, from 0, in the given order: row_number for groups of any size."""
+    counted = running_sums(df.withColumn("_one", F.lit(1).cast("long")), keys, order, {"_one": out}, ranges)
+    return counted.withColumn(out, F.col(out) - 1).drop("_one")
+
+
+#: Even steps between the least and the greatest value, by which a selection is narrowed before anything is ranked.
+STEPS = 4096
+
+
+def step_of(value: Column, low: Column, high: Column, steps: int = STEPS) -> Column:
+    """Number of the even step that holds a value: never falls as the value rises, whatever the values are.
+
+    `low` and `high` are the least and greatest finite value; infinite ones get a step of their own at either end,
+    and a null has none.
+    """
+    v, a, b = (c.cast("double") / 2 for c in (value, low, high))  # halves, so that no difference overflows
+    inside = F.coalesce(F.try_divide(v - a, b - a), F.lit(0.0))
+    step = F.least(F.greatest(F.floor(inside * steps), F.lit(0)), F.lit(steps - 1)).cast("int")
+    infinite = F.abs(v) == F.lit(float("inf"))
+    return F.when(v.isNull(), F.lit(None)).when(infinite & (v < 0), F.lit(-1)).when(infinite, F.lit(steps)).otherwise(step)
+
+
+def finite(value: Column) -> Column:
+    return F.when(F.abs(value.cast("double")) < F.lit(float("inf")), value)
 
 
 def histogram(df: DataFrame, keys: Sequence[str], value: str, out: str = "_cnt") -> DataFrame:
@@ -122,7 +157,7 @@ def quantiles_of_histogram(
     value: str,
     probs: Sequence[float],
     n: str = "_cnt",
-    cuts: Sequence[float] | None = None,
+    ranges: int | None = None,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles: one row per group and probability (columns prob, quantile).
 
@@ -131,13 +166,13 @@ def quantiles_of_histogram(
     so what is shuffled afterwards is two rows per group and probability.
     """
     keys, probs = list(keys), [float(p) for p in probs]
-    cuts = range_cuts(hist, value) if cuts is None else cuts
-    if not cuts:
+    ranges = range_count(hist) if ranges is None else ranges
+    if ranges <= 1:
         listed = F.array(*[F.lit(p) for p in probs])
         found = hist.groupBy(*keys).agg(F.percentile(F.col(value).cast("double"), probs, F.col(n)).alias("_q"))
         pair = F.explode(F.arrays_zip(listed.alias("prob"), F.col("_q").alias("quantile"))).alias("_z")
         return found.select(*keys, pair).select(*keys, F.col("_z.prob"), F.col("_z.quantile")).where(F.col("quantile").isNotNull())
-    ranked = running_totals(hist, keys, value, {n: "_hi"}, cuts=cuts)
+    ranked = running_totals(hist, keys, value, {n: "_hi"}, ranges=ranges)
     ranked = attach(ranked, stage(hist.groupBy(*keys).agg(F.sum(n).alias("_total"))), keys)
     wanted = F.transform(
         F.array(*[F.lit(p) for p in probs]),

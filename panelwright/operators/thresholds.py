@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from ..functions import fixed_values as fv
 from ..session import stage
 from .metrics import coarsen, confusion_columns, evaluate_sets, evaluate_weighted, rank_metrics, score_histogram
-from .ordered import attach, quantiles_of_histogram, range_cuts, running_totals
+from .ordered import attach, ordered_value, quantiles_of_histogram, range_count, running_totals
 
 
 def linspace(low: float, high: float, n: int) -> list[float]:
@@ -46,14 +46,14 @@ class Grid:
 RULE_GRID = Grid(step=0, quantiles=200, fixed=(0.0,), bounded=False, digits=None)
 
 
-def candidates(hist: DataFrame, keys: Sequence[str], grid: Grid = Grid(), cuts: Sequence[float] | None = None) -> DataFrame:
+def candidates(hist: DataFrame, keys: Sequence[str], grid: Grid = Grid(), ranges: int | None = None) -> DataFrame:
     """Distinct candidate thresholds per group."""
     keys = list(keys)
     even = F.explode(F.array(*[F.lit(float(v)) for v in grid.even()])).alias("threshold")
     groups = hist.select(*keys).distinct() if keys else hist.sparkSession.range(1).select()
     out = groups.select(*keys, even)
     if grid.quantiles:
-        q = quantiles_of_histogram(hist, keys, "score", grid.probs(), "n", cuts).select(*keys, F.col("quantile").alias("threshold"))
+        q = quantiles_of_histogram(hist, keys, "score", grid.probs(), "n", ranges).select(*keys, F.col("quantile").alias("threshold"))
         out = out.unionByName(q)
     if grid.digits is not None:
         out = out.withColumn("threshold", F.round("threshold", grid.digits))
@@ -62,7 +62,7 @@ def candidates(hist: DataFrame, keys: Sequence[str], grid: Grid = Grid(), cuts:
     return out.distinct()
 
 
-def threshold_grid(hist: DataFrame, keys: Sequence[str], cands: DataFrame, cuts: Sequence[float] | None = None) -> DataFrame:
+def threshold_grid(hist: DataFrame, keys: Sequence[str], cands: DataFrame, ranges: int | None = None) -> DataFrame:
     """Confusion metrics at every candidate.
 
     Candidates enter the score histogram as rows without weight; one cumulative sum then gives alerts
@@ -73,7 +73,7 @@ def threshold_grid(hist: DataFrame, keys: Sequence[str], cands: DataFrame, cuts:
     scores = hist.select(*keys, "score", "n", "pos", F.lit(0).alias("_kind"))
     marks = cands.select(*keys, F.col("threshold").alias("score"), zero.alias("n"), zero.alias("pos"), F.lit(1).alias("_kind"))
     cum = running_totals(
-        scores.unionByName(marks), keys, "score", {"n": "predicted_positive_rows", "pos": "tp"}, True, ["_kind"], cuts
+        scores.unionByName(marks), keys, "score", {"n": "predicted_positive_rows", "pos": "tp"}, True, ["_kind"], ranges
     ).where("_kind = 1")
     totals = hist.groupBy(*keys).agg(F.sum("n").alias("row_count"), F.sum("pos").alias("positive_rows"))
     joined = attach(cum.select(*keys, F.col("score").alias("threshold"), "predicted_positive_rows", "tp"), totals, keys)
@@ -121,10 +121,10 @@ def pick_thresholds(
     return out
 
 
-def tune(hist: DataFrame, keys: Sequence[str], grid: Grid = Grid(), strategy: str = "best_f1", cuts: Sequence[float] | None = None) -> DataFrame:
+def tune(hist: DataFrame, keys: Sequence[str], grid: Grid = Grid(), strategy: str = "best_f1", ranges: int | None = None) -> DataFrame:
     """Candidates, grid and choice for all groups in one job (H22 with a constant group, H23)."""
-    cands = candidates(hist, keys, grid, cuts)
-    return pick_thresholds(threshold_grid(hist, keys, cands, cuts), keys, strategies=[strategy])
+    cands = candidates(hist, keys, grid, ranges)
+    return pick_thresholds(threshold_grid(hist, keys, cands, ranges), keys, strategies=[strategy])
 
 
 def rule_threshold(hist: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -152,10 +152,10 @@ def category_thresholds(
     """
     group = list(group)
     hist = stage(hist)
-    cuts = range_cuts(hist, "score")
-    overall = tune(coarsen(hist, group), group, grid, strategy, cuts).select(*group, F.col("threshold").alias("global_threshold"))
+    ranges = range_count(hist)
+    overall = tune(coarsen(hist, group), group, grid, strategy, ranges).select(*group, F.col("threshold").alias("global_threshold"))
     fine = [*group, category]
-    local = tune(hist, fine, grid, strategy, cuts).select(*fine, F.col("threshold").alias("_local"))
+    local = tune(hist, fine, grid, strategy, ranges).select(*fine, F.col("threshold").alias("_local"))
     counts = hist.groupBy(*fine).agg(F.sum("n").alias("validation_rows"), F.sum("pos").alias("validation_positive_rows"))
     p, n = F.col("validation_positive_rows"), F.col("validation_rows")
     thin = (n == 0) | (p == 0) | (p == n) | (p < min_positives)
@@ -200,9 +200,9 @@ def evaluate_methods(long: DataFrame, thresholds: DataFrame) -> DataFrame:
     method = ["score_col", "threshold_mode", "split"]
     hist = stage(score_histogram(long, ["score_col", "split", "category"]))
     confusion = evaluate_weighted(with_alerts(hist, thresholds), [method, [*method, "category"]])
-    cuts = range_cuts(hist, "score")
-    fine = rank_metrics(hist, ["score_col", "split", "category"], cuts)
-    whole = rank_metrics(coarsen(hist, ["score_col", "split"]), ["score_col", "split"], cuts).withColumn("category", F.lit(None).cast("string"))
+    ranges = range_count(hist)
+    fine = rank_metrics(hist, ["score_col", "split", "category"], ranges)
+    whole = rank_metrics(coarsen(hist, ["score_col", "split"]), ["score_col", "split"], ranges).withColumn("category", F.lit(None).cast("string"))
     ranks = fine.unionByName(whole).select(
         F.col("score_col").alias("_sc"), F.col("split").alias("_sp"), F.col("category").alias("_ca"), "roc_auc", "pr_auc"
     )
@@ -217,6 +217,6 @@ def evaluate_methods(long: DataFrame, thresholds: DataFrame) -> DataFrame:
 
 def metrics_by(scored: DataFrame, threshold: float, columns: Sequence[str], score: str = "score", label: str = "y") -> DataFrame:
     """H17 at one threshold by several single columns in one pass."""
-    alerts = scored.withColumn("alert", (F.col(score) >= threshold).cast("int"))
+    alerts = scored.withColumn("alert", (ordered_value(scored, score) >= threshold).cast("int"))
     return evaluate_sets(alerts, [[c] for c in columns], label)
 

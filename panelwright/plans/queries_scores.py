@@ -364,6 +364,21 @@ def _(t):
     return scoring.ensemble(b.scored(t), "first_score", "second_score", [0.3, 0.7])
 
 
+@query(
+    "h18_unscored_rows",
+    "split row_count:i positive_rows:i unscored_rows:i roc_auc:f",
+    """SELECT split, count(v) AS row_count, sum(y) FILTER (WHERE v IS NOT NULL) AS positive_rows, count(*) - count(v) AS unscored_rows,
+       (sum(r) FILTER (WHERE v IS NOT NULL AND y = 1) - sum(y) FILTER (WHERE v IS NOT NULL) * (sum(y) FILTER (WHERE v IS NOT NULL) + 1) / 2.0)
+         / (sum(y) FILTER (WHERE v IS NOT NULL) * (count(v) - sum(y) FILTER (WHERE v IS NOT NULL))) AS roc_auc
+       FROM (SELECT *, rank() OVER (PARTITION BY split, v IS NULL ORDER BY v) + (count(*) OVER (PARTITION BY split, v) - 1) / 2.0 AS r
+             FROM (SELECT split, y, CASE WHEN line_no % 5 = 0 THEN NULL ELSE second_score END AS v FROM scored) a) z GROUP BY split""",
+    (b.SCORED,),
+)
+def _(t):
+    gaps = b.scored(t).withColumn("second_score", F.when(F.col("line_no") % 5 == 0, F.lit(float("nan"))).otherwise(F.col("second_score")))
+    return metrics.rank_metrics(metrics.score_histogram(gaps, ["split"], "second_score", unscored=True), ["split"])
+
+
 @query(
     "f12_lift_at_k",
     "split fraction:f rows_or_alerts:i tp:i precision:f recall:f lift:f base_rate:f",
@@ -444,7 +459,7 @@ def _(t):
 )
 def _(t):
     order = (F.col("order_key") * 7919 + F.col("line_no") * 104729) % 1000003
-    return modeling.stratified_sample(b.scored(t), ["category", "y"], 1000, order, ["order_key", "line_no", "d", "first_score", "split"])
+    return modeling.stratified_sample(b.scored(t), ["category", "y"], 1000, order, ["order_key", "line_no", "d", "first_score", "split"], (0, 1000002))
 
 
 @query(

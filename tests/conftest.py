@@ -20,4 +20,4 @@ def many_ranges(monkeypatch):
     """Forces every order statistic through the two-level path with a handful of rows per range."""
     from panelwright.operators import ordered
 
-    monkeypatch.setattr(ordered.range_cuts, "__defaults__", (7,))
+    monkeypatch.setattr(ordered.range_count, "__defaults__", (7,))

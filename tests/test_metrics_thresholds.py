@@ -177,3 +177,67 @@ def test_permutation_keeps_every_value(spark):
     got = permuted(df, ["k"], ["a"], 7).collect()
     assert sorted(r["a"] for r in got) == [float(i) for i in range(200)]
     assert all(r["b"] == -float(r["k"]) for r in got) and sum(r["a"] != r["k"] for r in got) > 150
+
+
+@pytest.mark.parametrize("ranged", [False, True])
+@pytest.mark.parametrize("tied", [0.0, 0.7, 1.0])
+def test_lift_equals_a_full_ranking(spark, request, ranged, tied):
+    if ranged:
+        request.getfixturevalue("many_ranges")
+    rnd = random.Random(8)
+    odd = [None, float("nan"), float("inf"), float("-inf"), 1e308]
+    rows = [(rnd.choice(["hot", "hot", None]), int(rnd.random() < 0.4), 0.25 if rnd.random() < tied else rnd.choice([*odd, *[rnd.random() for _ in range(20)]]), i) for i in range(500)]
+    df = spark.createDataFrame(rows, "g string, y int, score double, i long")
+    fractions = (0.01, 0.1, 0.5, 1.0)
+    for keys in (["g"], []):
+        got = {(r["g"] if keys else 0, r["fraction"]): r for r in metrics.lift_at(df, keys, ["i"], fractions).collect()}
+        groups = {}
+        for g, y, v, i in rows:
+            if v is not None and v == v:
+                groups.setdefault(g if keys else 0, []).append((-v, i, y))
+        assert len(got) == len(groups) * len(fractions)
+        for g, mine in groups.items():
+            mine.sort()
+            for f in fractions:
+                k = max(1, int(np.ceil(len(mine) * f)))
+                tp = sum(m[2] for m in mine[:k])
+                r = got[g, f]
+                assert (r["rows_or_alerts"], r["tp"]) == (k, tp)
+                assert r["lift"] == pytest.approx(tp / k / (sum(m[2] for m in mine) / len(mine)))
+
+
+def test_lift_ranks_the_crossing_step_only(spark):
+    df = spark.range(20_000).select((F.col("id") * 7919 % 20_000 / 20_000).alias("score"), (F.col("id") % 3 == 0).cast("int").alias("y"), "id")
+    seen = []
+    keep = metrics.running_sums
+    metrics.running_sums = lambda df, *a, **k: (seen.append(df.count()), keep(df, *a, **k))[1]
+    try:
+        assert metrics.lift_at(df, [], ["id"]).count() == 3
+    finally:
+        metrics.running_sums = keep
+    assert len(seen) == 1 and seen[0] < 60
+
+
+def test_unscored_rows_are_counted_apart(spark):
+    rows = [("a", 1, 0.9), ("a", 0, None), ("a", 1, float("nan")), ("a", 0, 0.1), ("b", 1, None)]
+    df = spark.createDataFrame(rows, "g string, y int, score double")
+    got = {r["g"]: r for r in metrics.rank_metrics(metrics.score_histogram(df, ["g"], unscored=True), ["g"]).collect()}
+    assert (got["a"]["row_count"], got["a"]["unscored_rows"], got["a"]["roc_auc"]) == (2, 2, 1.0)
+    assert (got["b"]["row_count"], got["b"]["unscored_rows"], got["b"]["roc_auc"]) == (0, 1, None)
+    by = {r["g"]: r for r in thresholds.metrics_by(df, 0.5, ["g"]).collect()}
+    assert by["a"]["predicted_positive_rows"] == 1  # NaN is no alert
+
+
+def test_sample_writes_and_ranks_survivors_only(spark):
+    df = spark.range(50_000).select((F.col("id") % 2).alias("s"), "id", F.xxhash64("id").alias("h"))
+    ranked = []
+    keep = modeling.positions
+    modeling.positions = lambda df, *a, **k: (ranked.append(df.count()), keep(df, *a, **k))[1]
+    try:
+        got = modeling.stratified_sample(df, ["s"], 100, F.col("h"), ["id"])
+        assert got.count() == 100
+    finally:
+        modeling.positions = keep
+    assert max(ranked) < 200
+    want = sorted(r["id"] for s in (0, 1) for r in df.where(F.col("s") == s).orderBy("h").limit(50).collect())
+    assert sorted(r["id"] for r in got.collect()) == want

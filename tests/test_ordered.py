@@ -39,7 +39,43 @@ def test_running_totals_without_keys_and_with_null_keys(spark, many_ranges):
 
 def test_range_path_is_really_used(spark, many_ranges):
     df = spark.createDataFrame(sample(), "k string, v double, i long")
-    assert len(ordered.range_cuts(df, "v")) > 5
+    assert ordered.range_count(df) > 5
+
+
+@pytest.mark.parametrize("crowd", ["null", "nan", "3.0"])
+def test_no_range_grows_with_ties_nulls_or_a_hot_group(spark, crowd):
+    rows = [("hot" if i % 10 < 8 else f"g{i % 50}", float(crowd) if crowd != "null" and i % 10 < 7 else None if i % 10 < 7 else i * 0.37 % 11, i) for i in range(10_000)]
+    df = spark.createDataFrame(rows, "k string, v double, i long").withColumn("v", ordered.ordered_value(spark.createDataFrame([], "v double"), "v"))
+    laid = ordered.laid_out(df, ["k"], [F.asc_nulls_last("v"), F.asc("i")], 20)
+    sizes = [r["count"] for r in laid.groupBy("_range").count().collect()]
+    assert sum(sizes) == len(rows) and max(sizes) <= 1_000 and len(sizes) >= 15
+    no_ties = ordered.laid_out(df, [], [F.asc_nulls_last("v")], 20)  # ties told apart by the hash of the row alone
+    assert max(r["count"] for r in no_ties.groupBy("_range").count().collect()) <= 1_000
+    got = ordered.running_totals(df.withColumn("one", F.lit(1).cast("long")), ["k"], "v", {"one": "rank"}, then=["i"], ranges=20).collect()
+    clean = lambda v: None if v is None or v != v else v
+    for k in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == k), key=lambda r: (clean(r[1]) is None, clean(r[1]) or 0, r[2]))
+        assert [r["i"] for r in sorted((g for g in got if g["k"] == k), key=lambda g: g["rank"])] == [r[2] for r in mine]
+        assert sorted(g["rank"] for g in got if g["k"] == k) == list(range(1, len(mine) + 1))
+
+
+def test_positions_in_ranges_and_in_one(spark):
+    rows = [("hot" if i % 3 else None, i * 7919 % 501, i) for i in range(501)]
+    df = spark.createDataFrame(rows, "k string, v long, i long")
+    for ranges in (1, 9):
+        got = ordered.positions(df, ["k"], [F.desc("v")], "at", ranges).collect()
+        for k in ("hot", None):
+            mine = sorted((r for r in rows if r[0] == k), key=lambda r: -r[1])
+            assert [g["i"] for g in sorted((g for g in got if g["k"] == k), key=lambda g: g["at"])] == [r[2] for r in mine]
+
+
+def test_steps_never_fall_and_reach_infinity(spark):
+    values = sorted([float("-inf"), -1e308, -5.0, 0.0, 1e-300, 2.0, 2.0, 1e308, float("inf")])
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    low, high = df.agg(F.min(ordered.finite(F.col("v"))), F.max(ordered.finite(F.col("v")))).first()
+    steps = [r[0] for r in df.select(ordered.step_of(F.col("v"), F.lit(low), F.lit(high))).collect()]
+    assert steps == sorted(steps) and steps[0] == -1 and steps[-1] == ordered.STEPS
+    assert spark.range(1).select(ordered.step_of(F.lit(None).cast("double"), F.lit(0), F.lit(1)), ordered.step_of(F.lit(3), F.lit(3), F.lit(3))).first()[:] == (None, 0)
 
 
 @pytest.mark.parametrize("ranged", [False, True])
