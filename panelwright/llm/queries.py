@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelwright.llm.decontamination import overlaps
 from panelwright.llm.exact_dedup import exact_groups
+from panelwright.llm.filter_audit import filter_audit
 from panelwright.llm.language_id import identified, learned
 from panelwright.llm.licences import licences
 from panelwright.llm.line_dedup import without_repeated_lines
@@ -135,3 +136,38 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_licences")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return licences(table(spark, folder, "documents"))
+
+
+@query(
+    "op11_filter_audit",
+    r"""
+    WITH d AS (
+        SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws,
+               min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least FROM documents
+    ),
+    f AS (
+        SELECT part, CAST(len(ws) < 200 AS INT) + 2 * CAST(100 * len(list_distinct(ws)) < 50 * len(ws) AS INT) + 4 * CAST(100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) AS INT)
+                     + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INT) + 16 * CAST(coalesce(least < doc_id, false) AS INT) AS fails,
+               doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS good, doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL) AS toxic
+        FROM d
+    ),
+    s AS (SELECT part, s, count(*) FILTER (WHERE fails & s = 0) AS n, count(*) FILTER (WHERE fails & s = 0 AND good) AS g, count(*) FILTER (WHERE fails & s = 0 AND toxic) AS x FROM f, (SELECT unnest(range(32)) AS s) GROUP BY part, s),
+    parts AS (SELECT part, list(n ORDER BY s) AS n, list(g ORDER BY s) AS g, list(x ORDER BY s) AS x FROM s GROUP BY part),
+    l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+    orders AS (SELECT a.c || b.c || c.c || d.c || e.c AS o FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+    steps AS (
+        SELECT o, i, 1 << (ascii(o[i]) - 65) AS own, list_sum(list_transform(range(1, i), lambda j: 1 << (ascii(o[j]) - 65))) AS before
+        FROM orders, (SELECT unnest(range(1, 6)) AS i)
+    ),
+    r AS (
+        SELECT part, o, i, own, n[(b | own) + 1] AS kept, n[b + 1] - n[(b | own) + 1] AS removed, n[1] - n[own + 1] AS failing, n[xor(31, own) + 1] - n[32] AS alone,
+               g[b + 1] - g[(b | own) + 1] AS gl, x[b + 1] - x[(b | own) + 1] AS tl
+        FROM parts, (SELECT o, i, own, CAST(coalesce(before, 0) AS BIGINT) AS b FROM steps)
+    ),
+    shares AS (SELECT part, own, sum(removed) AS total FROM r GROUP BY part, own)
+    SELECT part, o AS filter_order, CAST(i AS INT) AS step, kept, removed, failing - removed AS redundant, alone AS unique_fails, gl AS good_lost, tl AS toxic_lost, CAST(total AS BIGINT) AS shapley
+    FROM r JOIN shares USING (part, own)
+    """,
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
