@@ -14,6 +14,7 @@ from panelwright.llm.language_id import identified, learned
 from panelwright.llm.licences import licences
 from panelwright.llm.line_dedup import without_repeated_lines
 from panelwright.llm.lm_scoring import lm_scores
+from panelwright.llm.manifest import manifest
 from panelwright.llm.packing import packed
 from panelwright.llm.personal_data import fit as fit_personal_data
 from panelwright.llm.personal_data import personal_data
@@ -171,3 +172,53 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query(
+    "op12_merkle_manifest",
+    r"""
+    WITH RECURSIVE d AS (
+        SELECT row_number() OVER () AS row, doc_id, coalesce('+' || source, '') AS k,
+               list_reduce([4294967295::UBIGINT] || flatten(list_transform(range(1, len(CAST(doc_id AS VARCHAR)) + 1), lambda i: [CAST(ascii(CAST(doc_id AS VARCHAR)[i]) AS UBIGINT), 0, 0, 0, 0, 0, 0, 0])),
+                           lambda c, y: xor(xor(c, y) >> 1, 3988292384::UBIGINT * (xor(c, y) & 1::UBIGINT))) AS crc,
+               list_transform([CAST(doc_id AS VARCHAR), source, lang, CAST(n_chars AS VARCHAR), text], lambda v: coalesce(strlen(v) || ':' || v, '-')) AS v,
+               coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-') AS low FROM documents
+    ),
+    h AS (SELECT row, doc_id, k, sha256(array_to_string(v, '')) AS h, CASE WHEN xor(crc, 4294967295::UBIGINT) % 5 = 0 THEN sha256(array_to_string(v[:4], '') || low) END AS changed FROM d),
+    leaves AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY k) AS n FROM h),
+    up AS (
+        SELECT 0 AS lv, k, pos, n, h FROM leaves
+        UNION ALL
+        SELECT lv + 1, k, pos // 16, (any_value(n) + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM up WHERE n > 1 GROUP BY lv, k, pos // 16
+    ),
+    sub AS (SELECT k, h, row_number() OVER (ORDER BY k) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+    top AS (
+        SELECT 0 AS lv, pos, n, h FROM sub
+        UNION ALL
+        SELECT lv + 1, pos // 16, (any_value(n) + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM top WHERE n > 1 GROUP BY lv, pos // 16
+    ),
+    nodes AS (SELECT lv, k, pos, n, h FROM up WHERE n > 1 UNION ALL SELECT 100 + lv, '', pos, n, h FROM top WHERE n > 1),
+    runs AS (SELECT lv, k, pos // 16 AS run, list(h ORDER BY pos) AS hs FROM nodes GROUP BY lv, k, pos // 16),
+    walk AS (
+        SELECT row, 0 AS lv, k, pos, coalesce(changed, h) AS h, '' AS proof FROM leaves
+        UNION ALL
+        SELECT w.row, w.lv + 1, w.k, w.pos // 16, sha256(array_to_string(r.hs[:w.pos % 16], '') || w.h || array_to_string(r.hs[w.pos % 16 + 2:], '')),
+               w.proof || array_to_string(r.hs[:w.pos % 16], '') || array_to_string(r.hs[w.pos % 16 + 2:], '')
+        FROM walk w JOIN runs r ON r.lv = w.lv AND r.k = w.k AND r.run = w.pos // 16
+    ),
+    low AS (SELECT row, arg_max(h, lv) AS h, arg_max(proof, lv) AS proof, any_value(k) AS k FROM walk GROUP BY row),
+    climb AS (
+        SELECT low.row, 100 AS lv, sub.pos, low.h, low.proof FROM low JOIN sub USING (k)
+        UNION ALL
+        SELECT w.row, w.lv + 1, w.pos // 16, sha256(array_to_string(r.hs[:w.pos % 16], '') || w.h || array_to_string(r.hs[w.pos % 16 + 2:], '')),
+               w.proof || array_to_string(r.hs[:w.pos % 16], '') || array_to_string(r.hs[w.pos % 16 + 2:], '')
+        FROM climb w JOIN runs r ON r.lv = w.lv AND r.k = '' AND r.run = w.pos // 16
+    ),
+    ends AS (SELECT row, arg_max(h, lv) AS h, arg_max(proof, lv) AS proof FROM climb GROUP BY row),
+    root AS (SELECT h FROM top WHERE n = 1)
+    SELECT l.doc_id, l.h AS leaf, sub.h AS subroot, root.h AS root, sha256(e.proof) AS proof_sha256, e.h AS folded_root, e.h = root.h AS verified
+    FROM leaves l JOIN sub ON l.k = sub.k JOIN ends e ON e.row = l.row, root
+    """,
+)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return manifest(table(spark, folder, "documents"))
