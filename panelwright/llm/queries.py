@@ -21,6 +21,7 @@ from panelwright.llm.personal_data import personal_data
 from panelwright.llm.secrets import fit as fit_secrets
 from panelwright.llm.secrets import secrets
 from panelwright.llm.simhash_dedup import near_groups
+from panelwright.llm.url_filter import judged_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -222,3 +223,56 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return manifest(table(spark, folder, "documents"))
+
+
+def _url_levels(order: int) -> str:
+    """The chain of model levels of op13's SQL, one for each context length."""
+    out = []
+    for n in range(2, order + 2):
+        out.append(f"""
+    c{n} AS (SELECT s, a, r, substr(s, 1, {n - 1}) AS x, substr(s, 2) AS y, sum(a) OVER k AS na, sum(r) OVER k AS nr, count(*) FILTER (WHERE a > 0) OVER k AS ta, count(*) FILTER (WHERE r > 0) OVER k AS tr
+             FROM counts WHERE length(s) = {n} WINDOW k AS (PARTITION BY substr(s, 1, {n - 1}))),
+    p{n} AS (SELECT c.*, p.pa AS qa, p.pr AS qr, CASE WHEN na > 0 THEN (c.a + ta * p.pa) / (na + ta) ELSE p.pa END AS pa, CASE WHEN nr > 0 THEN (c.r + tr * p.pr) / (nr + tr) ELSE p.pr END AS pr,
+                    CASE WHEN na > 0 THEN ln(ta / (na + ta)) ELSE 0 END AS la, CASE WHEN nr > 0 THEN ln(tr / (nr + tr)) ELSE 0 END AS lr FROM c{n} c JOIN (SELECT s AS ps, pa, pr FROM p{n - 1}) p ON c.y = p.ps),
+    w{n} AS (SELECT s, CASE WHEN a > 0 THEN ln(pa) - la - ln(qa) ELSE 0 END - CASE WHEN r > 0 THEN ln(pr) - lr - ln(qr) ELSE 0 END AS w FROM p{n}
+             UNION ALL SELECT x, max(la - lr) FROM p{n} GROUP BY x),""")
+    return "".join(out)
+
+
+@query(
+    "op13_url_filter",
+    r"""
+    WITH u AS (
+        SELECT row_number() OVER () AS row, page_id, coalesce(url, '') AS url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+               regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path,
+               chr(2) || translate(coalesce(url, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(2) || chr(3), 'abcdefghijklmnopqrstuvwxyz' || chr(1) || chr(1)) || chr(3) AS t,
+               list_reduce([4294967295::UBIGINT] || flatten(list_transform(range(0, octet_length(encode(coalesce(url, '')))), lambda i: [CAST('0x' || hex(encode(coalesce(url, '')))[2 * i + 1 : 2 * i + 2] AS UBIGINT), 0, 0, 0, 0, 0, 0, 0])),
+                           lambda c, y: xor(xor(c, y) >> 1, 3988292384::UBIGINT * (xor(c, y) & 1::UBIGINT))) AS crc FROM pages
+    ),
+    rules AS (SELECT * FROM (VALUES ('allow', 'com/'), ('block', 'example.com/en/'), ('allow', 'www.example.com/en/'), ('block', 'net/es/'), ('block', 'net/fr/')) v(verdict, rule)),
+    fits AS (
+        SELECT row, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict FROM u, rules
+        WHERE (host = split_part(rule, '/', 1) OR ends_with(host, '.' || split_part(rule, '/', 1))) AND starts_with(path, rule[strpos(rule, '/') :]) GROUP BY row
+    ),
+    j AS (SELECT u.*, rule, verdict, xor(crc, 4294967295::UBIGINT) % 5 = 0 AS held FROM u LEFT JOIN fits USING (row)),
+    places AS (SELECT row, verdict, held, unnest(flatten(list_transform([1, 2, 3, 4, 5], lambda n: list_transform(range(1, length(t) - n + 2), lambda i: substr(t, i, n))))) AS s FROM j),
+    counts AS (SELECT s, count(*) FILTER (WHERE verdict = 'allow') AS a, count(*) FILTER (WHERE verdict = 'block') AS r FROM places WHERE verdict IS NOT NULL AND NOT held AND s <> chr(2) GROUP BY s),
+    n AS (SELECT CAST(coalesce(sum(a), 0) + count(*) + 1 AS DOUBLE) AS ba, CAST(coalesce(sum(r), 0) + count(*) + 1 AS DOUBLE) AS br FROM counts WHERE length(s) = 1),
+    p1 AS (SELECT s, (a + 1) / ba AS pa, (r + 1) / br AS pr FROM counts, n WHERE length(s) = 1),
+    w1 AS (SELECT s, ln(pa) - ln(pr) AS w FROM p1),"""
+    + _url_levels(4)
+    + r"""
+    weights AS (SELECT s, floor(sum(w) * 1000000 + 0.5) AS w FROM (FROM w1 UNION ALL FROM w2 UNION ALL FROM w3 UNION ALL FROM w4 UNION ALL FROM w5) GROUP BY s),
+    scores AS (
+        SELECT row, CAST(floor(sum(coalesce(w.w, CASE WHEN length(p.s) = 1 THEN (SELECT floor((ln(1 / ba) - ln(1 / br)) * 1000000 + 0.5) FROM n) ELSE 0 END)) * 1000 / ((any_value(length(t)) - 1) * 1000000)) AS INT) AS score
+        FROM places p JOIN j USING (row) LEFT JOIN weights w USING (s) GROUP BY row
+    ),
+    hist AS (SELECT score, count(*) FILTER (WHERE verdict = 'allow') AS a, count(*) FILTER (WHERE verdict = 'block') AS r FROM j JOIN scores USING (row) WHERE verdict IS NOT NULL AND held GROUP BY score),
+    cuts AS (SELECT score, lag(score) OVER (ORDER BY score) AS last, coalesce(sum(r) OVER b, 0) * (SELECT sum(a) FROM hist) - coalesce(sum(a) OVER b, 0) * (SELECT sum(r) FROM hist) AS gain FROM hist WINDOW b AS (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    least AS (SELECT CASE WHEN (SELECT coalesce(least(sum(a), sum(r)), 0) FROM hist) = 0 THEN 0 ELSE (SELECT coalesce(floor((last + 1 + score) / 2), score) FROM cuts ORDER BY gain DESC, score LIMIT 1) END AS cut)
+    SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN score >= cut THEN 'allow' ELSE 'block' END) AS verdict, CASE WHEN verdict IS NULL THEN score END AS score
+    FROM j JOIN scores USING (row), least
+    """,
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return judged_urls(table(spark, folder, "pages"))
