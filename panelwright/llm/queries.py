@@ -70,20 +70,9 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     r"""
     WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS t FROM documents),
     b AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS t FROM benchmark),
-    masks AS (
-        SELECT 8 AS span, o FROM (VALUES ([0, 1, 3, 6, 7]), ([0, 2, 3, 5, 7]), ([0, 1, 4, 5, 7])) AS m(o)
-        UNION ALL
-        SELECT n, list_filter(range(n), lambda x: x <> z) FROM (SELECT unnest([5, 6, 7]) AS n), LATERAL (SELECT unnest(range(n)) AS z)
-    ),
-    dp AS (SELECT doc_id, t, unnest(range(len(t))) AS p FROM d),
-    bp AS (SELECT item_id, t, unnest(range(len(t))) AS p FROM b WHERE len(t) >= 5),
-    bk AS (
-        SELECT item_id, p, o, span, array_to_string(list_transform(o, lambda x: t[p + x + 1]), ' ') AS k FROM bp, masks
-        WHERE p + span <= len(t) AND (CASE WHEN span = 8 THEN len(t) >= 8 ELSE len(t) = span END)
-    ),
-    used AS (SELECT DISTINCT o, span FROM bk),
-    dk AS (SELECT doc_id, p, o, array_to_string(list_transform(o, lambda x: t[p + x + 1]), ' ') AS k FROM dp, used WHERE p + span <= len(t)),
-    shifts AS (SELECT DISTINCT dk.doc_id, bk.item_id, dk.p - bk.p AS shift FROM dk JOIN bk ON dk.k = bk.k AND dk.o = bk.o),
+    dw AS (SELECT doc_id, unnest(t) AS w, unnest(range(len(t))) AS p FROM d),
+    bw AS (SELECT item_id, len(t) AS n, unnest(t) AS w, unnest(range(len(t))) AS p FROM b WHERE len(t) >= 5),
+    shifts AS (SELECT doc_id, item_id, dw.p - bw.p AS shift FROM dw JOIN bw USING (w) GROUP BY 1, 2, 3 HAVING count(*) >= ceil(least(13, any_value(n)) * 0.8 - 1e-9)),
     same AS (
         SELECT s.doc_id, s.item_id, s.shift, least(13, len(b.t)) AS l,
                list_transform(range(len(b.t)), lambda i: CASE WHEN i + s.shift >= 0 AND d.t[i + s.shift + 1] = b.t[i + 1] THEN 1 ELSE 0 END) AS m

@@ -5,14 +5,13 @@ import re
 from panelwright.llm import decontamination
 from panelwright.llm.decontamination import drop_contaminated, overlaps
 
-MASKS = [(8, m) for m in ((0, 1, 3, 6, 7), (0, 2, 3, 5, 7), (0, 1, 4, 5, 7))]
-
 
 def words(text):
     return [w for w in re.split(r"[\W_]+", (text or "").lower()) if w]
 
 
 def brute(docs, items):
+    """The rule itself, at every alignment: no seeds."""
     out = {}
     for d, text in docs:
         doc = words(text)
@@ -21,13 +20,7 @@ def brute(docs, items):
             n = len(item)
             if n < 5:
                 continue
-            masks = MASKS if n >= 8 else [(n, tuple(o for o in range(n) if o != z)) for z in range(n)]
-            shifts = set()
-            for span, mask in masks:
-                for p in range(len(doc) - span + 1):
-                    for q in range(n - span + 1):
-                        if all(doc[p + o] == item[q + o] for o in mask):
-                            shifts.add(p - q)
+            shifts = {p - q for p, w in enumerate(doc) for q, v in enumerate(item) if v == w}  # all that agree anywhere
             length = min(13, n)
             for s in shifts:
                 same = [int(0 <= k + s < len(doc) and doc[k + s] == w) for k, w in enumerate(item)]
