@@ -363,3 +363,66 @@ NO_SCORE = -1e9
 AVERAGE_WORDS = ["avg_", "mean", "median", "num_floors", "floor", "far", "building_area_to_lot_area_ratio"]
 RATIO_WORDS = ["_ratio", "_share", "_hhi", "entropy", "mixed_use_index"]
 VOLUME_WORDS = ["_count", "_sum", "_density", "total_", "lot_area_", "building_area", "parcel_density", "buildings", "units", "area"]
+
+# Names under which a column may come, first one that exists wins.
+REQUEST_COLUMNS = {
+    "created_date": ["created_date", "created date", "createddate"],
+    "complaint_type": ["complaint_type", "complaint type", "complainttype"],
+    "descriptor": ["descriptor", "incident_descriptor"],
+    "nta2020": ["nta2020", "nta", "nta_code", "ntacode"],
+    "ntaname": ["ntaname", "nta_name", "nta name"],
+    "boroname": ["boroname", "boro_name", "borough", "borough_name"],
+    "unique_key": ["unique_key", "unique key", "uniquekey"],
+}
+POI_COLUMNS = {
+    "nta2020": ["nta2020", "nta_2020", "nta", "nta_code", "ntacode"],
+    "ntaname": ["ntaname", "nta_name", "name_nta"],
+    "boroname": ["boroname", "boro_name", "borough", "boro"],
+    "borocode": ["borocode", "boro_code"],
+    "cdta2020": ["cdta2020", "cdta_2020"],
+    "cdtaname": ["cdtaname", "cdta_name"],
+    "name": ["name", "poi_name", "osm_name"],
+    "latitude": ["latitude", "lat", "y"],
+    "longitude": ["longitude", "lon", "lng", "x"],
+    "osm_id": ["osm_id", "osmid", "id", "element_id"],
+}
+PARCEL_COLUMNS = {
+    "nta2020": ["nta2020", "nta", "ntacode", "nta_code", "nta2020code"],
+    "ntaname": ["ntaname", "nta_name", "ntaname2020", "nta2020name"],
+    "boroname": ["boroname", "borough", "boro", "boroughname"],
+    "borocode": ["borocode", "borocode1", "borocode2020", "boro_code"],
+    "cdta2020": ["cdta2020", "cdtacode", "cdta_code"],
+    "cdtaname": ["cdtaname", "cdta_name"],
+    "bbl": ["bbl", "bbl10", "boroughblocklot"],
+    "landuse": ["landuse", "land_use", "plutolanduse"],
+    "bldgclass": ["bldgclass", "buildingclass", "bldg_class"],
+    "lotarea": ["lotarea", "lot_area", "lotsqft", "lotareasqft"],
+    "bldgarea": ["bldgarea", "bldg_area", "buildingarea", "building_area", "bldgareafeet"],
+    "comarea": ["comarea", "commercialarea", "commercial_area", "com_area"],
+    "resarea": ["resarea", "residentialarea", "residential_area", "res_area"],
+    "officearea": ["officearea", "office_area"],
+    "retailarea": ["retailarea", "retail_area"],
+    "garagearea": ["garagearea", "garage_area"],
+    "strgearea": ["strgearea", "storagearea", "storage_area", "strgarea"],
+    "factryarea": ["factryarea", "factoryarea", "factory_area", "industrialarea", "industrial_area"],
+    "otherarea": ["otherarea", "other_area"],
+    "numbldgs": ["numbldgs", "num_bldgs", "numberofbuildings", "number_buildings"],
+    "numfloors": ["numfloors", "num_floors", "numberoffloors", "floors"],
+    "unitsres": ["unitsres", "units_res", "residentialunits", "res_units"],
+    "unitstotal": ["unitstotal", "units_total", "totalunits", "total_units"],
+    "yearbuilt": ["yearbuilt", "year_built", "yrbuilt"],
+    "yearalter1": ["yearalter1", "year_alter1", "yearaltered1"],
+    "yearalter2": ["yearalter2", "year_alter2", "yearaltered2"],
+    "builtfar": ["builtfar", "built_far", "builtfloorarearatio"],
+    "residfar": ["residfar", "resid_far", "residentialfar"],
+    "commfar": ["commfar", "comm_far", "commercialfar"],
+    "facilfar": ["facilfar", "facil_far", "facilityfar"],
+    "assesstot": ["assesstot", "assess_total", "assessedtotal", "assess_tot"],
+    "assessland": ["assessland", "assess_land", "assessedland"],
+    "zonedist1": ["zonedist1", "zone_dist1", "zoningdistrict1"],
+    "latitude": ["latitude", "lat", "ycoord", "ycoordinate"],
+    "longitude": ["longitude", "lon", "lng", "xcoord", "xcoordinate"],
+}
+
+# Columns that a raw schema report looks for dates in.
+DATE_COLUMNS = ["created_date", "closed_date", "date", "version"]

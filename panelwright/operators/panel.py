@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -96,22 +96,32 @@ def densify(
     categories: Sequence[str],
     count: str = "n",
     weeks: DataFrame | None = None,
+    ledger: Observation | None = None,
 ) -> DataFrame:
     """Areas x weeks x categories with zero-filled counts.
 
-    `weeks` is the table whose week_start bounds the axis, by default the observed counts; a cheaper
-    one saves a second pass over the requests.
+    The observed counts are written once, so that the bounds of the week axis and the cells come from one pass over the
+    requests; `weeks` is another table whose week_start bounds the axis.
 
     Every area row unfolds its own cells with count 0, which are added to the observed counts cell by
     cell. Both are laid out by series once; the sum per cell and all later windows over a series then
     need no further exchange. A series has one row per week, so no partition can grow without bound.
+
+    Counts of other areas, categories or weeks have no cell. `ledger` gets them: grid_cells, grid_count, off_grid_cells
+    and off_grid_count, known when the panel has been computed.
     """
+    observed = stage(observed.select(*CELL, F.col(count).cast("long").alias(count)))
     grid = areas.select("area").distinct().withColumn("week_start", F.explode(week_axis(observed if weeks is None else weeks)))
     grid = grid.withColumn("category", F.explode(F.array(*[F.lit(c) for c in categories])))
     zeros = grid.select(*CELL, F.lit(0).cast("long").alias(count), F.lit(1).alias("_in_grid"))
-    seen = observed.select(*CELL, F.col(count).cast("long").alias(count), F.lit(0).alias("_in_grid"))
-    cells = zeros.unionByName(seen).repartition(*SERIES).groupBy(*SERIES, "week_start")
+    cells = zeros.unionByName(observed.withColumn("_in_grid", F.lit(0))).repartition(*SERIES).groupBy(*SERIES, "week_start")
     summed = cells.agg(F.sum(count).alias(count), F.max("_in_grid").alias("_in_grid"))
+    if ledger is not None:
+        off = F.col("_in_grid") == 0
+        added = lambda where: F.coalesce(F.sum(F.when(where, F.col(count))), F.lit(0))
+        summed = summed.observe(
+            ledger, F.count_if(~off).alias("grid_cells"), added(~off).alias("grid_count"), F.count_if(off).alias("off_grid_cells"), added(off).alias("off_grid_count")
+        )
     return summed.where("_in_grid = 1").select(*CELL, count)
 
 

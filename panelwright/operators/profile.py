@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import fixed_values as fv
 from ..session import stage
 from .ordered import attach, distribution, melt, profile_of, quantiles, quantiles_of_histogram, top_per_group
 
@@ -151,6 +152,22 @@ def raw_schema_report(df: DataFrame, required: Sequence[str], numeric: Sequence[
     return found.join(stats, "column_name", "full_outer").withColumn("found", F.coalesce("found", F.lit(1)))
 
 
+def date_ranges(df: DataFrame, columns: Sequence[str] | None = None, formats: Sequence[str] = ()) -> DataFrame:
+    """First and last moment and the count of readable values per date column, in one pass.
+
+    By default the known date columns that are there. Text is read as a timestamp as it stands, then by `formats`;
+    columns without a readable value are left out, as are names that do not exist.
+    """
+    names = [c for c in (fv.DATE_COLUMNS if columns is None else columns) if c in df.columns]
+    if not names:
+        return df.sparkSession.createDataFrame([], "column_name string, n long, first timestamp_ntz, last timestamp_ntz")
+    text = lambda c: F.col(c).cast("string")
+    read = lambda c: F.coalesce(text(c).try_cast("timestamp_ntz"), *[F.try_to_timestamp(text(c), F.lit(f)).cast("timestamp_ntz") for f in formats])
+    one = df.select(*[read(c).alias(c) for c in names])
+    long = one.unpivot([], names, "column_name", "_at").where("_at is not null")
+    return long.groupBy("column_name").agg(F.count("*").alias("n"), F.min("_at").alias("first"), F.max("_at").alias("last"))
+
+
 def top_values(df: DataFrame, columns: Sequence[str], k: int = 20) -> DataFrame:
     """Most frequent values per column."""
     long = df.select(*[F.col(c).cast("string").alias(c) for c in columns]).unpivot([], list(columns), "column_name", "level")

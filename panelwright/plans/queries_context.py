@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import calendar as cal
 from ..functions import classify as cl
@@ -12,11 +13,13 @@ from ..functions import cleaning as cln
 from ..functions import fixed_values as fv
 from ..operators import context as ctx
 from ..operators import joins, profile, quality, report, spatial
+from ..operators import observed as obs
 from ..operators import weather as wx
 from ..operators.ordered import top_rows
 from ..session import stage, staging_dir
 from ..sources import columns as src_columns
 from ..sources import files as src_files
+from ..sources import isolate
 from ..streaming import weekly
 from . import bindings as b
 from .queries_panel import CODE, POI_TYPED, TAGS
@@ -34,6 +37,18 @@ def _(t):
     return src_files.scan_parts(t.spark, f"{t.folder}/lineitem.parquet", ["l_orderkey", "l_linenumber", "l_quantity"], ["not_there"], fmt="parquet")
 
 
+@query(
+    "a01_csv_parts",
+    "o_orderkey:i o_orderstatus o_custkey:i o_clerk",
+    "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 3 <> 1 THEN o_custkey END AS o_custkey, NULL AS o_clerk FROM orders",
+)
+def _(t):
+    here = f"{staging_dir(t.spark)}/parts-{uuid.uuid4().hex}"
+    third = lambda k, *c: src_files.write_table(t.orders.where(F.col("o_orderkey") % 3 == k).select(*c), f"{here}/part-{k}", "csv", options={"compression": "gzip"})
+    parts = [third(0, "o_orderkey", "o_custkey", "o_orderstatus"), third(1, "o_orderstatus", "o_orderkey"), third(2, "o_orderstatus", "o_custkey", "o_orderkey")]
+    return src_files.scan_parts(t.spark, parts, ["o_orderkey", "o_orderstatus"], ["o_custkey"]).withColumn("o_clerk", F.lit(None))
+
+
 @query("a02_projection", "o_orderkey:i o_orderstatus", "SELECT o_orderkey, o_orderstatus FROM orders")
 def _(t):
     return src_columns.project(t.orders, ["o_orderkey"], ["o_orderstatus", "missing_column"], "orders")
@@ -51,6 +66,40 @@ def _(t):
     return src_columns.rename_resolved(t.lineitem, aliases, "lineitem", ["request_id", "created"]).select("request_id", "created")
 
 
+@query(
+    "a04_request_table",
+    "unique_key:i created_date:d complaint_type nta2020:i",
+    "SELECT l_orderkey * 10 + l_linenumber AS unique_key, l_shipdate AS created_date, l_returnflag AS complaint_type, l_suppkey AS nta2020 FROM lineitem",
+)
+def _(t):
+    named = {"NTA Code": "l_suppkey", "ComplaintType": "l_returnflag", "Complaint.Kind": "l_linestatus", "unique_key": "l_partkey", "Created Date": "l_shipdate"}
+    raw = t.lineitem.select(*[F.col(c).alias(n) for n, c in named.items()], (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("Unique-Key"))
+    return src_columns.RESOLVERS["requests"].apply(raw, "requests")
+
+
+@query(
+    "a04_poi_table",
+    "osm_id:i nta2020 latitude:f longitude:f name",
+    "SELECT o_orderkey AS osm_id, o_orderstatus AS nta2020, (o_custkey % 90) / 8.0 AS latitude, (o_orderkey % 90) / 8.0 AS longitude, o_orderpriority AS name FROM orders",
+)
+def _(t):
+    raw = t.orders.select(
+        F.col("o_orderstatus").alias("NTA"), F.col("o_orderkey").alias("Element ID"), ((F.col("o_custkey") % 90) / 8.0).alias("LAT"),
+        ((F.col("o_orderkey") % 90) / 8.0).alias("lng"), F.col("o_orderpriority").alias("osm name"), F.col("o_custkey").alias("y"), F.col("o_totalprice").alias("unused"),
+    )
+    return src_columns.RESOLVERS["poi"].apply(raw, "poi")
+
+
+@query(
+    "a04_parcel_table",
+    "bbl:i lotarea:f numfloors:f yearbuilt:i",
+    "SELECT p_partkey AS bbl, p_retailprice AS lotarea, p_size AS numfloors, 1900 + p_size AS yearbuilt FROM part",
+)
+def _(t):
+    raw = t.part.select(F.lit("q").alias("NTA"), F.col("p_partkey").alias("BBL 10"), F.col("p_retailprice").alias("LotSqFt"), F.col("p_size").alias("Number of Floors"), (F.col("p_size") + 1900).alias("Yr-Built"), F.lit(1).alias("unused"))
+    return src_columns.RESOLVERS["parcels"].apply(raw, "parcels")
+
+
 @query(
     "a04_weather_columns",
     "family column_name valid_share:f",
@@ -128,6 +177,54 @@ def _(t):
     return src_files.file_report(li, "source_file", F.col("l_linenumber") == 3, F.col("l_quantity") == 5, F.col("l_returnflag") == "R")
 
 
+@query(
+    "a10_file_errors",
+    "file_group status files:i rows_read:i corrupt_rows:i with_error:i",
+    """SELECT 'orders' AS file_group, 'read' AS status, 1 AS files, count(*) AS rows_read, 0 AS corrupt_rows, 0 AS with_error FROM orders
+       UNION ALL SELECT 'customer', 'read', 1, count(*), count(*) FILTER (WHERE c_custkey % 7 = 0), 0 FROM customer
+       UNION ALL SELECT DISTINCT 'other header', 'unreadable', 1, NULL, NULL, 1 FROM nation
+       UNION ALL SELECT DISTINCT 'no archive', 'unreadable', 1, NULL, NULL, 1 FROM nation""",
+)
+def _(t):
+    here = f"{staging_dir(t.spark)}/isolated-{uuid.uuid4().hex}"
+    key, status = F.col("o_orderkey").cast("string"), F.col("o_orderstatus")
+    plain = {"compression": "none"}
+    src_files.write_table(t.orders.select(key.alias("key"), status.alias("state")).coalesce(1), f"{here}/orders", "csv", options={"compression": "gzip"})
+    # lines written as they are: every seventh customer opens a quote and never closes it, or lacks a field
+    k = F.col("c_custkey")
+    line = F.when(k % 14 == 0, F.concat(k.cast("string"), F.lit(',"open'))).when(k % 7 == 0, k.cast("string")).otherwise(F.concat(k.cast("string"), F.lit(",ok")))
+    lines = t.customer.select(F.lit(1).alias("o"), line.alias("value")).unionByName(t.spark.createDataFrame([(0, "key,state")], "o int, value string"))
+    lines.coalesce(1).sortWithinPartitions("o").select("value").write.text(f"{here}/customer")
+    src_files.write_table(t.nation.select(F.col("n_name").alias("name"), F.lit("x").alias("state")).coalesce(1), f"{here}/header", "csv", options=plain)
+    t.nation.select(F.lit("PAR1 is no archive").alias("value")).coalesce(1).write.text(f"{here}/archive")
+    csv = isolate.scan_isolated(t.spark, [f"{here}/orders", f"{here}/customer", f"{here}/header"], T.StructType.fromDDL("key string, state string"), pattern="part-*")
+    parquet = isolate.scan_isolated(t.spark, f"{here}/archive", T.StructType.fromDDL("key string"), "parquet", pattern="part-*")
+    group = F.regexp_extract("path", "/(orders|customer|header|archive)/", 1)
+    named = F.when(group == "header", "other header").when(group == "archive", "no archive").otherwise(group)
+    both = csv.status.unionByName(parquet.status).withColumn("file_group", named)
+    return both.groupBy("file_group", "status").agg(
+        F.count("*").alias("files"), F.sum("rows_read").alias("rows_read"), F.sum("corrupt_rows").alias("corrupt_rows"), F.count("error").alias("with_error")
+    )
+
+
+@query(
+    "a11_date_ranges",
+    "column_name n:i first last",
+    """SELECT column_name, n, strftime(a, '%Y-%m-%d %H:%M:%S') AS first, strftime(z, '%Y-%m-%d %H:%M:%S') AS last FROM (
+       SELECT 'created_date' AS column_name, count(*) AS n, min(l_shipdate) AS a, max(l_shipdate) AS z FROM lineitem
+       UNION ALL SELECT 'closed_date', count(*), min(CAST(l_shipdate AS DATE) + INTERVAL 3 DAY), max(CAST(l_shipdate AS DATE) + INTERVAL 3 DAY) FROM lineitem WHERE l_linenumber <> 2) y""",
+)
+def _(t):
+    ship, n = F.col("l_shipdate"), F.col("l_linenumber")
+    raw = t.lineitem.select(
+        ship.alias("created_date"),
+        F.when(n == 1, F.date_format(F.date_add(ship, 3), "MM/dd/yyyy")).when(n == 2, "not a date").otherwise(F.date_format(F.date_add(ship, 3), "yyyy-MM-dd")).alias("closed_date"),
+        F.lit(None).cast("string").alias("version"), n,
+    )
+    stamp = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return profile.date_ranges(raw, formats=["MM/dd/yyyy"]).select("column_name", "n", stamp("first"), stamp("last"))
+
+
 @query(
     "a11_schema_report",
     "column_name found:i n:i min:f max:f mean:f",
@@ -251,6 +348,26 @@ def _(t):
     return polygons(t).select("area", F.size("polygons").alias("polygon_count"), F.size(F.flatten("polygons")).alias("ring_count"))
 
 
+@query(
+    "a05_geojson_file",
+    "area code boundary_points:i hole_points:i",
+    "SELECT n_name AS area, 'N' || n_nationkey AS code, 5 AS boundary_points, CASE WHEN n_nationkey % 2 = 0 THEN 5 ELSE 0 END AS hole_points FROM nation",
+)
+def _(t):
+    # written as a feature collection, half of it as multi polygons, and parsed again
+    shapes = polygons(t).join(t.nation.select(F.col("n_name").alias("area"), "n_nationkey"), "area")
+    pairs = F.transform("polygons", lambda p: F.transform(p, lambda ring: F.transform(ring, lambda x: F.array(x["lon"], x["lat"]))))
+    props = F.struct(F.col("area").alias("Name"), F.concat(F.lit("N"), F.col("n_nationkey")).alias("CODE"))
+    whole = lambda kind, c: F.to_json(F.struct(F.lit("Feature").alias("type"), props.alias("properties"), F.struct(F.lit(kind).alias("type"), c.alias("coordinates")).alias("geometry")))
+    feature = F.when(F.col("n_nationkey") % 4 < 2, whole("Polygon", pairs[0])).otherwise(whole("MultiPolygon", pairs))
+    text = F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.concat_ws(", ", F.collect_list("f")), F.lit("]}"))
+    path = f"{staging_dir(t.spark)}/areas-{uuid.uuid4().hex}"
+    shapes.select(feature.alias("f")).agg(text.alias("value")).write.text(path)
+    read = src_files.read_polygons(t.spark, path, ["name", "code"])
+    ring = lambda i: F.coalesce(F.size(F.get(F.col("polygons")[0], F.lit(i))), F.lit(0))
+    return read.select(F.col("name").alias("area"), "code", ring(0).alias("boundary_points"), F.when(ring(1) > 0, ring(1)).otherwise(0).alias("hole_points"))
+
+
 @query(
     "d02_polygon_area",
     "area area_km2:f",
@@ -910,9 +1027,9 @@ JOINED = """joined AS (SELECT tab.*, dw.* EXCLUDE (week_start), dp.* EXCLUDE (ar
 ASSEMBLY = (*b.FULL, *DAYS, b.POI, b.PARCEL, *DIMS, JOINED)
 
 
-def joined(t, dims=None):
+def joined(t, dims=None, fact=None):
     """Every dimension above is grouped by its key, so the uniqueness check would only repeat that."""
-    return joins.attach_dimensions(b.table(t), dims or dimensions(t), check=False)
+    return joins.attach_dimensions(b.table(t) if fact is None else fact, dims or dimensions(t), check=False)
 
 
 @query(
@@ -993,7 +1110,7 @@ def _(t):
     ASSEMBLY,
 )
 def _(t):
-    return joins.same_row_count(b.table(t), joined(t))
+    return obs.row_counts(b.table(t), lambda fact: joined(t, fact=fact))
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from ..functions import calendar as cal
@@ -10,7 +11,9 @@ from ..functions import cleaning as cln
 from ..functions import fixed_values as fv
 from ..operators import features as feat
 from ..operators import joins, panel, profile
+from ..operators import observed as obs
 from ..operators.ordered import keep_first, top_per_group, top_rows
+from ..session import stage
 from . import bindings as b
 from .registry import query
 
@@ -151,6 +154,20 @@ def _(t):
     return b.dense(t)
 
 
+@query(
+    "d08_off_grid",
+    "grid_cells:i grid_count:i off_grid_cells:i off_grid_count:i",
+    """SELECT (SELECT count(*) FROM dense WHERE category <> 'N' AND area NOT LIKE '%A') AS grid_cells, (SELECT sum(n) FROM dense WHERE category <> 'N' AND area NOT LIKE '%A') AS grid_count,
+       count(*) FILTER (WHERE category = 'N' OR area LIKE '%A') AS off_grid_cells, coalesce(sum(n) FILTER (WHERE category = 'N' OR area LIKE '%A'), 0) AS off_grid_count FROM obs""",
+    b.PANEL,
+)
+def _(t):
+    ledger = Observation()
+    some = b.areas(t).where(~F.endswith("area", F.lit("A")))
+    obs.run(panel.densify(b.observed(t), some, ["A", "R"], ledger=ledger))
+    return obs.observed_row(some, ledger, "grid_cells long, grid_count long, off_grid_cells long, off_grid_count long")
+
+
 @query(
     "e36_panel_summary",
     "row_count:i total_count:i areas:i categories:i weeks:i min_week:d max_week:d expected_cells:i missing_cells:i",
@@ -592,6 +609,20 @@ def _(t):
     return _coordinates(t).where(cln.in_box(F.col("lat"), F.col("lon"), BOX))
 
 
+@query(
+    "b03_removed_count",
+    "rows_read:i missing_rows:i outside_rows:i removed_rows:i rows_kept:i",
+    f"""SELECT count(*) AS rows_read, count(*) FILTER (WHERE c_custkey % 17 = 0) AS missing_rows, count(*) FILTER (WHERE c_custkey % 17 <> 0 AND NOT inside) AS outside_rows,
+        count(*) FILTER (WHERE c_custkey % 17 = 0 OR NOT inside) AS removed_rows, count(*) FILTER (WHERE c_custkey % 17 <> 0 AND inside) AS rows_kept
+        FROM (SELECT c_custkey, {GEO2} BETWEEN 1.0 AND 3.5 AND {GEO} BETWEEN 0.5 AND 4.0 AS inside FROM customer) z""",
+)
+def _(t):
+    seen = Observation()
+    kept = stage(obs.keep_in_box(_coordinates(t), "lat", "lon", BOX, seen))
+    counts = obs.observed_row(kept, seen, "rows_read long, missing_rows long, outside_rows long, removed_rows long")
+    return counts.withColumn("rows_kept", kept.agg(F.count("*").alias("n")).scalar())
+
+
 @query(
     "b04_coordinate_flag",
     "c_custkey:i has_valid_coord:i",

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +56,43 @@ def rename_resolved(df: DataFrame, aliases: Mapping[str, Sequence[str]], table:
     return df.withColumnsRenamed({c: n for n, c in found.items() if c})
 
 
+@dataclass(frozen=True)
+class Resolver:
+    """How the columns of one kind of table are found: their names, what makes two names equal, which are needed."""
+
+    aliases: Mapping[str, Sequence[str]]
+    same: Callable[[str], str]
+    required: Sequence[str] = ()
+    last_wins: bool = False
+
+    def find(self, columns: Sequence[str]) -> dict[str, str | None]:
+        """Canonical name -> column. Of columns with equal names the first counts, or the last if so set."""
+        have: dict[str, str] = {}
+        for c in columns if not self.last_wins else reversed(columns):
+            have.setdefault(self.same(c), c)
+        return {name: next((have[self.same(a)] for a in tries if self.same(a) in have), None) for name, tries in self.aliases.items()}
+
+    def apply(self, df: DataFrame, table: str = "input") -> DataFrame:
+        """The found columns under their canonical names, nothing else; fails if a required one is missing."""
+        found = {n: c for n, c in self.find(df.columns).items() if c is not None}
+        missing = [n for n in self.required if n not in found]
+        if missing:
+            raise ValueError(f"{table} lacks required columns {missing}")
+        return df.select(*[F.col("`" + c.replace("`", "``") + "`").alias(n) for n, c in found.items()])
+
+
+def bare(name: str) -> str:
+    return re.sub(r"[^a-z0-9]", "", name.strip().lower())
+
+
+#: Requests compare by words, and a later column hides an earlier one of equal name; parcels by letters and digits alone.
+RESOLVERS = {
+    "requests": Resolver(fv.REQUEST_COLUMNS, snake, ("created_date", "complaint_type", "nta2020"), last_wins=True),
+    "poi": Resolver(fv.POI_COLUMNS, snake, ("nta2020",)),
+    "parcels": Resolver(fv.PARCEL_COLUMNS, bare, ("nta2020",)),
+}
+
+
 # fixed values: weather column names per family, then fallback name patterns
 WEATHER_NAMES = {
     "tmax": ["tmax", "max_temp", "maximum_temperature"],
