@@ -85,26 +85,21 @@ def with_request_category(df: DataFrame, type_col: str, out: str = "category") -
     return df.withColumn("_text", normal_text(F.col(type_col))).withColumn(out, category_of_text(F.col("_text"))).drop("_text")
 
 
-def on_distinct(
-    df: DataFrame, columns: Sequence[str], derive: Callable[[DataFrame], DataFrame], max_rows: int = 100_000
-) -> DataFrame:
+def on_distinct(df: DataFrame, columns: Sequence[str], derive: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Apply `derive` to the distinct combinations of some columns and join the new columns back.
 
-    The combinations are written once and counted; beyond `max_rows` of them `derive` runs per row.
-    Spark knows the size of the written table and chooses the join by it. Reading them back also keeps a later filter on the derived columns from moving below the distinct
-    step, where it would be evaluated for every row after all.
+    The combinations are written once, so Spark knows their size and chooses the join by it: few are sent to every task,
+    many meet their rows in a shuffle, where a dominating one is split. Reading them back also keeps a later filter on
+    the derived columns from moving below the distinct step, where it would be evaluated for every row after all.
     """
-    combos = stage(df.select(*columns).distinct().limit(max_rows + 1))
-    if combos.count() > max_rows:
-        return derive(df)
-    known = derive(combos).withColumnsRenamed({c: f"_d_{c}" for c in columns})
+    known = derive(stage(df.select(*columns).distinct())).withColumnsRenamed({c: f"_d_{c}" for c in columns})
     same = reduce(lambda x, y: x & y, [df[c].eqNullSafe(known[f"_d_{c}"]) for c in columns])
     return df.join(known, same, "left").drop(*[f"_d_{c}" for c in columns])
 
 
-def classify_types(df: DataFrame, type_col: str, out: str = "category", max_types: int = 100_000) -> DataFrame:
+def classify_types(df: DataFrame, type_col: str, out: str = "category") -> DataFrame:
     """C01 for long tables: each distinct type is classified once."""
-    return on_distinct(df, [type_col], lambda d: with_request_category(d, type_col, out), max_types)
+    return on_distinct(df, [type_col], lambda d: with_request_category(d, type_col, out))
 
 
 def classify_poi(df: DataFrame, tags: Sequence[str], category: str = "poi_category", raw_type: str | None = "raw_type") -> DataFrame:

@@ -49,10 +49,15 @@ def test_category_order_and_repeats(spark):
     want = ["environment", "public_safety", "infrastructure", "infrastructure", "housing", "other", "other", "public_safety", "other"]
     assert one(spark, raw, cl.request_category) == want
     df = spark.createDataFrame([(v,) for v in raw], "x string")
-    for limit in (100, 2):  # joined back from distinct values, and evaluated per row
-        got = {r["x"]: r["category"] for r in cl.classify_types(df, "x", max_types=limit).collect()}
-        assert got == dict(zip(raw, want))
-        assert cl.classify_types(df, "x", max_types=limit).count() == len(raw)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for limit in (kept, "-1"):  # the distinct values are sent to every task, or meet their rows in a shuffle
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        try:
+            got = {r["x"]: r["category"] for r in cl.classify_types(df, "x").collect()}
+            assert got == dict(zip(raw, want))
+            assert cl.classify_types(df, "x").count() == len(raw)
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
 
 
 def test_poi_rules(spark):

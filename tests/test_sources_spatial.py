@@ -1,4 +1,6 @@
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -42,6 +44,41 @@ def test_beyond_the_broadcast_limit_a_shuffle_join_gives_the_same(spark, geojson
     assert sorted(map(str, spatial.assign_areas(df, areas, "code", 0.7).collect())) == small
 
 
+def wild_areas(spark, seed=7):
+    """Overlapping stars with holes, two parts, level edges, and corners that lie on cell borders."""
+    rnd = random.Random(seed)
+
+    def star(x, y, low, high, n):
+        ring = [(x + rnd.uniform(low, high) * math.cos(2 * math.pi * i / n), y + rnd.uniform(low, high) * math.sin(2 * math.pi * i / n)) for i in range(n)]
+        ring = [(round(a * 4) / 4, round(b * 4) / 4) if rnd.random() < 0.2 else (a, b) for a, b in ring]
+        return [*ring, ring[0]]
+
+    rows = [(f"s{i}", [[star(rnd.uniform(-9, 9), rnd.uniform(-9, 9), 2, 5, 60), star(0, 0, 0.2, 1, 9)], [star(rnd.uniform(-9, 9), 12, 1, 2, 25)]]) for i in range(6)]
+    rows += [("box", [[[(0.0, 0.0), (2.0, 0.0), (2.0, 1.0), (0.0, 1.0), (0.0, 0.0)]]]), ("s0", [[[(-1.0, -1.0), (1.0, -1.0), (0.0, 1.0), (-1.0, -1.0)]]]), ("none", [])]
+    return spark.createDataFrame(rows, f"code string, polygons {spatial.RINGS}")
+
+
+@pytest.mark.parametrize("step", [0.25, 0.7, 5.0, 100.0])
+def test_cells_decide_like_whole_rings(spark, step):
+    areas = wild_areas(spark)
+    rnd = random.Random(1)
+    corners = [(p["lon"], p["lat"]) for r in areas.collect() for poly in r.polygons for ring in poly for p in ring][:150]
+    spots = [(rnd.uniform(-15, 15), rnd.uniform(-15, 15)) for _ in range(1500)] + corners + [(x / 4, y / 4) for x in range(-20, 20) for y in range(-8, 8)]
+    df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(spots)], "i int, lon double, lat double")
+    want = df.crossJoin(areas).where(spatial.inside(F.col("lon"), F.col("lat"), F.col("polygons"))).select("i", "code")
+    got = spatial.assign_areas(df, areas, "code", step).where("code is not null").select("i", "code")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_a_cell_row_holds_its_own_edges_only(spark):
+    areas = wild_areas(spark)
+    cells = spatial.polygon_cells(areas, "code", 0.25)
+    assert dict(cells.dtypes)["_edges"].startswith("array<struct<a:") and "polygons" not in cells.columns
+    sizes = cells.select(F.size("_edges").alias("e"), F.size("_flips").alias("f")).collect()
+    assert max(r.e for r in sizes) < 20 and max(r.f for r in sizes) < 20  # of 94 edges in an area
+    assert sum(r.e == 0 and r.f == 1 for r in sizes) > 100  # cells wholly inside
+
+
 def test_polygon_area_counts_holes_and_parts(spark, geojson):
     areas = files.read_polygons(spark, geojson, ["code"])
     got = {r["code"]: r["area_km2"] for r in spatial.area_km2(areas, "code", 0.0).collect()}
