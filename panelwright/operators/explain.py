@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
+from pyspark.ml import PipelineModel
+from pyspark.ml.feature import StandardScalerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,6 +30,35 @@ def select_cases(scored: DataFrame, threshold: float, n: int, unique: Sequence[s
     return top_per_group(flagged, ["case_type"], [signed.asc(), *[F.col(u).asc() for u in unique]], n, "case_rank")
 
 
+@dataclass(frozen=True)
+class LinearTerms:
+    """A fitted linear model on the columns as they come: log odds = intercept + sum of coefficient * value."""
+
+    intercept: float
+    coefficients: Mapping[str, float]
+
+    def base(self, means: Mapping[str, float]) -> float:
+        """The log odds of a row at the means: what the contributions are added to."""
+        return self.intercept + sum(c * means[f] for f, c in self.coefficients.items())
+
+
+def linear_terms(model: PipelineModel, inputs: Sequence[str]) -> LinearTerms:
+    """Coefficients of a fitted pipeline with its scaling undone (H37). `inputs` names the places of its vector."""
+    linear = model.stages[-1]
+    weights = linear.coefficients.toArray()
+    for scaler in (s for s in model.stages if isinstance(s, StandardScalerModel)):
+        std = scaler.std.toArray()
+        if scaler.getWithMean() or not scaler.getWithStd():
+            raise ValueError("contributions need a scaler that divides and does not centre")
+        weights = [w / s if s else 0.0 for w, s in zip(weights, std, strict=True)]
+    return LinearTerms(float(linear.intercept), {f: float(w) for f, w in zip(inputs, weights, strict=True)})
+
+
+def training_means(train: DataFrame, features: Sequence[str]) -> dict[str, float]:
+    """Means of the training rows, one aggregate for all."""
+    return {f: float(v) for f, v in train.agg(*[F.avg(F.col(f"`{f}`")).alias(f) for f in features]).first().asDict().items()}
+
+
 def linear_contributions(
     df: DataFrame,
     ids: Sequence[str],
@@ -47,12 +79,12 @@ def global_importance(contributions: DataFrame) -> DataFrame:
 
 
 def _ranked(df: DataFrame, measure: str, name: str) -> DataFrame:
-    """Share and rank over one row per feature or group."""
+    """Share and rank over one row per feature or group; measures that agree to nine places go by name."""
     whole = Window.partitionBy()
     return df.withColumns(
         {
             "share": F.col(measure) / F.nullif(F.sum(measure).over(whole), F.lit(0.0)),
-            "importance_rank": F.row_number().over(whole.orderBy(F.desc(measure), F.asc(name))),
+            "importance_rank": F.row_number().over(whole.orderBy(F.round(measure, 9).desc(), F.asc(name))),
         }
     )
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.ml import Model, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +20,7 @@ from pyspark.sql.window import Window
 from ..functions.cleaning import to_number
 from ..session import stage
 from .metrics import evaluate_weighted, rank_metrics, score_histogram
-from .ordered import attach, melt, positions, quantiles, step_of
+from .ordered import attach, keep_first, melt, positions, quantiles, step_of
 from .report import validation_rank
 from .thresholds import Grid, tune
 
@@ -114,40 +117,99 @@ def _level(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
 
 
-MAX_LEVELS = 10_000
-
-
 def fit_preprocessor(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> Preprocessor:
     """Exact medians (0 for an all-null column) and sorted levels of training rows.
 
-    What reaches the driver is one number per column and the levels, which become model columns and
-    are therefore refused above MAX_LEVELS.
+    One column per level: for a few levels that are read by people. `fit_encoder` has no such columns and is the one for
+    models, whatever the number of levels.
     """
+    levels = {c: [r["v"] for r in train.select(_level(c).alias("v")).distinct().orderBy("v").collect()] for c in categorical}
+    return Preprocessor(fit_medians(train, numeric), levels)
+
+
+def fit_medians(train: DataFrame, numeric: Sequence[str]) -> dict[str, float]:
+    """Exact medians of training rows, 0 for a column without a number: one number per column reaches the driver."""
     meds = {c: 0.0 for c in numeric}
     if numeric:
         long = melt(train.select(*[to_number(F.col(c)).alias(c) for c in numeric]), [], numeric)
         meds.update({r["feature"]: r["quantile"] for r in quantiles(long, ["feature"], "value", [0.5]).collect()})
-    levels: dict[str, list[str]] = {}
-    for c in categorical:
-        found = train.select(_level(c).alias("v")).distinct().orderBy("v").limit(MAX_LEVELS + 1).collect()
-        if len(found) > MAX_LEVELS:
-            raise ValueError(f"{c} has more than {MAX_LEVELS} levels; encode it by counts or drop it")
-        levels[c] = [r["v"] for r in found]
-    return Preprocessor(meds, levels)
+    return meds
+
+
+@dataclass(frozen=True)
+class Encoder:
+    """Medians and a table of levels learned on training rows only; levels become sparse vectors.
+
+    levels: (column_name, level, position), positions from 0 in the order of the levels; it is joined in and never
+    collected. sizes holds the number of levels per column.
+    """
+
+    medians: Mapping[str, float]
+    levels: DataFrame
+    sizes: Mapping[str, int]
+
+    @property
+    def inputs(self) -> list[str]:
+        """What an assembler takes, in this order: numbers, then one vector per column of levels."""
+        return [*self.medians, *[f"{c}_levels" for c in self.sizes]]
+
+    def positions(self, df: DataFrame, keep: Sequence[str | Column]) -> DataFrame:
+        """Imputed numbers and `<column>_code`, the position of the level; -1 where it was not seen."""
+        coded = df
+        for c in self.sizes:
+            own = self.levels.where(F.col("column_name") == c).select(F.col("level").alias("_v"), F.col("position").cast("double").alias("_p"))
+            coded = coded.join(own, _level(c) == F.col("_v"), "left").withColumn(f"{c}_code", F.coalesce("_p", F.lit(-1.0))).drop("_v", "_p")
+        numbers = [F.coalesce(to_number(F.col(c)), F.lit(float(m))).alias(c) for c, m in self.medians.items()]
+        return coded.select(*keep, *numbers, *[f"{c}_code" for c in self.sizes])
+
+    def encode(self, df: DataFrame, keep: Sequence[str | Column], vector: str = "raw_features") -> DataFrame:
+        """One sparse vector per row: imputed numbers and a one for the level; an unseen level is all zeros."""
+        coded = self.positions(df, keep)
+        for c, n in self.sizes.items():
+            # "keep" has one place more, for what was not seen, and drops it as the last: those rows are all zeros
+            at = coded.withColumn("_at", F.when(F.col(f"{c}_code") < 0, F.lit(float(n))).otherwise(F.col(f"{c}_code")))
+            top = df.sparkSession.createDataFrame([(float(n - 1),)], "_at double")
+            hot = OneHotEncoder(inputCol="_at", outputCol=f"{c}_levels", dropLast=True, handleInvalid="keep").fit(top)
+            coded = hot.transform(at).drop("_at", f"{c}_code")
+        return VectorAssembler(inputCols=self.inputs, outputCol=vector, handleInvalid="error").transform(coded).drop(*self.inputs)
+
+    def names(self) -> DataFrame:
+        """(place, feature, column_name, level): what each place of the vector stands for."""
+        starts, at = [], len(self.medians)
+        for c, n in self.sizes.items():
+            starts.append((c, at))
+            at += n
+        spark = self.levels.sparkSession
+        numbers = spark.createDataFrame([(i, c, c, None) for i, c in enumerate(self.medians)], "place long, feature string, column_name string, level string")
+        first = spark.createDataFrame(starts, "column_name string, _first long")
+        feature = F.concat("column_name", F.lit("="), "level")
+        return numbers.unionByName(self.levels.join(first, "column_name").select((F.col("_first") + F.col("position")).alias("place"), feature.alias("feature"), "column_name", "level"))
+
+
+def fit_encoder(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> Encoder:
+    """Medians and levels of training rows (H03, H04). What reaches the driver is two numbers per column."""
+    spark = train.sparkSession
+    long = train.select(*[_level(c).alias(c) for c in categorical]).unpivot([], list(categorical), "column_name", "level").distinct() if categorical else spark.createDataFrame([], "column_name string, level string")
+    levels = stage(positions(stage(long), ["column_name"], [F.col("level").asc()], "position"))
+    found = {r["column_name"]: r["n"] for r in levels.groupBy("column_name").agg(F.count("*").alias("n")).collect()}
+    return Encoder(fit_medians(train, numeric), levels, {c: found.get(c, 0) for c in categorical if found.get(c)})
 
 
 def with_class_weight(df: DataFrame, label: str, weight: float) -> DataFrame:
     return df.withColumn("class_weight", F.when(F.col(label) == 1, F.lit(float(weight))).otherwise(F.lit(1.0)))
 
 
-def _assembled(inputs: Sequence[str]) -> VectorAssembler:
-    return VectorAssembler(inputCols=list(inputs), outputCol="raw_features", handleInvalid="error")
+def _assembled(inputs: Sequence[str]) -> list[VectorAssembler]:
+    return [VectorAssembler(inputCols=list(inputs), outputCol="raw_features", handleInvalid="error")] if inputs else []
 
 
-def logistic(inputs: Sequence[str], c_value: float, weight_sum: float, label: str, max_iter: int = 100) -> Pipeline:
-    """L2 logistic regression on scaled, uncentred columns.
+def logistic(
+    inputs: Sequence[str], c_value: float, weight_sum: float, label: str, max_iter: int = 100, intercept: bool = True, tol: float = 1e-6
+) -> Pipeline:
+    """L2 logistic regression on scaled, uncentred columns (H05). Without inputs it takes a vector `raw_features`.
 
-    The penalty is stated as C: regParam = 1 / (C * sum of weights), because Spark averages the loss.
+    The penalty is stated as C: regParam = 1 / (C * sum of weights), because Spark averages the loss; an infinite C is
+    none.
     """
     scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=False, withStd=True)
     model = LogisticRegression(
@@ -158,20 +220,22 @@ def logistic(inputs: Sequence[str], c_value: float, weight_sum: float, label: st
         regParam=1.0 / (c_value * weight_sum),
         standardization=False,
         maxIter=max_iter,
+        fitIntercept=intercept,
+        tol=tol,
     )
-    return Pipeline(stages=[_assembled(inputs), scaler, model])
+    return Pipeline(stages=[*_assembled(inputs), scaler, model])
 
 
 def boosted_trees(inputs: Sequence[str], label: str, seed: int = 42, **params) -> Pipeline:
     """Gradient-boosted trees (H06); `params` are those of the Spark estimator."""
     model = GBTClassifier(featuresCol="raw_features", labelCol=label, weightCol="class_weight", seed=seed, **params)
-    return Pipeline(stages=[_assembled(inputs), model])
+    return Pipeline(stages=[*_assembled(inputs), model])
 
 
 def random_forest(inputs: Sequence[str], label: str, seed: int = 42, **params) -> Pipeline:
     """Random forest."""
     model = RandomForestClassifier(featuresCol="raw_features", labelCol=label, weightCol="class_weight", seed=seed, **params)
-    return Pipeline(stages=[_assembled(inputs), model])
+    return Pipeline(stages=[*_assembled(inputs), model])
 
 
 def score(model: Model, df: DataFrame, name: str) -> DataFrame:
@@ -216,6 +280,80 @@ def search(
     return validation_rank(spark.createDataFrame(rows, schema), ["val_f1", "val_pr_auc", "val_balanced_accuracy"], ["candidate", "weight_mode"])
 
 
+@dataclass(frozen=True)
+class Experiment:
+    """Which rows of the one staged matrix train and which validate."""
+
+    name: str
+    train: Column
+    validation: Column
+
+
+FINISHED = "experiment string, candidate string, weight_mode string, threshold double, val_f1 double, val_pr_auc double, val_roc_auc double, val_balanced_accuracy double, error string"
+
+
+def search_grid(
+    matrix: DataFrame,
+    experiments: Sequence[Experiment],
+    candidates: Sequence[Candidate],
+    label: str,
+    record: str,
+    weight_modes: Sequence[str] = ("none",),
+    workers: int = 4,
+    grid: Grid = Grid(quantiles=50),
+    inputs: Sequence[str] = (),
+    digits: int | None = None,
+) -> DataFrame:
+    """Experiment x candidate x weight mode over one matrix, ranked within the experiment.
+
+    `matrix` is a written table with the label and the model's inputs (a vector `raw_features` by default). Fits run in
+    a pool of `workers` threads, each in a scheduler pool of its own, so that a long fit does not hold up the others
+    where the scheduler is fair. Every finished combination is written below `record` at once; a search started again
+    with the same folder skips those, and tries again those that failed. A failing fit becomes a row with its error.
+    With `digits`, scores that agree to so many places tie.
+    """
+    spark = matrix.sparkSession
+    done = {(r[0], r[1], r[2]) for r in _finished(spark, record).where("error is null").select("experiment", "candidate", "weight_mode").collect()}
+    jobs = [(e, c, w) for e in experiments for c in candidates for w in weight_modes if (e.name, c.name, w) not in done]
+    counts = {}
+    for e in {e.name: e for e, _, _ in jobs}.values():
+        counts[e.name] = class_counts(matrix.where(e.train), label).first()
+
+    def fit(job: tuple[int, tuple[Experiment, Candidate, str]]) -> None:
+        number, (e, c, mode) = job
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"fit-{number % workers}")
+        n = counts[e.name]
+        try:
+            weight = positive_weight(mode, n["positives"], n["negatives"])
+            model = c.build(inputs, weight * n["positives"] + n["negatives"]).fit(with_class_weight(matrix.where(e.train), label, weight))
+            scored = score(model, matrix.where(e.validation), "_score")
+            scored = scored if digits is None else scored.withColumn("_score", F.round("_score", digits))
+            hist = stage(score_histogram(scored, [], "_score", label))
+            ranks, best = rank_metrics(hist, []).first(), tune(hist, [], grid).first()
+            row = (best["threshold"], best["f1"], ranks["pr_auc"], ranks["roc_auc"], best["balanced_accuracy"], None)
+        except Exception as error:  # a candidate may not stop the others
+            row = (None, None, None, None, None, f"{type(error).__name__}: {error}")
+        spark.createDataFrame([(e.name, c.name, mode, *row)], FINISHED).coalesce(1).write.parquet(f"{record}/{uuid.uuid4().hex}")
+
+    with ThreadPoolExecutor(workers) as pool:
+        list(pool.map(fit, enumerate(jobs)))
+    wanted = spark.createDataFrame([(e.name, c.name, w) for e in experiments for c in candidates for w in weight_modes], "experiment string, candidate string, weight_mode string")
+    key = ["experiment", "candidate", "weight_mode"]
+    # an attempt that succeeded counts before those that failed
+    latest = keep_first(_finished(spark, record).join(wanted, key, "left_semi"), key, [F.col("error").asc_nulls_first()])
+    order = [F.col(m).desc_nulls_last() for m in ("val_f1", "val_pr_auc", "val_balanced_accuracy")]
+    rank = F.row_number().over(Window.partitionBy("experiment").orderBy(*order, "candidate", "weight_mode"))
+    return latest.withColumn("validation_rank", F.when(F.col("error").isNull(), rank))
+
+
+def _finished(spark: SparkSession, record: str) -> DataFrame:
+    """What is written below `record`; nothing where there is no such folder."""
+    try:
+        return spark.read.schema(FINISHED).option("recursiveFileLookup", True).parquet(record)
+    except AnalysisException:
+        return spark.createDataFrame([], FINISHED)
+
+
 def ablation(
     spark: SparkSession,
     splits: Mapping[str, DataFrame],

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+import uuid
+
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ..operators import explain, joins, metrics, modeling, profile, report, scoring, thresholds
-from ..session import stage
+from ..session import stage, staging_dir
 from . import bindings as b
 from .registry import query
 
@@ -606,21 +610,201 @@ def _(t):
     return found.join(labels, "feature").select("importance_rank", F.col("label").alias("feature"), "importance")
 
 
-# ---- contributions: exact for a linear score with given coefficients --------------------
+# ---- models of one column of levels: their fits have a closed form that SQL can state ----
+
+LEVELS = (
+    *b.FULL,
+    "lv AS (SELECT *, category || '-' || CAST(quarter(week_start) AS VARCHAR) AS lev FROM tab WHERE is_train_ready = 1)",
+    "lw AS (SELECT lev, CAST(sum(is_abnormal_next_week) AS DOUBLE) AS p, CAST(count(*) - sum(is_abnormal_next_week) AS DOUBLE) AS q FROM lv WHERE time_split = 'train' GROUP BY lev)",
+    "lt AS (SELECT sum(q) / sum(p) AS w, sum(p + q) AS c FROM lw)",
+    "ls AS (SELECT lev, p, q, w, w * p / (w * p + q) AS s, (p + q) / c AS mean, ln(w * p / q) AS coef FROM lw, lt)",
+)
+ROUNDS, STEP = 10, 0.3
+
+
+def boosted_sql(source: str, keys: str, name: str, step: float = STEP) -> str:
+    """Log odds / 2 of every boosting round by level: the first tree is the mean label, the others add the mean gradient times the step."""
+    return f"""{name} AS (SELECT {keys}, s, 1 AS k, 2 * s - 1 AS f FROM {source}
+      UNION ALL SELECT {keys}, s, k + 1, f + {step} * (4 * s / (1 + exp(2 * f)) - 4 * (1 - s) / (1 + exp(-2 * f))) FROM {name} WHERE k < {ROUNDS})"""
+
+
+def level_matrix(t):
+    """Ready rows of all splits with their level as a sparse vector fitted on training rows, written once."""
+    parts = {k: v.withColumn("lev", F.concat_ws("-", "category", F.quarter("week_start"))) for k, v in splits(t).items()}
+    encoder = modeling.fit_encoder(parts["train"], [], ["lev"])
+    keep = ["area", "week_start", "category", "time_split", "target_year", "label", "lev"]
+    return stage(encoder.encode(joins.union_parts(list(parts.values())), keep)), encoder
+
+
+def level_model(t, build, weighted=True):
+    matrix, encoder = level_matrix(t)
+    train = matrix.where("time_split = 'train'")
+    n = modeling.class_counts(train, "label").first()
+    weight = modeling.positive_weight("balanced" if weighted else "none", n["positives"], n["negatives"])
+    return build(weight * n["positives"] + n["negatives"]).fit(modeling.with_class_weight(train, "label", weight)), matrix, encoder
+
+
+def plain_logit(total):
+    return modeling.logistic([], math.inf, total, "label", max_iter=500, intercept=False, tol=1e-15)
+
+
+def boosting(total, step=STEP):
+    return modeling.boosted_trees([], "label", maxIter=ROUNDS, maxDepth=12, stepSize=step)
+
+
+def single_tree(total):
+    return modeling.random_forest([], "label", numTrees=1, maxDepth=12, bootstrap=False)
+
+
+def level_scores(t, build):
+    model, matrix, _ = level_model(t, build)
+    scored = modeling.score(model, matrix, "score")
+    return scored.groupBy("time_split", "lev").agg(F.count("*").alias("n"), F.round(F.min("score"), 4).alias("least"), F.round(F.max("score"), 4).alias("greatest"))
+
+
+SCORES_SPEC = "time_split lev n:i least:f greatest:f"
+LEVEL_SCORES = "SELECT time_split, lev, count(*) AS n, round(any_value(s), 4) AS least, round(any_value(s), 4) AS greatest FROM lv JOIN {} USING (lev) GROUP BY 1, 2"
+
+
+@query("h05_logistic_levels", SCORES_SPEC, LEVEL_SCORES.format("ls"), LEVELS)
+def _(t):
+    return level_scores(t, plain_logit)
+
+
+@query("h06_boosted_levels", SCORES_SPEC, LEVEL_SCORES.format(f"(SELECT lev, 1 / (1 + exp(-2 * f)) AS s FROM boosted WHERE k = {ROUNDS}) e"), ("RECURSIVE " + LEVELS[0], *LEVELS[1:], boosted_sql("ls", "lev", "boosted")))
+def _(t):
+    return level_scores(t, boosting)
+
+
+@query("h07_tree_levels", "time_split lev n:i alerts:i", "SELECT time_split, lev, count(*) AS n, count(*) FILTER (WHERE s > 0.5) AS alerts FROM lv JOIN ls USING (lev) GROUP BY 1, 2", LEVELS)
+def _(t):
+    # leaves side by side with the same verdict are merged, so the verdict has a closed form and the share has none
+    model, matrix, _ = level_model(t, single_tree)
+    return modeling.score(model, matrix, "score").groupBy("time_split", "lev").agg(F.count("*").alias("n"), F.count_if(F.col("score") > 0.5).alias("alerts"))
+
+
+@query(
+    "h15_level_scores",
+    "area week_start:d category time_split label:i score:f",
+    "SELECT area, week_start, category, time_split, is_abnormal_next_week AS label, round(s, 4) AS score FROM lv JOIN ls USING (lev) WHERE time_split <> 'train'",
+    LEVELS,
+)
+def _(t):
+    model, matrix, _ = level_model(t, plain_logit)
+    return modeling.score(model, matrix.where("time_split <> 'train'"), "score").withColumn("score", F.round("score", 4))
+
+
+@query(
+    "h32_split_gain",
+    "importance_rank:i feature importance:f",
+    """SELECT row_number() OVER (ORDER BY best DESC, lev) AS importance_rank, 'lev=' || lev AS feature, CASE WHEN best THEN 1.0 ELSE 0.0 END AS importance FROM (
+         SELECT lev, gain = max(gain) OVER () AS best FROM (SELECT lev, -(wp + q) * (wp * q) / ((wp + q) * (wp + q)) - (tp - wp + tq - q) * ((tp - wp) * (tq - q)) / ((tp - wp + tq - q) * (tp - wp + tq - q)) AS gain
+         FROM (SELECT lev, w * p AS wp, q, sum(w * p) OVER () AS tp, sum(q) OVER () AS tq FROM ls) a) y) z""",
+    LEVELS,
+)
+def _(t):
+    # a tree of one split: all importance goes to the level whose split lowers the impurity most
+    model, _, encoder = level_model(t, lambda total: modeling.random_forest([], "label", numTrees=1, maxDepth=1, bootstrap=False))
+    names = [r["feature"] for r in encoder.names().orderBy("place").collect()]
+    return modeling.feature_importance(t.spark, model, names)
+
+
+SEARCH = (
+    "RECURSIVE " + LEVELS[0], *LEVELS[1 : len(b.FULL) + 1],
+    """sw AS (SELECT e AS experiment, m AS weight_mode, lev, CAST(sum(is_abnormal_next_week) AS DOUBLE) AS p, CAST(count(*) - sum(is_abnormal_next_week) AS DOUBLE) AS q FROM lv,
+      (VALUES ('all_years', 1900), ('recent_years', 1997)) x(e, y), (VALUES ('none'), ('balanced')) v(m) WHERE time_split = 'train' AND target_year >= y GROUP BY ALL)""",
+    "ss AS (SELECT experiment, weight_mode, lev, w * p / (w * p + q) AS s FROM (SELECT *, CASE weight_mode WHEN 'none' THEN 1.0 ELSE sum(q) OVER g / sum(p) OVER g END AS w FROM sw WINDOW g AS (PARTITION BY experiment, weight_mode)) a)",
+    boosted_sql("ss", "experiment, weight_mode, lev", "fast"),
+    boosted_sql("ss", "experiment, weight_mode, lev", "slow", 0.1),
+    f"""sc AS (SELECT experiment || '|boosting_slow|' || weight_mode AS combo, lev, 1 / (1 + exp(-2 * f)) AS s FROM slow WHERE k = {ROUNDS}
+      UNION ALL SELECT experiment || '|boosting_fast|' || weight_mode, lev, 1 / (1 + exp(-2 * f)) FROM fast WHERE k = {ROUNDS})""",
+    "sv AS (SELECT combo, round(s, 4) AS s, is_abnormal_next_week AS y FROM lv JOIN sc USING (lev) WHERE time_split = 'validation')",
+    candidate_sql("sv", "combo", "s", thresholds.Grid(quantiles=50)),
+    grid_sql("sv", ["combo"], "s", "y"),
+    "best AS (SELECT * FROM grid QUALIFY row_number() OVER (PARTITION BY combo ORDER BY f1 DESC, threshold) = 1)",
+    f"ranks AS ({auc_sql('sv', 'combo', 's', 'y')})",
+)
+
+
+@query(
+    "h14_grid_search",
+    "experiment candidate weight_mode validation_rank:i threshold:f val_f1:f val_pr_auc:f val_roc_auc:f",
+    """SELECT split_part(combo, '|', 1) AS experiment, split_part(combo, '|', 2) AS candidate, split_part(combo, '|', 3) AS weight_mode, threshold, f1 AS val_f1, pr_auc AS val_pr_auc, roc_auc AS val_roc_auc,
+       row_number() OVER (PARTITION BY split_part(combo, '|', 1) ORDER BY f1 DESC, pr_auc DESC, balanced_accuracy DESC, combo) AS validation_rank FROM best JOIN ranks USING (combo)""",
+    SEARCH,
+)
+def _(t):
+    matrix, _ = level_matrix(t)
+    train, validation = F.col("time_split") == "train", F.col("time_split") == "validation"
+    experiments = [modeling.Experiment("all_years", train, validation), modeling.Experiment("recent_years", train & (F.col("target_year") >= 1997), validation)]
+    candidates = [modeling.Candidate("boosting_fast", lambda _, w: boosting(w)), modeling.Candidate("boosting_slow", lambda _, w: boosting(w, 0.1))]
+    return modeling.search_grid(matrix, experiments, candidates, "label", f"{staging_dir(t.spark)}/search-{uuid.uuid4().hex}", ["none", "balanced"], digits=4)
+
+
+@query(
+    "h04_many_levels",
+    "order_key:i line_no:i level_code:i",
+    """SELECT order_key, line_no, coalesce(code, -1) AS level_code FROM (SELECT *, 'part ' || part_key AS level FROM req WHERE line_no > 2) r
+       LEFT JOIN (SELECT level, row_number() OVER (ORDER BY level) - 1 AS code FROM (SELECT DISTINCT 'part ' || part_key AS level FROM req WHERE line_no <= 2) a) k USING (level)""",
+    (b.REQ,),
+)
+def _(t):
+    rows = b.requests(t).select("order_key", "line_no", F.concat(F.lit("part "), "part_key").alias("level"))
+    return modeling.fit_encoder(rows.where("line_no <= 2"), [], ["level"]).positions(rows.where("line_no > 2"), ["order_key", "line_no"])
+
+
+# ---- contributions of the fitted linear model -------------------------------------------
 
-COEFFICIENTS = {"n": 0.25, "lag_1w_count": -0.5, "lag_4w_count": 0.125, "lag_52w_count": 1.0}
-MEANS = {"n": 2.0, "lag_1w_count": 1.5, "lag_4w_count": 2.25, "lag_52w_count": 0.5}
-GROUPS = {"n": "current", "lag_1w_count": "lags", "lag_4w_count": "lags", "lag_52w_count": "season"}
 IDS = ["area", "week_start", "category"]
-CONTRIB_SQL = "contrib AS (" + " UNION ALL ".join(
-    f"SELECT area, week_start, category, '{f}' AS feature, '{GROUPS[f]}' AS feature_group, ({f} - {MEANS[f]}) * {c} AS value FROM feat WHERE lag_52w_count IS NOT NULL" for f, c in COEFFICIENTS.items()
-) + ")"
-CONTRIB = (*b.FEATURES, CONTRIB_SQL)
+CONTRIB_SQL = """contrib AS (SELECT area, week_start, category, 'lev=' || k.lev AS feature, split_part(k.lev, '-', 1) AS feature_group,
+  round((CASE WHEN r.lev = k.lev THEN 1 ELSE 0 END - mean) * coef, 3) AS value FROM lv r CROSS JOIN ls k WHERE time_split = 'test')"""
+CONTRIB = (*LEVELS, CONTRIB_SQL)
+
 
+def explained(t):
+    """Test rows with one column per level, the model's terms, and the training means."""
+    model, matrix, encoder = level_model(t, plain_logit)
+    names = [r["feature"] for r in encoder.names().orderBy("place").collect()]
+    wide = matrix.drop("raw_features").select("*", *[(F.concat(F.lit("lev="), "lev") == n).cast("double").alias(n) for n in names])
+    means = explain.training_means(wide.where("time_split = 'train'"), names)
+    return model, wide.where("time_split = 'test'"), matrix, explain.linear_terms(model, names), means
 
-def contributions(t):
-    rows = b.features(t).where("lag_52w_count is not null")
-    return explain.linear_contributions(rows, IDS, COEFFICIENTS, MEANS)
+
+def contributions(t, cases=None):
+    _, rows, _, terms, means = explained(t)
+    if cases is not None:
+        rows = rows.join(F.broadcast(cases.select(*IDS)), IDS, "left_semi")  # a few rows of each kind of case
+    return explain.linear_contributions(rows, IDS, terms.coefficients, means).withColumn("value", F.round("value", 3))
+
+
+@query(
+    "h37_log_odds",
+    "area week_start:d category log_odds:f",
+    "SELECT area, week_start, category, round(coef, 4) AS log_odds FROM lv JOIN ls USING (lev) WHERE time_split = 'test'",
+    LEVELS,
+)
+def _(t):
+    # what the contributions of a row add up to
+    _, rows, _, terms, means = explained(t)
+    long = explain.linear_contributions(rows, IDS, terms.coefficients, means)
+    return long.groupBy(*IDS).agg(F.round(F.sum("value") + F.lit(terms.base(means)), 4).alias("log_odds"))
+
+
+@query(
+    "h37_sum_of_contributions",
+    "time_split row_count:i rows_off:i",
+    "SELECT time_split, count(*) AS row_count, 0 AS rows_off FROM tab WHERE is_train_ready = 1 AND time_split IN ('validation', 'test') GROUP BY 1",
+    b.FULL,
+)
+def _(t):
+    # the model of numbers and levels: contributions and base against the log odds that the model itself gives
+    model, parts, inputs, _ = fitted(t, logit)
+    terms, means = explain.linear_terms(model, inputs), explain.training_means(parts["train"], inputs)
+    rows = parts["validation"].unionByName(parts["test"])
+    total = explain.linear_contributions(rows, [*IDS, "time_split"], terms.coefficients, means).groupBy(*IDS, "time_split").agg((F.sum("value") + F.lit(terms.base(means))).alias("sum"))
+    own = model.transform(rows).select(*IDS, vector_to_array("rawPrediction")[1].alias("odds"))
+    off = F.abs(F.col("sum") - F.col("odds")) > 1e-9 * (1 + F.abs("odds"))
+    return total.join(own, IDS).groupBy("time_split").agg(F.count("*").alias("row_count"), F.count_if(off).alias("rows_off"))
 
 
 @query("h37_linear_contributions", "area week_start:d category feature value:f", "SELECT * FROM contrib", CONTRIB)
@@ -628,7 +812,7 @@ def _(t):
     return contributions(t)
 
 
-IMP_SQL = """imp AS (SELECT *, mean_abs / sum(mean_abs) OVER () AS share, row_number() OVER (ORDER BY mean_abs DESC, feature) AS importance_rank FROM (
+IMP_SQL = """imp AS (SELECT *, mean_abs / sum(mean_abs) OVER () AS share, row_number() OVER (ORDER BY round(mean_abs, 9) DESC, feature) AS importance_rank FROM (
   SELECT feature, any_value(feature_group) AS feature_group, avg(abs(value)) AS mean_abs, avg(value) AS mean_signed, count(*) AS row_count FROM contrib GROUP BY 1) z)"""
 
 
@@ -640,13 +824,14 @@ def _(t):
 @query(
     "h34_group_importance",
     "feature_group mean_abs_sum:f feature_count:i share:f importance_rank:i",
-    """SELECT *, mean_abs_sum / sum(mean_abs_sum) OVER () AS share, row_number() OVER (ORDER BY mean_abs_sum DESC, feature_group) AS importance_rank FROM (
+    """SELECT *, mean_abs_sum / sum(mean_abs_sum) OVER () AS share, row_number() OVER (ORDER BY round(mean_abs_sum, 9) DESC, feature_group) AS importance_rank FROM (
        SELECT feature_group, sum(mean_abs) AS mean_abs_sum, count(*) AS feature_count FROM imp GROUP BY 1) z""",
     (*CONTRIB, IMP_SQL),
 )
 def _(t):
-    groups = t.spark.createDataFrame(list(GROUPS.items()), "feature string, feature_group string")
-    return explain.group_importance(explain.global_importance(contributions(t)).drop("share", "importance_rank"), groups)
+    importance = stage(explain.global_importance(contributions(t)).drop("share", "importance_rank"))
+    groups = importance.select("feature", F.regexp_extract("feature", "^lev=([^-]*)", 1).alias("feature_group"))
+    return explain.group_importance(importance, groups)
 
 
 @query(
@@ -664,7 +849,7 @@ PCASES = """pcases AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY
   SELECT area, week_start, category, round(zscore_score, 6) AS s, CASE WHEN is_abnormal_next_week = 1 AND round(zscore_score, 6) >= 1 THEN 'true_positive_high_score'
   WHEN is_abnormal_next_week = 0 AND round(zscore_score, 6) >= 1 THEN 'false_positive_high_score' WHEN is_abnormal_next_week = 1 THEN 'false_negative_low_score' ELSE 'true_negative_low_score' END AS case_type
   FROM rules WHERE time_split = 'test' AND is_train_ready = 1) y) z WHERE case_rank <= 5)"""
-LOCAL = (*RULES, CONTRIB_SQL, PCASES)
+LOCAL = (*CONTRIB, RULES_SQL, PCASES)
 
 
 def panel_cases(t):
@@ -680,7 +865,8 @@ def panel_cases(t):
     LOCAL,
 )
 def _(t):
-    return explain.local_contributions(panel_cases(t), contributions(t), IDS, 3)
+    cases = stage(panel_cases(t))
+    return explain.local_contributions(cases, contributions(t, cases), IDS, 3)
 
 
 @query(
@@ -692,7 +878,8 @@ def _(t):
     LOCAL,
 )
 def _(t):
-    return explain.local_summary(panel_cases(t), contributions(t), IDS, 2)
+    cases = stage(panel_cases(t))
+    return explain.local_summary(cases, contributions(t, cases), IDS, 2)
 
 
 @query("h37_permutation_importance", "feature_group pr_auc:f roc_auc:f pr_auc_loss:f")
