@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stage
 from .ordered import top_rows
 
 
@@ -93,14 +94,20 @@ def align_scores(left: DataFrame, right: DataFrame, keys: Sequence[str], label:
     return a.join(b, list(keys), "inner")
 
 
-def alignment_report(left: DataFrame, right: DataFrame, aligned: DataFrame) -> DataFrame:
-    """Row counts on both sides and label mismatches (D10) as a single row."""
-    nl = left.agg(F.count("*").alias("n")).scalar()
-    nr = right.agg(F.count("*").alias("n")).scalar()
-    return aligned.agg(
-        F.count("*").alias("aligned_rows"),
-        F.count_if(~F.col("y_left").eqNullSafe(F.col("y_right"))).alias("label_mismatches"),
-    ).select(nl.alias("left_rows"), nr.alias("right_rows"), "aligned_rows", "label_mismatches")
+def alignment_report(left: DataFrame, right: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
+    """Row counts on both sides, aligned pairs and label mismatches (D10) as a single row.
+
+    Both sides are counted per key in one aggregation, so each is read once and no pair of rows is made. Labels are 0, 1
+    or null.
+    """
+    side = lambda df, s: df.select(*keys, F.lit(s).alias("_s"), F.col(label).cast("int").alias("_y"))
+    own = lambda s, y: F.count_if((F.col("_s") == s) & F.col("_y").eqNullSafe(F.lit(y).cast("int")))
+    per_key = side(left, "l").unionByName(side(right, "r")).groupBy(*keys).agg(*[own(s, y).alias(f"{s}{y}") for s in "lr" for y in (0, 1, None)])
+    n = {s: F.col(f"{s}0") + F.col(f"{s}1") + F.col(f"{s}None") for s in "lr"}
+    known = F.coalesce(*[F.when(F.col(k).isNull(), F.lit(0)) for k in keys], F.lit(1))  # a null key meets none
+    pairs, equal = n["l"] * n["r"] * known, (F.col("l0") * F.col("r0") + F.col("l1") * F.col("r1") + F.col("lNone") * F.col("rNone")) * known
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return per_key.agg(total(n["l"]).alias("left_rows"), total(n["r"]).alias("right_rows"), total(pairs).alias("aligned_rows"), total(pairs - equal).alias("label_mismatches"))
 
 
 def apply_thresholds(
@@ -121,9 +128,9 @@ def merge_coverage(fact: DataFrame, dim: DataFrame, key: str, name: str, example
     """Fact rows without a partner, their distinct keys and the first of them in order."""
     # rows are counted per key first, so a dominating key meets the dimension as a single row
     counts = fact.groupBy(key).agg(F.count("*").alias("_n"))
-    per_key = counts.join(dim.select(key).distinct(), key, "left_anti")
+    per_key = stage(counts.join(dim.select(key).distinct(), key, "left_anti"))
     first = top_rows(per_key.select(key), [F.col(key).asc()], examples)
-    listed = first.agg(F.array_join(F.array_sort(F.collect_list(F.col(key).cast("string"))), ",").alias("e")).scalar()
+    listed = first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(key)), lambda k: k.cast("string")), ",").alias("e")).scalar()
     return per_key.agg(
         F.lit(name).alias("dimension"),
         F.coalesce(F.sum("_n"), F.lit(0)).alias("missing_rows"),

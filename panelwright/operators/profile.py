@@ -49,7 +49,11 @@ def target_balance(df: DataFrame, label: str, target: str, sets: Sequence[Sequen
 
 
 def category_profile(df: DataFrame, category: str = "category", count: str = "n", ready: str = "is_train_ready") -> DataFrame:
-    """Rows, total, mean, median, max, distinct areas and weeks, ready rows and share per category."""
+    """Rows, total, mean, median, max, distinct areas and weeks, ready rows and share per category.
+
+    The five columns it needs are written once; totals and medians come from them.
+    """
+    df = stage(df.select(category, count, "area", "week_start", ready))
     base = df.groupBy(category).agg(
         F.count("*").alias("row_count"),
         F.sum(count).alias("total_count"),

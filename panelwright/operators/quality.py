@@ -158,39 +158,53 @@ def leakage_audit(
     lag_columns: Mapping[str, int],
     features: Sequence[str],
 ) -> DataFrame:
-    """Row-level audit as check, violations, status (Q10).
+    """Row-level audit as check, violations, status (Q10), from one aggregation over cells.
 
-    `bounds` gives first and last target year per split. Every lag is recomputed by joining the raw
-    weekly counts of the earlier week, so the check does not share code with the feature builder.
+    `bounds` gives first and last target year per split. Every count is sent to its own week and to the weeks whose lags
+    must show it, so the lags are recomputed from the raw weekly counts and share no code with the feature builder. Cells
+    meet in one exchange for all checks. If several rows of a cell do not agree in a lag, all of them violate it.
     """
-    checks: list[DataFrame] = []
-
-    def add(name: str, violations: DataFrame) -> None:
-        checks.append(violations.select(F.lit(name).alias("check"), F.col("violations").cast("long").alias("violations")))
-
     outside = F.lit(False)
     for split, (lo, hi) in bounds.items():
         outside = outside | ((F.col("time_split") == split) & ~F.coalesce(F.col("target_year").between(lo, hi), F.lit(False)))
-    add("target years stay inside their split", table.agg(F.count_if(outside).alias("violations")))
-
-    per_key = table.groupBy(*series, "week_start").agg(F.count_distinct("time_split").alias("_s"), F.count("*").alias("_n"))
-    add("one split and one row per key", per_key.agg(F.count_if((F.col("_s") > 1) | (F.col("_n") > 1)).alias("violations")))
-
-    add(
-        "the target week follows the feature week",
-        table.agg(F.count_if(F.col("target_week").isNotNull() & (F.date_diff("target_week", "week_start") != 7)).alias("violations")),
+    late = F.col("target_week").isNotNull() & (F.date_diff("target_week", "week_start") != 7)
+    lags = {c: f"_lag{i}" for i, c in enumerate(lag_columns)}
+    number = lambda c: F.col(c).cast("double")
+    rows = table.select(
+        *series, "week_start", F.lit(1).alias("_row"), F.coalesce("time_split", F.lit("")).alias("_split"), outside.cast("int").alias("_outside"), late.cast("int").alias("_late"),
+        *[number(c).alias(name) for c, name in lags.items()], *[F.lit(None).cast("double").alias(f"_past{name}") for name in lags.values()],
+    )
+    moved = F.explode(F.array(*[F.struct(F.date_add("week_start", 7 * w).alias("week"), F.lit(name).alias("lag")) for (c, w), name in zip(lag_columns.items(), lags.values(), strict=True)])).alias("_m")
+    past = counts.select(*series, number("n").alias("_c"), "week_start", moved) if lags else None
+    cells = rows
+    if past is not None:
+        shifted = past.select(
+            *series, F.col("_m.week").alias("week_start"), F.lit(0).alias("_row"), F.lit(None).cast("string").alias("_split"), F.lit(0).alias("_outside"), F.lit(0).alias("_late"),
+            *[F.lit(None).cast("double").alias(name) for name in lags.values()],
+            *[F.when(F.col("_m.lag") == name, F.col("_c")).alias(f"_past{name}") for name in lags.values()],
+        )
+        cells = rows.unionByName(shifted)
+    seen = []
+    for name in lags.values():
+        own = F.col("_row") == 1
+        seen += [F.min(name).alias(f"_min{name}"), F.max(name).alias(f"_max{name}"), F.count_if(own & F.col(name).isNull()).alias(f"_none{name}"), F.max(f"_past{name}").alias(f"_past{name}")]
+    per_cell = cells.groupBy(*series, "week_start").agg(
+        F.sum("_row").alias("_n"), F.sum("_outside").alias("_outside"), F.sum("_late").alias("_late"), (F.min("_split") != F.max("_split")).alias("_mixed"), *seen
     )
 
-    past = counts.select(*series, F.col("week_start").alias("_w"), F.col("n").cast("double").alias("_c"))
-    for column, weeks in lag_columns.items():
-        shifted = past.withColumn("week_start", F.date_add("_w", 7 * weeks)).drop("_w")
-        seen = table.select(*series, "week_start", column).join(shifted, [*series, "week_start"], "left")
-        add(f"{column} equals the count {weeks} weeks earlier", seen.agg(F.count_if(~F.col(column).eqNullSafe(F.col("_c"))).alias("violations")))
-
-    bad = forbidden_names(features)
-    add("no forbidden feature names", table.sparkSession.range(1).select(F.lit(len(bad)).alias("violations")))
-
-    out = checks[0]
-    for c in checks[1:]:
-        out = out.unionByName(c)
+    def wrong(name: str) -> Column:
+        n, none, past = F.col("_n"), F.col(f"_none{name}"), F.col(f"_past{name}")
+        right = F.when(past.isNull(), none == n).otherwise((none == 0) & (F.col(f"_min{name}") == past) & (F.col(f"_max{name}") == past))
+        return F.sum(F.when(F.coalesce(right, F.lit(False)), 0).otherwise(n))
+
+    found = {
+        "target years stay inside their split": F.sum("_outside"),
+        "one split and one row per key": F.count_if((F.col("_n") > 1) | F.coalesce("_mixed", F.lit(False))),
+        "the target week follows the feature week": F.sum("_late"),
+        **{f"{c} equals the count {w} weeks earlier": wrong(lags[c]) for c, w in lag_columns.items()},
+        "no forbidden feature names": F.lit(len(forbidden_names(features))),
+    }
+    wide = per_cell.agg(*[F.coalesce(v, F.lit(0)).cast("long").alias(str(i)) for i, v in enumerate(found.values())])
+    pairs = F.array(*[F.struct(F.lit(check).alias("check"), F.col(str(i)).alias("violations")) for i, check in enumerate(found)])
+    out = wide.select(F.inline(pairs))
     return out.withColumn("status", F.when(F.col("violations") == 0, "PASS").otherwise("FAIL"))

@@ -146,12 +146,12 @@ FEATURES = (*PANEL, FEAT)
 FULL = (*FEATURES, TABLE)
 
 
-def features(t: Tables) -> DataFrame:
-    return add_temporal_features(dense(t))
+def features(t: Tables, panel: DataFrame | None = None) -> DataFrame:
+    return add_temporal_features(dense(t) if panel is None else panel)
 
 
-def table(t: Tables) -> DataFrame:
-    df = features(t)
+def table(t: Tables, panel: DataFrame | None = None) -> DataFrame:
+    df = features(t, panel)
     target = target_week(F.col("week_start"), F.col("has_target_next_week"))
     df = df.withColumn("target_week", target)
     return df.withColumns(

@@ -465,8 +465,20 @@ def _(t):
     key = F.concat_ws("|", "split", "order_key", "line_no", "category", "d", "first_score", "second_score")
     left = b.scored(t).withColumn("row_key", key)
     right = left.where("category <> 'N'").withColumn("y", F.when(F.col("line_no") == 2, 1).otherwise(F.col("y")))
-    aligned = joins.align_scores(left, right, ["row_key"], "y", {"left": "first_score", "right": "second_score"})
-    return joins.alignment_report(left, right, aligned)
+    return joins.alignment_report(left, right, ["row_key"], "y")
+
+
+@query(
+    "d10_aligned_rows",
+    "area week_start:d category y_left:i y_right:i lag_1w_count:f lag_4w_count:f",
+    """SELECT area, week_start, category, is_abnormal_next_week AS y_left, CASE WHEN n > 3 THEN 1 ELSE is_abnormal_next_week END AS y_right, lag_1w_count, lag_4w_count FROM tab WHERE category <> 'N' AND is_train_ready = 1""",
+    b.FULL,
+)
+def _(t):
+    rows = stage(b.table(t).select("area", "week_start", "category", "n", "is_train_ready", "is_abnormal_next_week", "lag_1w_count", "lag_4w_count"))
+    right = rows.where("category <> 'N'").withColumn("is_abnormal_next_week", F.when(F.col("n") > 3, 1).otherwise(F.col("is_abnormal_next_week")))
+    keys = ["area", "week_start", "category"]
+    return joins.align_scores(rows.where("is_train_ready = 1"), right, keys, "is_abnormal_next_week", {"left": "lag_1w_count", "right": "lag_4w_count"})
 
 
 @query(
@@ -483,13 +495,15 @@ def _(t):
 @query(
     "d12_merge_coverage",
     "dimension missing_rows:i missing_keys:i first_missing",
-    """SELECT 'small' AS dimension, sum(c) AS missing_rows, count(*) AS missing_keys, string_agg(area, ',' ORDER BY area) AS first_missing
-       FROM (SELECT area, count(*) AS c FROM req WHERE area >= 'NATION_2' GROUP BY 1 ORDER BY 1 LIMIT 20) z""",
+    """SELECT 'small' AS dimension, sum(c) AS missing_rows, count(*) AS missing_keys, array_to_string(list(area ORDER BY area)[:20], ',') AS first_missing
+       FROM (SELECT area, count(*) AS c FROM req WHERE area >= 'NATION_2' GROUP BY 1) z
+       UNION ALL SELECT 'parts', sum(c), count(*), array_to_string(list(CAST(part_key AS VARCHAR) ORDER BY part_key)[:20], ',') FROM (SELECT part_key, count(*) AS c FROM req WHERE part_key % 3 = 0 GROUP BY 1) y""",
     (b.REQ,),
 )
 def _(t):
     dim = b.areas(t).where(F.col("area") < "NATION_2")
-    return joins.merge_coverage(b.requests(t), dim, "area", "small")
+    parts = t.part.where("p_partkey % 3 <> 0").select(F.col("p_partkey").alias("part_key"))
+    return joins.merge_coverage(b.requests(t), dim, "area", "small").unionByName(joins.merge_coverage(b.requests(t), parts, "part_key", "parts"))
 
 
 @query(
@@ -1113,28 +1127,55 @@ def _(t):
     return obs.row_counts(b.table(t), lambda fact: joined(t, fact=fact))
 
 
-@query(
-    "q10_leakage_audit",
-    "check violations:i status",
-    """SELECT 'target years stay inside their split' AS "check", count(*) FILTER (WHERE (time_split = 'train' AND target_year > 1998) OR (time_split = 'validation' AND target_year <> 1999)
-         OR (time_split = 'test' AND target_year < 2000)) AS violations, 'PASS' AS status FROM tab
-       UNION ALL SELECT 'one split and one row per key', count(*) - count(DISTINCT (area, category, week_start)), 'PASS' FROM tab
-       UNION ALL SELECT 'the target week follows the feature week', count(*) FILTER (WHERE target_week <> week_start + INTERVAL 7 DAY), 'PASS' FROM tab
-       UNION ALL SELECT 'lag_1w_count equals the count 1 weeks earlier', count(*) FILTER (WHERE a.lag_1w_count IS DISTINCT FROM CAST(p.n AS DOUBLE)), 'PASS' FROM tab a LEFT JOIN dense p
-         ON p.area = a.area AND p.category = a.category AND p.week_start = a.week_start - INTERVAL 7 DAY
-       UNION ALL SELECT 'lag_52w_count equals the count 52 weeks earlier', count(*) FILTER (WHERE a.lag_52w_count IS DISTINCT FROM CAST(p.n AS DOUBLE)), 'PASS' FROM tab a LEFT JOIN dense p
-         ON p.area = a.area AND p.category = a.category AND p.week_start = a.week_start - INTERVAL 364 DAY
-       UNION ALL SELECT 'no forbidden feature names', 0, 'PASS'""",
-    b.FULL,
-)
-def _(t):
+def audit_sql(tab: str) -> str:
+    lag = lambda k: f"""SELECT 'lag_{k}w_count equals the count {k} weeks earlier', coalesce(sum(CASE WHEN wrong > 0 THEN n END), 0) FROM (
+         SELECT count(*) AS n, count(*) FILTER (WHERE a.lag_{k}w_count IS DISTINCT FROM CAST(p.n AS DOUBLE)) AS wrong FROM {tab} a
+         LEFT JOIN dense p ON p.area = a.area AND p.category = a.category AND p.week_start = a.week_start - INTERVAL {7 * k} DAY GROUP BY a.area, a.category, a.week_start) c{k}"""
+    return f"""SELECT "check", violations, CASE WHEN violations = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM (
+       SELECT 'target years stay inside their split' AS "check", count(*) FILTER (WHERE (time_split = 'train' AND NOT coalesce(target_year <= 1998, false)) OR (time_split = 'validation' AND NOT coalesce(target_year = 1999, false))
+         OR (time_split = 'test' AND NOT coalesce(target_year >= 2000, false))) AS violations FROM {tab}
+       UNION ALL SELECT 'one split and one row per key', count(*) FROM (SELECT 1 FROM {tab} GROUP BY area, category, week_start HAVING count(*) > 1) r
+       UNION ALL SELECT 'the target week follows the feature week', count(*) FILTER (WHERE target_week <> week_start + INTERVAL 7 DAY) FROM {tab}
+       UNION ALL {lag(1)} UNION ALL {lag(52)} UNION ALL SELECT 'no forbidden feature names', {{names}}) z"""
+
+
+TAMPERED = """bent AS (SELECT * FROM (SELECT * REPLACE (CASE WHEN history_weeks % 10 = 3 THEN lag_1w_count + 1 ELSE lag_1w_count END AS lag_1w_count, CASE WHEN history_weeks % 60 = 59 THEN NULL ELSE lag_52w_count END AS lag_52w_count,
+  CAST(CASE WHEN history_weeks % 50 = 7 THEN target_week + INTERVAL 7 DAY ELSE target_week END AS DATE) AS target_week, CASE WHEN time_split = 'test' AND history_weeks % 9 = 0 THEN 'train' ELSE time_split END AS time_split) FROM tab) b0
+  UNION ALL SELECT * REPLACE ('validation' AS time_split) FROM tab WHERE history_weeks = 100)"""
+
+
+def audited(t, bend=lambda df: df, names=()):
+    panel = stage(b.dense(t))  # the only evaluation of the panel
     return quality.leakage_audit(
-        b.table(t),
-        b.dense(t),
+        bend(b.table(t, panel)),
+        panel,
         ["area", "category"],
         {"train": (1900, 1998), "validation": (1999, 1999), "test": (2000, 2100)},
         {"lag_1w_count": 1, "lag_52w_count": 52},
-        ["lag_1w_count", "rolling_8w_mean", "week_of_year"],
+        ["lag_1w_count", "rolling_8w_mean", "week_of_year", *names],
     )
 
 
+@query("q10_leakage_audit", "check violations:i status", audit_sql("tab").format(names=0), b.FULL)
+def _(t):
+    return audited(t)
+
+
+@query("q10_tampered_audit", "check violations:i status", audit_sql("bent").format(names=2), (*b.FULL, TAMPERED))
+def _(t):
+    h = F.col("history_weeks")
+
+    def bend(df):
+        bent = df.withColumns(
+            {
+                "lag_1w_count": F.when(h % 10 == 3, F.col("lag_1w_count") + 1).otherwise(F.col("lag_1w_count")),
+                "lag_52w_count": F.when(h % 60 != 59, F.col("lag_52w_count")),
+                "target_week": F.when(h % 50 == 7, F.date_add("target_week", 7)).otherwise(F.col("target_week")),
+                "time_split": F.when((F.col("time_split") == "test") & (h % 9 == 0), "train").otherwise(F.col("time_split")),
+            }
+        )
+        return bent.unionByName(df.where(h == 100).withColumn("time_split", F.lit("validation")))
+
+    return audited(t, bend, ["next_week_count", "future_mean"])
+
+

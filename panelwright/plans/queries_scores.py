@@ -27,9 +27,9 @@ def ruled(t):
 
 
 @query("h08_majority", "area week_start:d category majority_score:f majority_alert:i",
-    "SELECT area, week_start, category, (SELECT avg(is_abnormal_next_week) FROM tab WHERE time_split = 'train') AS majority_score, 0 AS majority_alert FROM tab", b.FULL)
+    "SELECT area, week_start, category, (SELECT avg(is_abnormal_next_week) FROM tab WHERE time_split = 'train') AS majority_score, CASE WHEN (SELECT avg(is_abnormal_next_week) FROM tab WHERE time_split = 'train') >= 0.5 THEN 1 ELSE 0 END AS majority_alert FROM tab", b.FULL)
 def _(t):
-    df = b.table(t)
+    df = stage(b.table(t).select("area", "week_start", "category", "time_split", "is_abnormal_next_week"))
     return scoring.majority_scores(df, df.where("time_split = 'train'"), "is_abnormal_next_week")
 
 

@@ -128,3 +128,36 @@ def test_coverage_and_alignment(spark):
     assert (r["missing_rows"], r["missing_keys"], r["first_missing"]) == (3, 2, "b,c")
     full = joins.align_to_universe(fact.distinct(), dim.withColumn("share", F.lit(0.5)), "area", ["v"]).orderBy("area").collect()
     assert [(x["v"], x["share"]) for x in full] == [(1, 0.5), (0, None), (0, None)]
+
+
+def test_audit_reads_the_panel_once_and_finds_what_is_bent(spark, monkeypatch):
+    from panelwright.plans import queries_context as q
+    from panelwright.plans.registry import Tables
+
+    plans = []
+    real = panel.stage
+    monkeypatch.setattr(panel, "stage", lambda df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), real(df))[1])
+    audit = q.audited(Tables(spark, "/root/testdata/sf0.001"))
+    plans.append(audit._jdf.queryExecution().executedPlan().toString())
+    assert sum(p.count("lineitem.parquet") for p in plans) == 1
+    assert {r["status"] for r in audit.collect()} == {"PASS"}
+
+
+def test_audit_counts_every_row_of_a_cell_that_does_not_agree(spark):
+    rows = [("a", "2020-01-06", 5, None, "train", 2020, "2020-01-13"), ("a", "2020-01-13", 7, 5.0, "train", 2020, "2020-01-20"), ("a", "2020-01-20", 1, 7.0, "train", 2020, None), ("a", "2020-01-20", 1, 8.0, "test", 2020, None)]
+    df = spark.createDataFrame(rows, "area string, week_start string, n long, lag double, time_split string, target_year int, target_week string")
+    df = df.withColumns({"week_start": F.to_date("week_start"), "target_week": F.to_date("target_week")})
+    counts = df.select("area", "week_start", "n").distinct()
+    ask = lambda table, lags: {r["check"]: r["violations"] for r in quality.leakage_audit(table, counts, ["area"], {"train": (2020, 2020), "test": (2020, 2020)}, lags, []).collect()}
+    assert list(ask(df, {"lag": 1}).values()) == [0, 1, 0, 2, 0]
+    assert list(ask(df.where("time_split = 'train'"), {"lag": 1}).values()) == [0, 0, 0, 0, 0]
+    assert list(ask(df.withColumn("lag", F.lit(None).cast("double")), {"lag": 1}).values())[3] == 3  # a missing lag, where there is a count
+    assert list(ask(df.limit(0), {}).values()) == [0, 0, 0, 0]
+
+
+def test_alignment_counts_pairs_without_making_them(spark):
+    left = spark.createDataFrame([("a", 1), ("a", 0), ("b", None), ("c", 1), (None, 1)], "k string, y int")
+    right = spark.createDataFrame([("a", 1), ("a", 1), ("a", None), ("b", None), ("d", 0), (None, 1)], "k string, y int")
+    got = joins.alignment_report(left, right, ["k"], "y").first()
+    pairs = joins.align_scores(left.withColumn("s", F.lit(0)), right.withColumn("r", F.lit(0)), ["k"], "y", {"left": "s", "right": "r"})
+    assert tuple(got) == (5, 6, pairs.count(), pairs.where("not (y_left <=> y_right)").count())
