@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
+from panelwright.llm.held import held
 from panelwright.llm.ship import map_arrow
 from panelwright.session import stage
 
@@ -140,6 +141,7 @@ def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("language_id", dict)  # the model and its memo come and go with the broadcast; what others left goes now
         predict = shared.value.predict
         for b in batches:
             found = [predict(t) for t in b.column(2).to_pylist()]
@@ -161,6 +163,7 @@ def drop_unidentified(docs: DataFrame, least: float = LEAST_SCORE, id_col: str =
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("language_id", dict)  # the model and its memo come and go with the broadcast; what others left goes now
         predict = shared.value.predict
         for b in batches:
             found = [predict(t) for t in b.column(at).to_pylist()]

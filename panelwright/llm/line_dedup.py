@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from panelwright.llm.components import components
+from panelwright.llm.held import held
 from panelwright.llm.ship import map_arrow
 from panelwright.session import stage
 
@@ -87,18 +88,13 @@ class _Bits:
         return self.table[at]
 
 
-_bits: list[_Bits] = []
-
-
 def simhashes(lines: list[str]) -> np.ndarray:
     """Signed 64-bit SimHash over the features of normalised, non-empty lines."""
     if not lines:
         return np.zeros(0, np.int64)
-    if not _bits:
-        _bits.append(_Bits())
     features = [line_features(line) for line in lines]
     counts = np.fromiter(map(len, features), np.int64, len(features))
-    spread = _bits[0].of(list(itertools.chain.from_iterable(features)))
+    spread = held("line_dedup", _Bits).of(list(itertools.chain.from_iterable(features)))
     ends = np.cumsum(counts)
     # A byte counts to 255, so longer lines are counted in several parts.
     starts = np.concatenate([np.arange(a, b, 255) for a, b in zip(ends - counts, ends, strict=True)]) if counts.max() > 255 else ends - counts

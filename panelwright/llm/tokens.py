@@ -8,6 +8,8 @@ import re
 from array import array
 from collections.abc import Iterator
 
+from panelwright.llm.held import held
+
 #: Pieces kept in a worker's memo; it starts anew beyond that. Longer pieces are encoded each time.
 MEMO_PIECES = 400_000
 MEMO_LENGTH = 64
@@ -120,11 +122,6 @@ class ByteEncoder:
         return out
 
 
-_encoders: dict[str | None, ByteEncoder] = {}
-
-
 def encoder(path: str | None = None) -> ByteEncoder:
     """One encoder for each worker process and path."""
-    if path not in _encoders:
-        _encoders[path] = ByteEncoder(path)
-    return _encoders[path]
+    return held(f"tokens {path}", lambda: ByteEncoder(path))
