@@ -6,10 +6,13 @@ next task and go as soon as another operator's task begins, so a pipeline needs
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Callable
 from typing import TypeVar
 
+import pyarrow as pa
+
 T = TypeVar("T")
 _held: dict[str, object] = {}
 
@@ -18,6 +21,15 @@ def held(operator: str, make: Callable[[], T]) -> T:
     """The operator's tables, made where there are none; those of other operators are dropped."""
     if operator not in _held:
         _held.clear()
-        gc.collect()
+        _give_back()
         _held[operator] = make()
     return _held[operator]
+
+
+def _give_back() -> None:
+    """Freed memory to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -207,6 +207,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFram
     both = pairs.join(texts.select(F.col("line_id").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("line_id").alias("v"), F.col("line").alias("b")), "v").select("u", "v", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held("line_dedup, verifying", dict)  # the hash bits of words are done with
         for b in batches:
             keep = [similar(x, y, similarity) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))

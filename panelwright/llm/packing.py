@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelwright.llm.held import held
 from panelwright.llm.ship import map_arrow
 from panelwright.session import stage
 
@@ -135,6 +136,7 @@ def _pieces(table_schema: pa.Schema, path: str | None, length: int, windows: int
 
 def _merge(schema: pa.Schema, length: int):
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        held("packing, merging", dict)  # the encoder is done with
         space, done = Windows(length), []
         pieces = [tuple(r[c] for c in table.column_names[:5]) for r in table.select(table.column_names[:5]).to_pylist()]
         pieces.sort(key=lambda p: (-p[2], p[0] is None, p[0] if p[0] is not None else 0, p[1], p[3]))
