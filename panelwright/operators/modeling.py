@@ -9,7 +9,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.ml import Model, Pipeline
+from pyspark.ml import Model, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import OneHotEncoder, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.cleaning import to_number
-from ..session import stage
+from ..session import stage, staging_dir
 from .metrics import evaluate_weighted, rank_metrics, score_histogram
 from .ordered import attach, keep_first, melt, positions, quantiles, step_of
 from .report import validation_rank
@@ -238,9 +238,21 @@ def random_forest(inputs: Sequence[str], label: str, seed: int = 42, **params) -
     return Pipeline(stages=[*_assembled(inputs), model])
 
 
-def score(model: Model, df: DataFrame, name: str) -> DataFrame:
+def detached(model: PipelineModel) -> PipelineModel:
+    """The fitted pipeline, written and read back where a stage holds its training summary.
+
+    A summary holds the session, and a session in which metrics were observed cannot be sent to tasks with the model.
+    """
+    if not any(getattr(s, "hasSummary", False) for s in model.stages):
+        return model
+    path = f"{staging_dir(SparkSession.active())}/model-{uuid.uuid4().hex}"
+    model.save(path)
+    return PipelineModel.load(path)
+
+
+def score(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
     """Probability of the positive class next to the id columns (H15): a narrow step."""
-    scored = model.transform(df).withColumn(name, vector_to_array("probability")[1])
+    scored = detached(model).transform(df).withColumn(name, vector_to_array("probability")[1])
     return scored.drop("raw_features", "features", "rawPrediction", "probability", "prediction")
 
 

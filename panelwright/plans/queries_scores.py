@@ -802,7 +802,7 @@ def _(t):
     terms, means = explain.linear_terms(model, inputs), explain.training_means(parts["train"], inputs)
     rows = parts["validation"].unionByName(parts["test"])
     total = explain.linear_contributions(rows, [*IDS, "time_split"], terms.coefficients, means).groupBy(*IDS, "time_split").agg((F.sum("value") + F.lit(terms.base(means))).alias("sum"))
-    own = model.transform(rows).select(*IDS, vector_to_array("rawPrediction")[1].alias("odds"))
+    own = modeling.detached(model).transform(rows).select(*IDS, vector_to_array("rawPrediction")[1].alias("odds"))
     off = F.abs(F.col("sum") - F.col("odds")) > 1e-9 * (1 + F.abs("odds"))
     return total.join(own, IDS).groupBy("time_split").agg(F.count("*").alias("row_count"), F.count_if(off).alias("rows_off"))
 

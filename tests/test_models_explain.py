@@ -50,7 +50,7 @@ def test_contributions_add_up_to_the_log_odds_of_the_fitted_pipeline(spark, line
     wide = matrix.select("i", vector_to_array("raw_features").alias("v")).select("i", *[F.col("v")[k].alias(n) for k, n in enumerate(names)])
     means = explain.training_means(wide, names)
     sums = explain.linear_contributions(wide, ["i"], terms.coefficients, means).groupBy("i").agg((F.sum("value") + terms.base(means)).alias("s"))
-    odds = {r.i: r.o for r in model.transform(matrix).select("i", vector_to_array("rawPrediction")[1].alias("o")).collect()}
+    odds = {r.i: r.o for r in modeling.detached(model).transform(matrix).select("i", vector_to_array("rawPrediction")[1].alias("o")).collect()}
     for r in sums.collect():
         assert r.s == pytest.approx(odds[r.i], rel=1e-9, abs=1e-9)
 
@@ -83,3 +83,14 @@ def test_search_records_what_is_finished_and_tries_again_what_failed(spark, line
     assert sorted(r.validation_rank for r in second.values() if r.experiment == "all") == [1, 2, 3, 4]
     fits.clear()
     assert ask() == second and not fits
+
+
+def test_a_model_scores_in_a_session_that_has_observed_something(spark, linear):
+    from pyspark.sql import Observation
+
+    from panelwright.operators import observed
+
+    seen = Observation()
+    observed.run(linear[0].observe(seen, F.count(F.lit(1)).alias("n")))
+    assert seen.get == {"n": 400}
+    assert len(modeling.score(linear[3], linear[2], "s").collect()) == 400
