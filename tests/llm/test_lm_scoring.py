@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from panelwright.llm import lm_scoring
@@ -120,3 +121,48 @@ def test_training_reads_every_document(spark):
         if not (model.class_table[by_class[3]].any(axis=1).all() and model.word_table[classed[1]].any(axis=1).all()):
             unread.append(i)
     assert unread == []
+
+
+def test_tokens_of_arrow_texts():
+    texts = [None, "", " \n", "ÀÉ A1\ta1\x0bb2 ", "x\x1cy\x85z\u00a0w\u2003V", " a  B\r\n\x0cc", "é", "😀 I"]
+    tokens, sizes = lm_scoring.tokens_in(pa.array(["skipped", *texts])[1:])
+    assert sizes.tolist() == [len(lm_scoring.tokens_of(t)) for t in texts]
+    assert tokens.to_pylist() == [w for t in texts for w in lm_scoring.tokens_of(t)]
+    assert lm_scoring.shared_symbols(tokens[3:]).tolist() == [lm_scoring.shared_symbol(w) for w in tokens[3:].to_pylist()]
+
+
+@pytest.mark.parametrize("most", [1, 8, 9, 3000])
+def test_run_sums_equal_brute_force(most):
+    rng = np.random.default_rng(most)
+    keys = np.concatenate([np.repeat(np.arange(40), rng.integers(1, most + 1, 40)), np.full(most, 7)]).astype(np.uint16)
+    rng.shuffle(keys)
+    values = rng.normal(size=(len(keys), 5))
+    order, changed, n = lm_scoring._runs(keys)
+    sums, run = lm_scoring._run_sums(values, order, n)
+    assert sorted(changed[run].tolist()) == sorted(set(keys.tolist())) and n[run].tolist() == [(keys == k).sum() for k in changed[run]]
+    assert np.allclose(sums, [values[keys == k].sum(axis=0) for k in changed[run]])
+
+
+def test_weights_beyond_the_range_of_exp(spark):
+    words = frequent_words(count_tokens(spark.createDataFrame(corpus()[:50], "doc_id long, text string").select("text")))
+    for size in (300.0, -300.0):
+        model = Model(words, np.full((CLASS_ROWS, CLASSES), size, np.float32), np.full((WORD_ROWS, 64), size, np.float32))
+        zero = Model(words, np.zeros((CLASS_ROWS, CLASSES), np.float32), np.zeros((WORD_ROWS, 64), np.float32))
+        padded, places, _, _ = zero.encode([lm_scoring.tokens_of("a1 b2 a3")])
+        assert np.allclose(model.log10_symbols(padded, places), zero.log10_symbols(padded, places), atol=1e-3)
+
+
+def test_symbols_are_those_of_the_tokens(spark):
+    """What the rounds and the scores read: each text's symbols, two bytes a token, and its tokens without a broadcast count."""
+    docs = corpus()[:100] + ODD[:5]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    words = frequent_words(count_tokens(df.limit(60).select("text")))
+    rows = lm_scoring.encoded(df.selectExpr("doc_id", "false held_out", "doc_id slice", "text"), words).collect()
+    assert len({r.ref for r in rows}) == len(rows) == len(docs)
+    by_id = dict(docs)
+    model = Model(words, np.zeros(0), np.zeros(0))
+    for r in rows:
+        tokens = lm_scoring.tokens_of(by_id[r.doc_id])
+        padded, places, known, _ = model.encode([tokens])
+        assert np.frombuffer(r.symbols, "<u2").tolist() == padded[places].tolist() and r.n_tokens == len(tokens) and r.n_known == (known >= 0).sum()
+        assert [bytes(w) for w in r.rare] == [w for w in tokens if w not in words.index]
