@@ -8,6 +8,8 @@ import re
 from array import array
 from collections.abc import Iterator
 
+import numpy as np
+
 from panelwright.llm.held import held
 
 #: Pieces kept in a worker's memo; it starts anew beyond that. Longer pieces are encoded each time.
@@ -42,7 +44,8 @@ def _rank_encoder(path: str):
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    opens = {" ": {r for piece, r in ranks.items() if piece[:1] == b" "}, "\n": {ranks[b"\n"]}}
+    opens = {lead: np.zeros(max(ranks.values()) + 1, bool) for lead in (" ", "\n")}
+    opens[" "][[r for piece, r in ranks.items() if piece[:1] == b" "]] = opens["\n"][ranks[b"\n"]] = True
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), opens
 
 
@@ -71,9 +74,8 @@ class ByteEncoder:
         """Ids of Latin words, each with `lead` (a space or a line feed) in front."""
         out = []
         for at in range(0, len(words), WORDS):
-            ids = self.fast.encode_ordinary(lead + lead.join(words[at : at + WORDS]))
-            opens, raw = self.opens[lead], array("I", ids).tobytes()
-            cuts = [4 * i for i, x in enumerate(ids) if x in opens]
+            ids = np.array(self.fast.encode_ordinary(lead + lead.join(words[at : at + WORDS])), "<u4")
+            raw, cuts = ids.tobytes(), (4 * np.flatnonzero(self.opens[lead][ids])).tolist()
             out += [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)]
         return out
 
@@ -107,7 +109,11 @@ class ByteEncoder:
         for parts in split:
             seen.update(parts[1:])
         extra = {}
-        for p, ids in self.new_pieces([p for p in seen if p not in memo]):
+        new, plain = [], []
+        for p in seen.difference(memo):
+            (plain if self.fast and p.isascii() and p.isalpha() and len(p) <= MEMO_LENGTH else new).append(p)
+        memo.update(zip(plain, self.words(plain, " "), strict=True))
+        for p, ids in self.new_pieces(new):
             (memo if len(p) <= MEMO_LENGTH else extra)[p] = ids
         find = memo.__getitem__ if not extra else lambda p: memo[p] if p in memo else extra[p]
         out, whole = self.direct([parts[0] for parts in split]), []

@@ -70,3 +70,13 @@ def test_empty_table_names_and_string_ids(spark):
     df = spark.createDataFrame([("x", "a b", 1, True)], "name string, text string, start int, open boolean")
     rows = packed(df, id_col="name").collect()
     assert [(r.name, r.start, r.length, r.offset) for r in rows] == [("x", 0, 3, 0)]
+
+
+def test_plain_words_are_encoded_together(monkeypatch):
+    """Words of ASCII letters need no pattern; all others, and words too long for the memo, are looked at one by one."""
+    texts = ["first Plain words plain, don't naïve end.\nNext a " + "w" * 65 + " " + "v" * 64 + " x1 İ I the", " Plain\n\nwords  a"] + [t or "" for t in TEXTS]
+    enc, looked = ByteEncoder(), []
+    one_by_one = enc.new_pieces
+    monkeypatch.setattr(enc, "new_pieces", lambda pieces: looked.extend(pieces) or one_by_one(pieces))
+    assert [list(memoryview(g).cast("I")) for g in enc.encode(texts)] == direct(texts)
+    assert not {"Plain", "words", "v" * 64, "the"} & set(looked) and {"plain,", "naïve", "w" * 65, "x1"} <= set(looked)
