@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
@@ -38,8 +39,6 @@ NEAR = 8
 #: LEAST_FEATURES others are there.
 SHORT = 3
 LEAST_FEATURES = 5
-#: Words whose hashes a worker keeps, 64 bytes and the word each.
-MEMO = 300_000
 #: Bytes of line numbers or line ids that may be broadcast.
 BROADCAST_BYTES = 64 << 20
 
@@ -61,40 +60,29 @@ def line_features(line: str) -> list[str]:
     return long if len(long) >= LEAST_FEATURES else words
 
 
-class _Bits:
-    """The 64 hash bits of words as 64 counters of one byte, so that eight additions count a word."""
+#: For each byte its bits, one in each byte of a word of eight: eight additions count a word's 64 bits.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8")[:, 0].copy()
 
-    def __init__(self):
-        self.rows: dict[str, int] = {}
-        self.table = np.zeros((MEMO, 8), "<u8")
-        #: For each byte its bits, one in each byte of a word of eight.
-        self.spread = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8")[:, 0].copy()
 
-    def of(self, words: list[str]) -> np.ndarray:
-        at = np.fromiter(map(self.rows.get, words, itertools.repeat(-1)), np.int64, len(words))
-        if len(missing := np.flatnonzero(at < 0)):
-            from xxhash import xxh64_intdigest
-
-            new = list(dict.fromkeys([words[i] for i in missing.tolist()]))
-            if len(self.rows) + len(new) > MEMO:
-                self.rows, missing, new = {}, np.arange(len(words)), list(dict.fromkeys(words))
-                if len(new) > len(self.table):
-                    self.table = np.zeros((len(new), 8), "<u8")
-            hashes = np.array([xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in new], "<u8")
-            first = len(self.rows)
-            self.table[first : first + len(new)] = self.spread[hashes.view(np.uint8).reshape(-1, 8)]
-            self.rows.update(zip(new, range(first, first + len(new)), strict=True))
-            at[missing] = [self.rows[words[i]] for i in missing.tolist()]
-        return self.table[at]
+def _features(lines: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """line_features of all lines, one after the other, and how many each line has."""
+    parts = pc.split_pattern(pa.array(lines, pa.string()), " ")
+    words, owner = pc.list_flatten(parts), pc.list_parent_indices(parts).to_numpy()
+    long = pc.greater(pc.utf8_length(words), SHORT).to_numpy(zero_copy_only=False)
+    keep = long | (np.bincount(owner[long], minlength=len(lines)) < LEAST_FEATURES)[owner]
+    return words.filter(pa.array(keep)), np.bincount(owner[keep], minlength=len(lines))
 
 
 def simhashes(lines: list[str]) -> np.ndarray:
-    """Signed 64-bit SimHash over the features of normalised, non-empty lines."""
+    """Signed 64-bit SimHash over the features of normalised, non-empty lines. Each different word is hashed once."""
     if not lines:
         return np.zeros(0, np.int64)
-    features = [line_features(line) for line in lines]
-    counts = np.fromiter(map(len, features), np.int64, len(features))
-    spread = held("line_dedup", _Bits).of(list(itertools.chain.from_iterable(features)))
+    from xxhash import xxh64_intdigest
+
+    words, counts = _features(lines)
+    coded = words.cast(pa.binary()).dictionary_encode()
+    hashes = np.array([xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], "<u8")
+    spread = _SPREAD[hashes.view(np.uint8).reshape(-1, 8)].take(coded.indices.to_numpy(), axis=0)
     ends = np.cumsum(counts)
     # A byte counts to 255, so longer lines are counted in several parts.
     starts = np.concatenate([np.arange(a, b, 255) for a, b in zip(ends - counts, ends, strict=True)]) if counts.max() > 255 else ends - counts
@@ -112,6 +100,7 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
+        held("line_dedup", dict)  # other operators' tables are done with
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 b = batch.slice(at, 500)
@@ -207,7 +196,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFram
     both = pairs.join(texts.select(F.col("line_id").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("line_id").alias("v"), F.col("line").alias("b")), "v").select("u", "v", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held("line_dedup, verifying", dict)  # the hash bits of words are done with
+        held("line_dedup", dict)
         for b in batches:
             keep = [similar(x, y, similarity) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))

@@ -4,6 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from xxhash import xxh64_intdigest
 
+from panelwright.llm import line_dedup
 from panelwright.llm.line_dedup import edit_distance, normal_lines, repeated_lines, similar, simhashes, without_repeated_lines
 
 
@@ -131,3 +132,10 @@ def test_odd_rows_columns_and_texts(spark):
     assert got["p"] == ("last", 1)
     assert got["q"] == ("line 12 of 99", 1)
     assert without_repeated_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_features_of_many_lines_equal_those_of_each():
+    lines = ["a", "the of in", "alpha beta gamma delta epsilon of in", "alpha beta gamma delta of", "ünïc ödes äöüß ßßßß éééé ab", "漢字漢字 b", "0000 000 00", "w" * 300]
+    words, counts = line_dedup._features(lines)
+    each = [line_dedup.line_features(line) for line in lines]
+    assert words.to_pylist() == [w for x in each for w in x] and counts.tolist() == [len(x) for x in each]
