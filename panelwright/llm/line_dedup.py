@@ -15,8 +15,8 @@ found so connect the same groups as all links do.
 from __future__ import annotations
 
 import itertools
-import re
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 
 from panelwright.llm.components import components
 from panelwright.llm.held import held
-from panelwright.llm.ship import map_arrow
+from panelwright.llm.ship import map_arrow, slices, strings
 from panelwright.session import stage
 
 DISTANCE = 3
@@ -41,17 +41,34 @@ SHORT = 3
 LEAST_FEATURES = 5
 #: Bytes of line numbers or line ids that may be broadcast.
 BROADCAST_BYTES = 64 << 20
+#: Bytes of texts that are cut into lines at a time; a longer text goes alone.
+SLICE_BYTES = 1 << 20
 
-# For UTF-8 bytes: ASCII marks become spaces, digits 0; what other marks there are is looked for afterwards.
-_ASCII = bytes(c if c == 10 or c > 127 or chr(c).isalpha() else 48 if chr(c).isdigit() else 32 for c in range(256))
-_MARK = re.compile(r"[^\w\s]")
+
+@cache
+def _normal_codes() -> np.ndarray:
+    """For each code point what it becomes: ASCII digits 0, other letters and digits themselves, marks and white space a space."""
+    kept = np.fromiter((chr(c).isalnum() for c in range(0x110000)), bool, 0x110000)
+    codes = np.where(kept, np.arange(0x110000, dtype="<u4"), np.uint32(32))
+    codes[48:58], codes[10] = 48, 10
+    return codes
+
+
+def _normal_lines(texts: list[str]) -> pa.Array:
+    """The normalised lines of all texts, one after the other, empty ones too; a text has one more than line feeds."""
+    codes = _normal_codes()[np.frombuffer("\n".join(texts).lower().encode("utf-32-le", "surrogatepass"), "<u4")]
+    gap = np.concatenate(([True], codes <= 32))  # spaces and line feeds; before the first character, too
+    codes = codes[~(gap[:-1] & (codes == 32))]  # of each run of spaces the first, none at a line's beginning
+    end = np.append(codes[1:] == 10, True)
+    raw = codes[~(end & (codes == 32))].tobytes().decode("utf-32-le", "surrogatepass").encode()
+    feeds = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10)
+    raw = raw.replace(b"\n", b"")
+    offsets = np.concatenate(([0], feeds - np.arange(len(feeds)), [len(raw)])).astype(np.int32)
+    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(raw))
 
 
 def normal_lines(text: str) -> list[str]:
-    text = text.lower().encode("utf-8", "surrogatepass").translate(_ASCII).decode("utf-8", "surrogatepass")
-    if _MARK.search(text):
-        text = _MARK.sub(" ", text)
-    return [" ".join(line.split()) for line in text.split("\n")]
+    return _normal_lines([text]).to_pylist()
 
 
 def line_features(line: str) -> list[str]:
@@ -64,31 +81,32 @@ def line_features(line: str) -> list[str]:
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8")[:, 0].copy()
 
 
-def _features(lines: list[str]) -> tuple[pa.Array, np.ndarray]:
+def _features(lines: pa.Array | list[str]) -> tuple[pa.Array, np.ndarray]:
     """line_features of all lines, one after the other, and how many each line has."""
-    parts = pc.split_pattern(pa.array(lines, pa.string()), " ")
+    parts = pc.split_pattern(lines if isinstance(lines, pa.Array) else pa.array(lines, pa.string()), " ")
     words, owner = pc.list_flatten(parts), pc.list_parent_indices(parts).to_numpy()
     long = pc.greater(pc.utf8_length(words), SHORT).to_numpy(zero_copy_only=False)
     keep = long | (np.bincount(owner[long], minlength=len(lines)) < LEAST_FEATURES)[owner]
     return words.filter(pa.array(keep)), np.bincount(owner[keep], minlength=len(lines))
 
 
-def simhashes(lines: list[str]) -> np.ndarray:
+def simhashes(lines: pa.Array | list[str]) -> np.ndarray:
     """Signed 64-bit SimHash over the features of normalised, non-empty lines. Each different word is hashed once."""
-    if not lines:
+    if not len(lines):
         return np.zeros(0, np.int64)
-    from xxhash import xxh64_intdigest
+    from xxhash import xxh64_digest
 
     words, counts = _features(lines)
     coded = words.cast(pa.binary()).dictionary_encode()
-    hashes = np.array([xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], "<u8")
+    hashes = np.frombuffer(b"".join(map(xxh64_digest, strings(coded.dictionary))), ">u8").astype("<u8")
     spread = _SPREAD[hashes.view(np.uint8).reshape(-1, 8)].take(coded.indices.to_numpy(), axis=0)
-    ends = np.cumsum(counts)
     # A byte counts to 255, so longer lines are counted in several parts.
-    starts = np.concatenate([np.arange(a, b, 255) for a, b in zip(ends - counts, ends, strict=True)]) if counts.max() > 255 else ends - counts
+    parts = -(-counts // 255)
+    first = np.cumsum(parts) - parts
+    starts = np.repeat(np.cumsum(counts) - counts - 255 * first, parts) + 255 * np.arange(parts.sum())
     ones = np.add.reduceat(spread, starts, axis=0).view(np.uint8).reshape(-1, 64)
     if len(starts) > len(lines):
-        ones = np.add.reduceat(ones, np.searchsorted(starts, ends - counts), axis=0, dtype=np.int64)
+        ones = np.add.reduceat(ones, first, axis=0, dtype=np.int64)
     return np.packbits(ones > (counts // 2)[:, None], axis=1, bitorder="little").view("<i8")[:, 0]
 
 
@@ -98,21 +116,18 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     kind = StructType([source.schema["doc_id"], StructField("line_no", IntegerType()), StructField("line_id", LongType()), StructField("simhash", LongType()), StructField("line", StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from xxhash import xxh3_64_intdigest
+        from xxhash import xxh3_64_digest
 
         held("line_dedup", dict)  # other operators' tables are done with
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                b = batch.slice(at, 500)
-                owner, numbers, lines = [], [], []
-                for i, text in enumerate(b.column(1).to_pylist()):
-                    for k, line in enumerate(normal_lines(text)):
-                        if line:
-                            owner.append(i)
-                            numbers.append(k)
-                            lines.append(line)
-                ids = np.array([xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) for x in lines], np.uint64).view(np.int64)
-                columns = [b.column(0).take(pa.array(owner, pa.int64())), pa.array(numbers, pa.int32()), pa.array(ids, pa.int64()), pa.array(simhashes(lines), pa.int64()), pa.array(lines, pa.string())]
+            for b, texts in slices(batch, 1, SLICE_BYTES):
+                counts = np.array([t.count("\n") + 1 for t in texts])
+                lines = _normal_lines(texts)
+                at = np.flatnonzero(pc.binary_length(lines).to_numpy())
+                owner, lines = np.repeat(np.arange(len(texts)), counts)[at], lines.take(pa.array(at))
+                numbers = at - (np.cumsum(counts) - counts)[owner]
+                ids = np.frombuffer(b"".join(map(xxh3_64_digest, strings(lines.cast(pa.binary())))), ">i8").astype(np.int64)
+                columns = [b.column(0).take(pa.array(owner)), pa.array(numbers.astype(np.int32)), pa.array(ids), pa.array(simhashes(lines)), lines]
                 yield pa.RecordBatch.from_arrays(columns, names=kind.names)
 
     return map_arrow(source, run, kind)
@@ -151,10 +166,37 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return distance
 
 
+def edits_by_words(a: str, b: str, most: int) -> int:
+    """Edits that turn a into b word by word, so never fewer than edit_distance; above `most` counting stops.
+
+    A word is replaced, left out or put in, whichever makes the next words agree.
+    """
+    x, y = [*a.split(" "), None], [*b.split(" "), None]
+    i = j = edits = 0
+    while (p := x[i]) is not None and (q := y[j]) is not None:
+        if p != q:
+            # A word that is left out or put in counts with its space.
+            if x[i + 1] == y[j + 1]:
+                edits += max(len(p), len(q))
+            elif x[i + 1] == q:
+                edits += len(p) + 1
+                j -= 1
+            elif p == y[j + 1]:
+                edits += len(q) + 1
+                i -= 1
+            else:
+                edits += max(len(p), len(q))
+            if edits > most:
+                return edits
+        i += 1
+        j += 1
+    return edits + sum(len(w) + 1 for w in (*x[i:-1], *y[j:-1]))
+
+
 def similar(a: str, b: str, similarity: float = SIMILARITY) -> bool:
     longest = max(len(a), len(b))
     most = int((1 - similarity) * longest + 1e-9)
-    return edit_distance(a, b, most) <= most
+    return edits_by_words(a, b, most) <= most or edit_distance(a, b, most) <= most
 
 
 def _near(a: Column, b: Column, distance: int) -> Column:
@@ -198,7 +240,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("line_dedup", dict)
         for b in batches:
-            keep = [similar(x, y, similarity) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)]
+            keep = [similar(x, y, similarity) for x, y in zip(strings(b.column(2)), strings(b.column(3)), strict=True)]
             yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return map_arrow(both, run, StructType.fromDDL("u long, v long"))

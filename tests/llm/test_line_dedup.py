@@ -139,3 +139,44 @@ def test_features_of_many_lines_equal_those_of_each():
     words, counts = line_dedup._features(lines)
     each = [line_dedup.line_features(line) for line in lines]
     assert words.to_pylist() == [w for x in each for w in x] and counts.tolist() == [len(x) for x in each]
+
+
+def plain(text):
+    text = "".join("0" if c in "0123456789" else c if c.isalnum() or c == "\n" else " " for c in text.lower())
+    return [" ".join(line.split()) for line in text.split("\n")]
+
+
+def test_lines_of_many_texts_are_those_of_each():
+    """Texts are normalised together: no space, line feed or final sigma of one reaches the next."""
+    rng = random.Random(2)
+    alphabet = ["a", "B", "7", "٣", "²", "Σ", "İ", "漢", "😀", " ", " ", "\n", "\t", "\r", "\x00", "\x1c", "\x85", "\xa0", "\u2028", "_", "-", "’"]
+    texts = ["", "\n", " \n ", "a\n", "\na", "ΑΣ", "Σ ς", "  a  b \n c"] + ["".join(rng.choices(alphabet, k=rng.randrange(30))) for _ in range(2000)]
+    want = [plain(t) for t in texts]
+    assert [normal_lines(t) for t in texts] == want
+    assert line_dedup._normal_lines(texts).to_pylist() == [line for x in want for line in x]
+
+
+def test_lines_keep_their_places_in_small_slices(spark, monkeypatch):
+    docs = [(i, t) for i, (_, t) in enumerate(corpus(5, 30))] + [(99, ""), (98, "--\n\n x \n.")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    want = {(d, k, n) for d, t in docs for k, n in enumerate(plain(t)) if n}
+    for size in (1, 200):
+        monkeypatch.setattr(line_dedup, "SLICE_BYTES", size)
+        assert {(r.doc_id, r.line_no, r.line) for r in line_dedup.lines_of(df, "doc_id", "text").collect()} == want
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["a", "bc", "abc", "d", ""]), min_size=1, max_size=8), st.lists(st.sampled_from(["a", "bc", "abd", "d", ""]), min_size=1, max_size=8), st.integers(0, 30))
+def test_edits_by_words_are_never_too_few(a, b, most):
+    a, b = " ".join(a), " ".join(b)
+    distance, edits = levenshtein(a, b), line_dedup.edits_by_words(a, b, most)
+    assert edits >= distance or edits > most
+    for share in (0.2, 0.5, 0.8):
+        assert similar(a, b, share) == (distance <= int((1 - share) * max(len(a), len(b)) + 1e-9))
+
+
+def test_lines_that_differ_in_words_need_no_letter_by_letter_distance(monkeypatch):
+    monkeypatch.setattr(line_dedup, "edit_distance", None)
+    words = [f"word{i}" for i in range(80)]
+    for other in (words[:9] + ["other"] + words[10:], words[:30] + words[31:70] + ["new"] + words[70:], words[:-2], ["first", *words]):
+        assert similar(" ".join(words), " ".join(other))
