@@ -23,6 +23,7 @@ def held(operator: str, make: Callable[[], T]) -> T:
         _held.clear()
         _give_back()
         _held[operator] = make()
+        _give_back()  # what building them took: for the encoder more than it keeps
     return _held[operator]
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from panelwright.llm.held import held
-from panelwright.llm.ship import map_arrow
+from panelwright.llm.ship import map_arrow, slices
 from panelwright.session import stage
 
 #: Entries of the tables: they bound what is broadcast and what a worker holds.
@@ -32,8 +32,10 @@ LEAST_SCORE = 0.0
 SMOOTHING = 0.5
 #: Words whose evidence counts in full; longer texts are weighed as if they had so many.
 EVIDENCE = 20.0
-#: Unknown words that a worker keeps.
-MEMO_WORDS = 200_000
+#: Unknown words that a worker keeps, some 15 MB; it starts anew beyond that.
+MEMO_WORDS = 50_000
+#: Bytes of texts that are Python strings at a time; a longer text goes alone.
+SLICE_BYTES = 1 << 20
 
 # Runs of letters; numbers that are not digits count as letters in both engines' classes.
 _SPLIT = r"[^\p{L}\p{Nl}\p{No}]+"
@@ -143,10 +145,11 @@ def identified(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("language_id", dict)  # the model and its memo come and go with the broadcast; what others left goes now
         predict = shared.value.predict
-        for b in batches:
-            found = [predict(t) for t in b.column(2).to_pylist()]
-            columns = [b.column(0), b.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score"])
+        for batch in batches:
+            for b, texts in slices(batch, 2, SLICE_BYTES):
+                found = [predict(t) for t in texts]
+                columns = [b.column(0), b.column(1), pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "lang_pred", "score"])
 
     return map_arrow(source, run, kind).withColumnRenamed("doc_id", id_col)
 
@@ -165,8 +168,9 @@ def drop_unidentified(docs: DataFrame, least: float = LEAST_SCORE, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("language_id", dict)  # the model and its memo come and go with the broadcast; what others left goes now
         predict = shared.value.predict
-        for b in batches:
-            found = [predict(t) for t in b.column(at).to_pylist()]
-            yield b.filter(pa.array([lang != "und" and score > 0 and score >= least for lang, score in found], pa.bool_()))
+        for batch in batches:
+            for b, texts in slices(batch, at, SLICE_BYTES):
+                found = [predict(t) for t in texts]
+                yield b.filter(pa.array([lang != "und" and score > 0 and score >= least for lang, score in found], pa.bool_()))
 
     return map_arrow(docs, run, docs.schema)

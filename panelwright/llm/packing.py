@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelwright.llm.held import held
-from panelwright.llm.ship import map_arrow
+from panelwright.llm.ship import map_arrow, slices
 from panelwright.session import stage
 
 LENGTH = 1024
@@ -30,8 +30,8 @@ OPEN = 32
 CUT_FROM = 16
 #: Neighbouring partitions whose open windows meet in one group: at most MERGED * OPEN * LENGTH records of some 50 bytes.
 MERGED = 32
-#: Characters encoded at a time.
-CHARS = 2_000_000
+#: Bytes of texts that are Python strings and encoded at a time; a longer text goes alone.
+SLICE_BYTES = 1 << 20
 
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -117,14 +117,9 @@ def _pieces(table_schema: pa.Schema, path: str | None, length: int, windows: int
                 at = total
 
         for batch in batches:
-            docs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            first = size = 0
-            for i, text in enumerate(texts):
-                size += len(text)
-                if size >= CHARS or i + 1 == len(texts):
-                    for doc, ids in zip(docs[first : i + 1], encode(texts[first : i + 1]), strict=True):
-                        place(doc, ids + b"\0\0\0\0")
-                    first, size = i + 1, 0
+            for b, texts in slices(batch, 1, SLICE_BYTES):
+                for doc, ids in zip(b.column(0).to_pylist(), encode(texts), strict=True):
+                    place(doc, ids + b"\0\0\0\0")
             if rows:
                 yield taken()
         for content in space.content.values():

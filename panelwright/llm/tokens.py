@@ -12,8 +12,9 @@ import numpy as np
 
 from panelwright.llm.held import held
 
-#: Pieces kept in a worker's memo; it starts anew beyond that. Longer pieces are encoded each time.
-MEMO_PIECES = 400_000
+#: Pieces kept in a worker's memo; it starts anew beyond that. Longer pieces are encoded each time. Some 20 MB: frequent
+#: pieces are back after a few documents, and most others never come again.
+MEMO_PIECES = 100_000
 MEMO_LENGTH = 64
 
 
@@ -21,7 +22,7 @@ MEMO_LENGTH = 64
 # after it (no apostrophe: the tokenizer splits contractions). A line feed between two such words stands alone.
 _WORD = r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)"
 _PIECE = re.compile(rf"{_WORD}(?:\n{_WORD})?").fullmatch
-#: New words that the rank file's library encodes in one call.
+#: New words that a library encodes in one call.
 WORDS = 2_000
 
 
@@ -99,7 +100,8 @@ class ByteEncoder:
         yield from zip(plain, self.direct([" " + p for p in plain]), strict=True)
 
     def direct(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        """Ids of whole texts. The library's results hold far more than ids, so a few texts go at a time."""
+        return [array("I", e.ids).tobytes() for at in range(0, len(texts), WORDS) for e in self.tokenizer.encode_batch(texts[at : at + WORDS], add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > MEMO_PIECES:

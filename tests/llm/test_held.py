@@ -10,3 +10,13 @@ def test_one_operator_at_a_time():
     assert h.held("b", make("b")) == ["b"] and list(h._held) == ["b"]
     assert h.held("a", make("a")) is not first and made == ["a", "b", "a"]
     h._held.clear()
+
+
+def test_memory_taken_by_building_is_given_back(monkeypatch):
+    h._held.clear()
+    log = []
+    monkeypatch.setattr(h, "_give_back", lambda: log.append("back"))
+    h.held("a", lambda: log.append("made"))
+    h.held("a", lambda: log.append("again"))
+    assert log == ["back", "made", "back"]
+    h._held.clear()

@@ -80,3 +80,32 @@ def test_plain_words_are_encoded_together(monkeypatch):
     monkeypatch.setattr(enc, "new_pieces", lambda pieces: looked.extend(pieces) or one_by_one(pieces))
     assert [list(memoryview(g).cast("I")) for g in enc.encode(texts)] == direct(texts)
     assert not {"Plain", "words", "v" * 64, "the"} & set(looked) and {"plain,", "naïve", "w" * 65, "x1"} <= set(looked)
+
+
+def test_texts_of_a_batch_are_encoded_in_bounded_parts(monkeypatch):
+    """Python holds the strings of one part only, the library's results are those of a few pieces, the memo is small."""
+    import pyarrow as pa
+
+    from panelwright.llm import tokens
+    from panelwright.llm.ship import slices
+
+    texts = ["", "ab", "é" * 9, "abc", "", "x" * 4, "y", ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], names=["doc_id", "text"]).slice(1)
+    parts = [(b.column(0).to_pylist(), t) for b, t in slices(batch, 1, 5)]
+    assert parts == [([1], ["ab"]), ([2], ["é" * 9]), ([3, 4], ["abc", ""]), ([5, 6, 7], ["x" * 4, "y", ""])]
+    assert list(slices(batch.slice(0, 0), 1, 5)) == []
+    none = pa.RecordBatch.from_arrays([pa.array([None, "abc", None, "d"], pa.string())], names=["text"])
+    assert [t for _, t in slices(none, 0, 3)] == [[None, "abc", None], ["d"]]
+
+    enc, sizes = ByteEncoder(), []
+    real = enc.tokenizer
+
+    class Spy:
+        def encode_batch(self, texts, **options):
+            sizes.append(len(texts))
+            return real.encode_batch(texts, **options)
+
+    enc.tokenizer = Spy()
+    many = [f"7a{i}" for i in range(5_000)]
+    assert [list(memoryview(x).cast("I")) for x in enc.direct(many)] == direct(many) and max(sizes) <= tokens.WORDS
+    assert tokens.MEMO_PIECES <= 100_000
