@@ -230,20 +230,21 @@ def _small(df: DataFrame, row_bytes: int) -> bool:
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose lines are similar. Texts of lines without a candidate are left where they are if the ids are few."""
-    ids = stage(pairs.select(F.col("u").alias("line_id")).union(pairs.select("v")).distinct())
-    wanted = lines.select("line_id", "line").join(F.broadcast(ids) if _small(ids, 16) else ids, "line_id", "left_semi")
+    """The pairs (u, v, further longs) whose lines are similar. Texts of lines without a candidate are left where they are if the ids are few."""
+    ids = pairs.select(F.col("u").alias("line_id")).union(pairs.select("v"))
+    wanted = lines.select("line_id", "line").join(F.broadcast(ids) if _small(pairs, 32) else ids.distinct(), "line_id", "left_semi")
     # One text of each line: a copy of a frequent line is as good as another.
     texts = wanted.groupBy("line_id").agg(F.max("line").alias("line"))
-    both = pairs.join(texts.select(F.col("line_id").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("line_id").alias("v"), F.col("line").alias("b")), "v").select("u", "v", "a", "b")
+    both = pairs.join(texts.select(F.col("line_id").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("line_id").alias("v"), F.col("line").alias("b")), "v").select(*pairs.columns, "a", "b")
+    kind = pairs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held("line_dedup", dict)
         for b in batches:
-            keep = [similar(x, y, similarity) for x, y in zip(strings(b.column(2)), strings(b.column(3)), strict=True)]
-            yield b.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            keep = [similar(x, y, similarity) for x, y in zip(strings(b.column("a")), strings(b.column("b")), strict=True)]
+            yield b.select(kind.names).filter(pa.array(keep, pa.bool_()))
 
-    return map_arrow(both, run, StructType.fromDDL("u long, v long"))
+    return map_arrow(both, run, kind)
 
 
 def _order(id_col: str = "doc_id") -> Column:
@@ -280,13 +281,16 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     once = (F.col("h") == F.col("largest")) | (F.col("u") < F.col("v"))
     once = once & (F.col("key") == _first_key(F.col("s"), F.col("t"), blocks, distance))
     across = seekers.join(partners, "key").where((F.col("g") != F.col("h")) & _near(F.col("s"), F.col("t"), distance) & once)
-    second_pairs = stage(across.select("u", "v").distinct())
-    if not second_pairs.isEmpty():
-        links = links.unionByName(_verified(second_pairs, lines, similarity))
-        found = stage(components(links))
+    second_pairs = stage(across.select("u", "v", "g", "h").distinct())
 
-    marked = every.join(found, every["line_id"] == found["node"], "left").where("n > 1 or root is not null").select("line_id", "simhash", "first", F.coalesce("root", "line_id").alias("group"))
-    marked = stage(marked)
+    marked = every.join(found, every["line_id"] == found["node"], "left").select("line_id", "simhash", "first", "n", "root")
+    if not second_pairs.isEmpty():
+        # These links join whole groups, so only groups are nodes now; a line without a group is one of its own.
+        second_links = stage(_verified(second_pairs, lines, similarity).select(F.col("g").alias("u"), F.col("h").alias("v")))
+        merged = stage(components(second_links)).withColumnsRenamed({"node": "part", "root": "whole"})
+        side = F.broadcast(merged) if _small(merged, 32) else merged
+        marked = marked.join(side, F.coalesce("root", "line_id") == F.col("part"), "left").withColumn("root", F.coalesce("whole", "root"))
+    marked = stage(marked.where("n > 1 or root is not null").select("line_id", "simhash", "first", F.coalesce("root", "line_id").alias("group")))
     kept = marked.groupBy("group").agg(F.min("first").alias("kept"))
     copies = stage(marked.join(kept, "group").select("line_id", "simhash", "kept"))
     side = F.broadcast(copies) if _small(copies, 64) else copies

@@ -89,7 +89,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     prints = stage(fingerprints(docs, id_col, text_col))
     least = stage(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("least_id")))
-    roots = components(linked_fingerprints(least.select("fingerprint")))
+    roots = components(stage(linked_fingerprints(least.select("fingerprint")).distinct()))
     member = least.join(roots, least["fingerprint"] == roots["node"], "left").select("fingerprint", "least_id", F.coalesce("root", "fingerprint").alias("root"))
     member = stage(member)
     class_ids = member.groupBy("root").agg(F.min("least_id").alias("component_id"))

@@ -119,6 +119,27 @@ def test_chained_variants_are_one_group(spark):
     assert {r.doc_id: r.lines for r in repeated_lines(df).collect()} == brute(docs)
 
 
+def test_groups_of_the_first_step_are_nodes_of_the_second(spark, monkeypatch):
+    """The second step joins whole groups: it must not walk through all links once more."""
+    seen = []
+
+    def traced(edges, f=line_dedup.components):
+        seen.append([{r.u, r.v} for r in edges.collect()])
+        return f(edges)
+
+    monkeypatch.setattr(line_dedup, "components", traced)
+    docs = corpus(3)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(2)
+    assert {r.doc_id: r.lines for r in repeated_lines(df, near=1).collect()} == brute(docs)
+    first, second = seen
+    assert second and len(second) < len(first)
+    groups = []  # of the first step's links
+    for link in first:
+        groups = [g for g in groups if not g & link] + [set().union(link, *(g for g in groups if g & link))]
+    least = {n: min(g) for g in groups for n in g}
+    assert all(least.get(n, n) == n for link in second for n in link)
+
+
 def test_odd_rows_columns_and_texts(spark):
     rows = [(1, "same line here\n---\n\nown text one", "k"), (2, "Same LINE here!\n---\n\nother words two", "l"), (3, None, "m"), (4, "", None), (5, "same line here", "n"), (5, "same line here", "o"), (None, "same line here\nlast", "p"), (6, "line 12 of 99\nline 34 of 56", "q")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lines string")

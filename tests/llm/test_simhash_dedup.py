@@ -2,6 +2,7 @@ import random
 
 import xxhash
 
+from panelwright.llm import components as module
 from panelwright.llm.components import components
 from panelwright.llm.simhash_dedup import drop_near_copies, linked_fingerprints, near_groups
 
@@ -100,3 +101,13 @@ def test_one_of_each_group_stays(spark):
     kept = drop_near_copies(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 9]
     assert near_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_components_end_as_soon_as_all_are_stars(spark, monkeypatch):
+    """A round that changes nothing is not run to see that nothing changes."""
+    written = []
+    monkeypatch.setattr(module, "stage", lambda df, f=module.stage: written.append(1) or f(df))
+    stars = [(n, n % 3) for n in range(3, 40)] + [(5, 2), (1, 4)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(stars, "u long, v long")).collect()}
+    assert got == {n: n % 3 for n in range(40)}
+    assert len(written) == 2  # one round: the large and the small star
