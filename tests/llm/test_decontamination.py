@@ -62,6 +62,29 @@ def test_equals_brute_force_by_broadcast_and_by_shuffle(spark):
         assert found(overlaps(d, b, broadcast_bytes=size)) == want
 
 
+def test_equals_brute_force_in_pieces_and_by_a_filter_of_seeds(spark, monkeypatch):
+    """A text of several pieces; seeds that are too many to broadcast while their filter is not."""
+    docs, items = corpus()
+    d, b = spark.createDataFrame(docs, "doc_id long, text string").repartition(5), spark.createDataFrame(items, "item_id long, text string")
+    want = brute(docs, items)
+    monkeypatch.setattr(decontamination, "PIECE", 1)
+    for size in (decontamination.BROADCAST_BYTES, 4096, -1):
+        assert found(overlaps(d, b, broadcast_bytes=size)) == want
+
+
+def test_long_texts_full_of_a_passage(spark):
+    """20,000 words, each the beginning of a hit: kept with the whole text for each hit, they would take gigabytes a text."""
+    passage = [f"p{i}" for i in range(20)]
+    docs = spark.range(16, numPartitions=4).withColumnsRenamed({"id": "doc_id"}).selectExpr("doc_id", f"repeat('{' '.join(passage)} ', 1000) AS text")
+    bench = spark.createDataFrame([(7, " ".join(passage))], "item_id long, text string")
+    # Each repeat adds as many windows as the one before it.
+    one = brute([(0, " ".join(passage * 3))], [(7, " ".join(passage))])[0, 7]
+    each = brute([(0, " ".join(passage * 4))], [(7, " ".join(passage))])[0, 7][3] - one[3]
+    want = (0, 19_999, 13, one[3] + 997 * each)
+    for size in (decontamination.BROADCAST_BYTES, 4096, -1):
+        assert found(overlaps(docs, bench, broadcast_bytes=size)) == {(d, 7): want for d in range(16)}
+
+
 def test_substitutions_are_tolerated(spark):
     rng = random.Random(1)
     item = [f"q{i}" for i in range(40)]
