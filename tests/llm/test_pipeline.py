@@ -54,3 +54,12 @@ def test_stages_take_effect(spark, tmp_path):
     assert sum(r.length for r in whole) == sum(r.length for r in seen["packing"])
     assert {r.doc_id: r.doc_tokens for r in whole} == {r.doc_id: r.doc_tokens for r in seen["packing"]}
     assert all(key(r) for r in whole)
+
+
+def test_decontamination_of_long_texts_full_of_passages(spark, tmp_path):
+    """Texts of 20,000 words of which most begin a hit, in as many tasks as run at once."""
+    passages = [" ".join(f"bench{chr(97 + k)}{chr(97 + i)}" for i in range(24)) for k in range(4)]
+    spark.createDataFrame(list(enumerate(passages)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    full = " ".join(passages) + " "
+    docs = spark.range(32, numPartitions=4).selectExpr("id AS doc_id", f"CASE WHEN id % 8 = 7 THEN repeat('clean words ', 10000) ELSE repeat('{full}', 210) END AS text")
+    assert {r.doc_id for r in corpus_pipeline.decontamination(spark, docs, str(tmp_path)).collect()} == {7, 15, 23, 31}
